@@ -1,6 +1,6 @@
 """The registered queries of the corpus operators, and their SQL where SQL can express them."""
 
-from . import byte_bpe, exact_dedup, simhash
+from . import byte_bpe, exact_dedup, secrets, simhash
 
 QUERIES = {
     f.__name__: f
@@ -8,6 +8,7 @@ QUERIES = {
         simhash.op3_simhash,
         exact_dedup.op8_exact_dedup,
         byte_bpe.op9_byte_bpe,
+        secrets.op10_secrets,
     )
 }
 
