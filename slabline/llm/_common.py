@@ -82,18 +82,29 @@ def word_count(column: str | Column) -> Column:
     return F.regexp_count(text_or_empty(column), F.lit(WORD)).cast("long")
 
 
+def join_split(rows: DataFrame, aggregated: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Joins rows with what was aggregated by the same keys, so that a hot key's rows can be split.
+
+    Aggregation leaves its result partitioned by the keys; Spark would join there, and a partition
+    below an aggregation can't be split. One more key, made of the others, has both sides shuffled for
+    the join alone, and adaptive execution then splits a hot key's rows over several tasks.
+    """
+    more = F.hash(*keys)
+    return rows.withColumn("_spread", more).join(aggregated.withColumn("_spread", more), [*keys, "_spread"], how).drop("_spread")
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
     """Links each neighbour above a node to the least label around that node."""
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.min("b").alias("m"))
     least = least.select("a", F.least("a", "m").alias("m"))
-    return both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+    return join_split(both.where("b > a"), least, ["a"]).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Links a node and its lower neighbours to the least of them."""
     least = edges.groupBy("a").agg(F.min("b").alias("m"))
-    down = edges.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    down = join_split(edges, least, ["a"]).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return down.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
 
 

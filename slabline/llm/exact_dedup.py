@@ -33,7 +33,7 @@ def _members(rows: DataFrame, scratch: c.Scratch) -> DataFrame:
         if going.isEmpty():
             break
         parts = going.groupBy("_group", "_digit").agg(F.min("_row").alias("_part"), F.count("*").alias("_n")).where("_n > 1")
-        rows = scratch.keep(going.join(parts, ["_group", "_digit"]).select("_row", F.col("_part").alias("_group"), "_norm"), "split")
+        rows = scratch.keep(c.join_split(going, parts, ["_group", "_digit"]).select("_row", F.col("_part").alias("_group"), "_norm"), "split")
         at += width
     out = done[0]
     for x in done[1:]:
@@ -54,19 +54,17 @@ def exact_classes(docs: DataFrame, scratch: c.Scratch, id_col: str = "doc_id", t
     # The first digit is the length and the first code points. Only those go through this aggregation.
     head = [F.length("_norm").alias("_length"), F.substring("_norm", 1, FIRST).alias("_head")]
     heads = base.select(*head).groupBy("_length", "_head").agg(F.count("*").alias("_n")).where("_n > 1")
-    first = (
-        base.select("*", *head, F.sha2("_norm", 256).alias("_sha"))
-        .join(heads, ["_length", "_head"], "left")
-        .select("_id", *row, "_long", "_sha", F.when(F.col("_n") > 1, F.col("_norm")).alias("_norm"), F.when(F.col("_n") > 1, F.struct("_length", "_head")).alias("_digit"))
-    )
+    with_n = c.join_split(base.select("*", *head, F.sha2("_norm", 256).alias("_sha")), heads, ["_length", "_head"], "left")
+    open_ = F.col("_n") > 1
+    first = with_n.select("_id", *row, "_long", "_sha", F.when(open_, F.col("_norm")).alias("_norm"), F.when(open_, F.struct("_length", "_head")).alias("_digit"))
     first = c.numbered(first, scratch)
     open_ = first.where("_norm is not null")
     groups = open_.groupBy("_digit").agg(F.min("_row").alias("_group"))
-    members = _members(open_.select("_row", "_digit", "_norm").join(groups, "_digit").select("_row", "_group", "_norm"), scratch)
+    members = _members(c.join_split(open_.select("_row", "_digit", "_norm"), groups, ["_digit"]).select("_row", "_group", "_norm"), scratch)
     best = F.struct((-F.col("_long")).alias("long"), F.col("_id").isNull().alias("none"), F.col("_id").alias("keep"), F.col("_row").alias("row"))
     sized = members.join(first.select("_row", "_id", "_long"), "_row")
     stays = sized.groupBy("_group").agg(F.count("*").alias("_size"), F.min(best).alias("_best")).where("_size > 1")
-    found = members.join(stays, "_group").select("_row", "_size", F.col("_best.keep").alias("_keep"), F.col("_best.row").alias("_keep_row"))
+    found = c.join_split(members, stays, ["_group"]).select("_row", "_size", F.col("_best.keep").alias("_keep"), F.col("_best.row").alias("_keep_row"))
     lone = F.col("_size").isNull()
     return first.join(found, "_row", "left").select(
         F.col("_id").alias(id_col),

@@ -1,15 +1,21 @@
 """The registered queries of the corpus operators, and their SQL where SQL can express them."""
 
-from . import byte_bpe, exact_dedup, secrets, simhash
+from . import byte_bpe, embedding_dedup, exact_dedup, html_text, licenses, mixing, pii, secrets, simhash, toxicity
 
 QUERIES = {
     f.__name__: f
     for f in (
+        embedding_dedup.op1_embedding_dedup,
+        licenses.op2_license,
         simhash.op3_simhash,
+        pii.op4_pii,
+        toxicity.op5_toxicity,
+        mixing.op6_mixing,
+        html_text.op7_html_text,
         exact_dedup.op8_exact_dedup,
         byte_bpe.op9_byte_bpe,
         secrets.op10_secrets,
     )
 }
 
-SQL = {"op8_exact_dedup": exact_dedup.OP8_SQL}
+SQL = {"op1_embedding_dedup": embedding_dedup.OP1_SQL, "op8_exact_dedup": exact_dedup.OP8_SQL}

@@ -81,7 +81,7 @@ def fingerprint_components(rows: DataFrame, scratch: c.Scratch, least: str, radi
     roots = c.components(linked(distinct.select(fp), radius, fp), scratch)
     at = distinct.join(roots.withColumnRenamed("node", fp), fp, "left").withColumn("_root", F.coalesce("root", fp))
     heads = at.groupBy("_root").agg(F.min("_least").alias("component"))
-    return at.join(heads, "_root").select(fp, "component")
+    return c.join_split(at, heads, ["_root"]).select(fp, "component")
 
 
 def simhash_classes(docs: DataFrame, scratch: c.Scratch, id_col: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
