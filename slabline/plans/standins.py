@@ -45,6 +45,14 @@ FROM embeddings""",
     # names of radar files, with gaps
     "files": """
 SELECT DISTINCT 'Data_' || {ymd(o_orderdate)} || '_' || lpad(CAST(o_custkey % 4 + 1 AS STRING), 2, '0') || '_' || lpad(CAST(o_orderkey % 400 AS STRING), 3, '0') || '.mat' AS name
+FROM orders""",
+    # names as they come, those of some years with one more prefix
+    "raw_files": """
+SELECT DISTINCT 'Data_' || CASE WHEN o_orderkey % 3 = 0 THEN 'img_01_' ELSE '' END || {ymd(o_orderdate)} || '_' || lpad(CAST(o_custkey % 4 + 1 AS STRING), 2, '0') || '_' || lpad(CAST(o_orderkey % 400 AS STRING), 3, '0') || '.mat' AS name
+FROM orders""",
+    # names of tracks
+    "tracks": """
+SELECT DISTINCT {ymd(o_orderdate)} || '_' || lpad(CAST(o_custkey % 4 + 1 AS STRING), 2, '0') || '_' || lpad(CAST(o_orderkey % 390 AS STRING), 3, '0') || '_' || lpad(CAST(o_orderkey % 390 + o_custkey % 6 AS STRING), 3, '0') AS track
 FROM orders""",
     # hand-made exclusions: every form of interval token
     "exclusions": """

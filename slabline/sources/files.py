@@ -35,7 +35,7 @@ def read_starts(spark: SparkSession, *paths: str) -> DataFrame:
 
 def read_cutoffs(spark: SparkSession, path: str) -> DataFrame:
     """(quantile, cutoff) of a file of two rows: quantiles, then cutoffs."""
-    rows = spark.read.option("wholetext", True).text(path)
+    rows = spark.read.text(path, wholetext=True)
     lines = F.filter(F.split("value", "\r?\n"), lambda x: F.trim(x) != "")
     numbers = lambda i: F.transform(F.split(F.trim(F.get(lines, F.lit(i))), " +"), lambda x: x.cast("double"))
     return rows.select(F.explode(F.arrays_zip(numbers(0).alias("quantile"), numbers(1).alias("cutoff"))).alias("z")).select("z.*")
