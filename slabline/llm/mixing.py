@@ -125,7 +125,7 @@ def _flights(units: DataFrame, scratch: c.Scratch, seed: int) -> DataFrame:
     done, level = None, 0
     while True:
         blocks = units.groupBy("rank").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("blocks"))
-        dealt = units.join(blocks, "rank").withColumn("block", F.pmod(F.xxhash64("key", F.lit(level)), "blocks"))
+        dealt = c.join_split(units, blocks, ["rank"]).withColumn("block", F.pmod(F.xxhash64("key", F.lit(level)), "blocks"))
         moved = dealt.groupBy("rank", "block").applyInPandas(_mover(seed, level), "_row long, rank int, x long, key long, p double")
         moved = scratch.keep(moved, "moved")
         settled = moved.where("p = 0 or p = 1").select("_row", "p")
