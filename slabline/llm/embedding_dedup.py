@@ -32,7 +32,9 @@ def tables_for(n: int, threshold: float = THRESHOLD, recall: float = RECALL) ->
 
 
 def unit(vectors: np.ndarray) -> np.ndarray:
-    """Rows of length 1; scaled by their largest component first, so that no square overflows."""
+    """Rows of length 1 in double precision; scaled by their largest component first, so that no square
+    overflows."""
+    vectors = vectors.astype(np.float64)
     vectors = vectors / np.abs(vectors).max(axis=1, keepdims=True)
     return vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
 
@@ -128,12 +130,15 @@ def vector_classes(rows: DataFrame, scratch: c.Scratch, id_col: str = "vec_id",
     block returns sums and labels, not pairs; a pair counts in the first table that has it only.
     """
     big = F.lit(float("inf"))
-    rows = rows.select(F.col(id_col).alias("_id"), F.col(vec).cast("array<double>").alias("_vec"))
+    # floats stay floats until they are compared: half the bytes to shuffle
+    kind = rows.schema[vec].dataType
+    as_is = isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.FloatType)
+    rows = rows.select(F.col(id_col).alias("_id"), F.col(vec).cast("array<float>" if as_is else "array<double>").alias("_vec"))
     fine = F.coalesce(F.forall("_vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < big)) & F.exists("_vec", lambda x: x != 0), F.lit(False))
     rows = rows.withColumn("_vec", F.when(fine, F.col("_vec")))
     classes = c.numbered(rows.where("_vec is not null").groupBy("_vec").agg(F.count("*").alias("w"), F.min("_id").alias("least_id")), scratch, "cid")
     bits, tables = tables_for(classes.count(), threshold, recall)
-    signed = scratch.keep(classes.select("cid", "w", F.col("_vec").alias("vec"), _signed(bits, tables, seed)("_vec").alias("sigs")), "signed")
+    signed = scratch.keep(classes.select("cid", "w", F.col("_vec").alias("vec"), _signed(bits, tables, seed)("_vec").cast("array<int>" if bits < 32 else "array<bigint>").alias("sigs")), "signed")
     # Only numbers are shuffled to find the buckets with company; vectors go to those alone.
     spots = signed.select("cid", F.size("vec").alias("dim"), F.posexplode("sigs").alias("t", "sig"))
     full = spots.groupBy("t", "dim", "sig").agg(F.count("*").alias("n")).where("n > 1")

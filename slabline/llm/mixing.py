@@ -142,19 +142,18 @@ def mixed(docs: DataFrame, scratch: c.Scratch, id_col: str = "doc_id", text: str
     size: words between ASCII white space, null texts have none. A source (null is one, the last) gets
     copies of its documents: the whole part of target / source_size for each, and one more for a
     sample that is balanced on the numbers of documents and of words. A document is never taken more
-    than ``most`` times. The draws depend on ids and sizes only, so reruns agree; null ids go by their
-    row. Repeated rows are documents like any others.
+    than ``most`` times. The draws depend on ids and texts only, so reruns agree however the rows are
+    partitioned. Null ids and repeated rows are documents like any others.
     """
     row = {"_doc": F.struct("*")} if carry else {}
-    rows = c.numbered(docs.select(F.col(id_col).alias("_id"), F.col(source).cast("string").alias("source"), c.word_count(text).alias("size"), *[x.alias(k) for k, x in row.items()]), scratch)
+    rows = c.numbered(docs.select(F.col(id_col).alias("_id"), F.col(source).cast("string").alias("source"), c.word_count(text).alias("size"), F.xxhash64(id_col, text).alias("key"), *[x.alias(k) for k, x in row.items()]), scratch)
     sources = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), scratch, weights, most)
     # try_divide: a source without words has no factor, and its documents are taken as they are
     factor = F.least(F.coalesce(F.try_divide("target", "source_size"), F.lit(1.0)), F.lit(float(most)))
     sources = sources.withColumn("factor", factor).withColumnRenamed("source", "_source")
     sized = rows.join(sources, F.col("source").eqNullSafe(F.col("_source")))
     whole, part = F.floor(F.col("factor") + EPS), F.col("factor") - F.floor(F.col("factor") + EPS)
-    key = F.xxhash64("_id", F.when(F.col("_id").isNull(), F.col("_row")))
-    units = sized.where(part > EPS).select("_row", F.col("rank").cast("int").alias("rank"), F.col("size").alias("x"), key.alias("key"), part.alias("p"))
+    units = sized.where(part > EPS).select("_row", F.col("rank").cast("int").alias("rank"), F.col("size").alias("x"), "key", part.alias("p"))
     drawn = _flights(units, scratch, seed)
     copies = (whole + F.coalesce("p", F.lit(0.0))).cast("long")
     return sized.join(drawn, "_row", "left").select(
