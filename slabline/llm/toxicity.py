@@ -19,7 +19,7 @@ MAX_TRAIN = 20_000
 #: Features of the model; documents of the fitted sample that a feature needs.
 FEATURES, LEAST = 512, 4
 #: Weights of the squared weights, and of squared score changes under swaps.
-RIDGE, SWAP = 0.5, 5.0
+RIDGE, SWAP = 0.1, 5.0
 #: Lengths of the word beginnings that are features, besides whole words.
 STEMS = range(3, 9)
 WORDS = re.compile(r"[^\W\d_]+")
