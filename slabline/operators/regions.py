@@ -34,32 +34,54 @@ def boxed(polygons: DataFrame) -> DataFrame:
     return polygons.withColumns({"_x0": side(F.array_min, "x"), "_x1": side(F.array_max, "x"), "_y0": side(F.array_min, "y"), "_y1": side(F.array_max, "y")})
 
 
+def _few(polygons: DataFrame) -> bool:
+    return polygons.limit(MOST_POLYGONS + 1).count() <= MOST_POLYGONS
+
+
+def _in_box(p: Column | None, px: Column, py: Column) -> Column:
+    side = (lambda c: F.col(c)) if p is None else (lambda c: p[c])
+    return (px >= side("_x0")) & (px <= side("_x1")) & (py >= side("_y0")) & (py <= side("_y1"))
+
+
 def within(points: DataFrame, polygons: DataFrame, x: str = "x", y: str = "y") -> DataFrame:
     """Points with every polygon that holds them: a bounding-box join, then the exact test.
 
     ``polygons``: id, region, ring. Their number is checked before they are broadcast; beyond the
     limit the planner chooses.
     """
-    p = boxed(polygons)
-    few = polygons.limit(MOST_POLYGONS + 1).count() <= MOST_POLYGONS
+    p, px, py = boxed(polygons), F.col(x), F.col(y)
+    held = points.join(F.broadcast(p) if _few(polygons) else p, _in_box(None, px, py)).where(geo.in_ring(px, py, F.col("ring")))
+    return held.drop("ring", "_x0", "_x1", "_y0", "_y1")
+
+
+def _with_best(points: DataFrame, polygons: DataFrame, rank: Column, x: str, y: str, key: list[str]) -> DataFrame:
+    """Adds _best (rank, id, region): the polygon of least rank that holds the point, or null.
+
+    Few polygons travel as one broadcast row and are tested in the row, so that points aren't
+    shuffled. Many go through the join, whose best match per key is joined back.
+    """
+    ranked = boxed(polygons).withColumn("_rank", rank).where("_rank is not null")
     px, py = F.col(x), F.col(y)
-    box = (px >= F.col("_x0")) & (px <= F.col("_x1")) & (py >= F.col("_y0")) & (py <= F.col("_y1"))
-    return points.join(F.broadcast(p) if few else p, box).where(geo.in_ring(px, py, F.col("ring"))).drop("ring", "_x0", "_x1", "_y0", "_y1")
+    if _few(polygons):
+        one = ranked.agg(F.collect_list(F.struct("_rank", "id", "region", "ring", "_x0", "_x1", "_y0", "_y1")).alias("_all"))
+        hit = F.filter("_all", lambda p: _in_box(p, px, py) & geo.in_ring(px, py, p["ring"]))
+        best = F.array_min(F.transform(hit, lambda p: F.struct(p["_rank"].alias("rank"), p["id"].alias("id"), p["region"].alias("region"))))
+        return points.crossJoin(F.broadcast(one)).withColumn("_best", best).drop("_all")
+    hit = points.join(ranked, _in_box(None, px, py)).where(geo.in_ring(px, py, F.col("ring")))
+    first = hit.groupBy(*key).agg(F.min(F.struct(F.col("_rank").alias("rank"), "id", "region")).alias("_best"))
+    return points.join(first, key, "left")
 
 
 def clipped(points: DataFrame, polygons: DataFrame, key: list[str], x: str = "x", y: str = "y") -> DataFrame:
     """One row per point inside any polygon, with the one of the smallest id."""
-    hit = within(points, polygons, x, y)
-    first = hit.groupBy(*key).agg(F.min(F.struct("id", "region")).alias("m")).select(*key, F.col("m.id").alias("id"), F.col("m.region").alias("region"))
-    return points.join(first, key)
+    best = _with_best(points, polygons, F.col("id"), x, y, key).where("_best is not null")
+    return best.withColumns({"id": F.col("_best.id"), "region": F.col("_best.region")}).drop("_best")
 
 
 def with_region(points: DataFrame, polygons: DataFrame, key: list[str], x: str = "x", y: str = "y", order: tuple[str, ...] = PRIORITY) -> DataFrame:
     """Region of the first match in priority order, else Out."""
-    rank = F.array_position(F.array(*[F.lit(r) for r in order]), F.col("region"))
-    hit = within(points, polygons, x, y).withColumn("_rank", rank).where("_rank > 0")
-    best = hit.groupBy(*key).agg(F.min_by("region", "_rank").alias("region"))
-    return points.join(best, key, "left").withColumn("region", F.coalesce("region", F.lit("Out")))
+    rank = F.nullif(F.array_position(F.array(*[F.lit(r) for r in order]), F.col("region")), F.lit(0).cast("long"))
+    return _with_best(points, polygons, rank, x, y, key).withColumn("region", F.coalesce("_best.region", F.lit("Out"))).drop("_best")
 
 
 def with_elevation(points: DataFrame, dem: DataFrame, x0: float, y0: float, size: float, x: str = "x", y: str = "y") -> DataFrame:

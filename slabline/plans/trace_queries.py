@@ -127,10 +127,12 @@ def _roll_cells(v: Inputs):
 _ROLL = f"SELECT track, depth_idx, CAST(trace % 13 AS DOUBLE) * CAST(trace % 13 AS DOUBLE) AS x, value AS z FROM ({_CELLS}) AS c"
 
 
-@query("r1_roll_fit", f"""WITH s AS (SELECT track, depth_idx, CAST(count(*) AS DOUBLE) AS n, sum(x) AS x1, sum(x*x) AS x2, sum(z) AS z1, sum(z*x) AS zx FROM ({_ROLL}) AS q GROUP BY track, depth_idx),
+_FIT = f"""s AS (SELECT track, depth_idx, CAST(count(*) AS DOUBLE) AS n, sum(x) AS x1, sum(x*x) AS x2, sum(z) AS z1, sum(z*x) AS zx FROM ({_ROLL}) AS q GROUP BY track, depth_idx),
 f AS (SELECT *, (n*zx - x1*z1) / (n*x2 - x1*x1) AS fa, (x2*z1 - x1*zx) / (n*x2 - x1*x1) AS fc, least(0, z1/n) AS ec, least(0, zx/x2) AS ea FROM s),
-g AS (SELECT *, fa <= 0 AND fc <= 0 AS ok, n*ec*ec - 2*ec*z1 <= x2*ea*ea - 2*ea*zx AS first FROM f)
-SELECT track, depth_idx, round(CASE WHEN ok THEN fa WHEN first THEN 0 ELSE ea END, 8) + 0 AS a, round(CASE WHEN ok THEN fc WHEN first THEN ec ELSE 0 END, 6) + 0 AS c FROM g""")
+g AS (SELECT *, fa <= 0 AND fc <= 0 AS ok, n*ec*ec - 2*ec*z1 <= x2*ea*ea - 2*ea*zx AS first FROM f), h AS (SELECT track, depth_idx, CASE WHEN ok THEN fa WHEN first THEN 0 ELSE ea END AS a, CASE WHEN ok THEN fc WHEN first THEN ec ELSE 0 END AS c FROM g)"""
+
+
+@query("r1_roll_fit", f"WITH {_FIT} SELECT track, depth_idx, round(a, 8) + 0 AS a, round(c, 6) + 0 AS c FROM h")
 def r1(v):
     f = correct.roll_fit(_roll_cells(v))
     return longs(f, "depth_idx").select("track", "depth_idx", r("a", 8).alias("a"), r("c").alias("c"))
@@ -166,14 +168,15 @@ def r3(v):
     return rounded(correct.filled_roll(_curved(v)).select("track", "trace", "roll_filled"), "roll_filled")
 
 
-@query("r4_roll_corrected")
+@query("r4_roll_corrected", f"WITH {_FIT} SELECT t.track, t.trace, round(samples[6] * c / nullif(a * pow(CAST(trace % 13 AS DOUBLE), 2) + c, 0), 6) + 0 AS sample_5 FROM traces AS t JOIN h ON h.track = t.track AND h.depth_idx = 5")
 def r4(v):
     t = v("traces").withColumn("roll_filled", (F.col("trace") % 13).cast("double"))
     c = correct.roll_corrected(t, _fits(v))
     return c.select("track", "trace", r(F.get("samples", F.lit(5)), 6).alias("sample_5"))
 
 
-@query("r5_roll_summary")
+@query("r5_roll_summary", f"""WITH {_FIT}, m AS (SELECT track, avg(a) AS a, avg(c) AS c FROM h WHERE depth_idx < 40 GROUP BY track), k AS (SELECT t.track, CAST(trace % 13 AS DOUBLE) AS roll, a, c FROM traces AS t JOIN m ON m.track = t.track)
+SELECT track, max(roll) AS max_roll, round(min(a), 6) + 0 AS mean_a, round(min(c), 6) + 0 AS mean_c, round(avg(CASE WHEN roll <= 5 THEN c / (a * roll * roll + c) END), 6) AS mean_below_5, round(avg(CASE WHEN roll > 5 THEN c / (a * roll * roll + c) END), 6) AS mean_above_5 FROM k GROUP BY track""")
 def r5(v):
     t = v("traces").withColumn("roll_filled", (F.col("trace") % 13).cast("double"))
     return rounded(correct.roll_summary(t, _fits(v), 40), "mean_a", "mean_c", "mean_below_5", "mean_above_5")
