@@ -22,12 +22,17 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 BLOCK = frozenset("address article blockquote body caption center dd details div dl dt fieldset figcaption figure h1 h2 h3 h4 h5 h6 hgroup hr html li main ol p pre section summary table tbody td tfoot th thead tr ul".split())
 #: Elements whose text passes points to their ancestors.
 SCORED = frozenset("p pre blockquote td dd li h2 h3 h4".split())
+#: Elements of plain text that stay beside the best container.
+PLAIN = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl blockquote pre table figure".split())
 #: A start tag that ends an open element of these names, up to the nearest of the others.
 ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "tr": ({"tr"}, {"table"}), "option": ({"option"}, {"select"})}
 ENDS_P = BLOCK - {"html", "body", "caption", "td", "th", "tr", "tbody", "thead", "tfoot"}
-#: Words in an element's class, id or role that mark furniture or content.
-FURNITURE = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|banner|breadcrumbs?|byline|comments?|consent|cookies?|disqus|footer|form|gdpr|header|masthead|menu|modal|nav\w*|newsletter|notice|pagination|popup|promo\w*|related|replies|respond|share|sharing|sidebar|social|sponsor\w*|subscribe|tags?|toolbar|widget)(?:$|[\s_-]|\d)", re.I)
-CONTENT = re.compile(r"(?:^|[\s_-])(?:article|body|content|entry|main|page|post|story|text)(?:$|[\s_-]|\d)", re.I)
+#: Words in an element's class or id. Reader comments always go; furniture goes unless the element's
+#: other words say content; loose furniture also stays where one word says both, as in post-header.
+COMMENT = re.compile(r"(?:^|[_-])(?:comments?|disqus|replies|respond)(?:$|[_-]|\d)", re.I)
+FIRM = re.compile(r"(?:^|[_-])(?:ads?|advert\w*|breadcrumbs?|consent|cookies?|footer|gdpr|menu|modal|nav\w*|newsletter|pagination|popup|related|sidebar|sponsor\w*|subscribe|toolbar)(?:$|[_-]|\d)", re.I)
+LOOSE = re.compile(r"(?:^|[_-])(?:alert|banner|form|header|masthead|notices?|promo\w*|share|sharing|social)(?:$|[_-]|\d)", re.I)
+CONTENT = re.compile(r"(?:^|[_-])(?:article|body|content|entry|main|page|post|story|text)(?:$|[_-]|\d)", re.I)
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert form menu menubar toolbar".split())
 TOKEN = re.compile(r"<!--(?:.*?-->|.*)|<[!?][^>]*>?|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>", re.S)
 ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?(?=[\s/]|$)", re.I)
@@ -50,8 +55,18 @@ class Node:
             return True
         if "hidden" in a or a.get("aria-hidden") == "true" or a.get("role", "").lower() in ROLES:
             return True
-        marks = f"{a.get('class', '')} {a.get('id', '')}"
-        return len(marks) > 1 and name not in ("html", "body", "article", "main") and bool(FURNITURE.search(marks)) and not CONTENT.search(marks)
+        words = self.words()
+        if not words or name in ("html", "body", "article", "main"):
+            return False
+        if any(COMMENT.search(w) for w in words):
+            return True
+        content = [w for w in words if CONTENT.search(w)]
+        if any(not FIRM.search(w) and not LOOSE.search(w) for w in content):
+            return False
+        return any(FIRM.search(w) or (LOOSE.search(w) and w not in content) for w in words)
+
+    def words(self) -> list[str]:
+        return f"{self.attrs.get('class', '')} {self.attrs.get('id', '')}".split()
 
     def _inside(self, *names: str) -> bool:
         at = self.parent
@@ -145,7 +160,7 @@ def scored(root: Node) -> list[Node]:
     for node in nodes:
         if node.name in ("article", "main"):
             node.score += 10
-        elif CONTENT.search(f"{node.attrs.get('class', '')} {node.attrs.get('id', '')}"):
+        elif node.attrs and any(CONTENT.search(w) for w in node.words()):
             node.score += 5
         if node.name in SCORED and node.size >= 25:
             commas = sum(x.count(",") for x in node.children if not isinstance(x, Node)) + sum(y.count(",") for x in node.children if isinstance(x, Node) for y in x.children if not isinstance(y, Node))
@@ -179,22 +194,25 @@ def _blocks(node: Node, out: list[list[str]]) -> None:
 def main_text(html: str | None) -> str:
     """The article of a page as blocks joined by newlines; empty for pages without text.
 
-    The best container is kept, with those of its siblings that score a fifth as much or are long
-    paragraphs with few links. White space inside a block is one space.
+    The best container, or the article around it, is kept, with those of its siblings that score a
+    fifth as much; beside a container that is no article, plain text elements with few links stay too.
+    White space inside a block is one space.
     """
     if not html:
         return ""
     root = parsed(html)
     nodes = scored(root)
-    best = max(nodes, key=lambda n: n.score)
+    best = at = max(nodes, key=lambda n: n.score)
+    while at is not None:  # an article around the best container is it
+        if at.name in ("article", "main") and 2 * at.links < at.size:
+            best = at
+            break
+        at = at.parent
     keep = [best]
     if best.parent is not None and best.name not in ("body", "html") and best.score > 0:
+        beside = PLAIN if best.name not in ("article", "main") else frozenset()
         least = max(10.0, best.score * 0.2)
-        keep = [
-            x
-            for x in best.parent.children
-            if isinstance(x, Node) and not x.furniture and (x is best or x.score >= least or (x.name in ("p", "h1", "h2") and x.size > 80 and x.links < 0.25 * x.size))
-        ]
+        keep = [x for x in best.parent.children if isinstance(x, Node) and not x.furniture and (x is best or x.score >= least or (x.name in beside and 3 * x.links < x.size))]
     out: list[list[str]] = [[]]
     for x in keep:
         out.append([])

@@ -147,6 +147,18 @@ def test_article_is_found():
     ]
 
 
+@pytest.mark.parametrize(
+    "html, text",
+    [
+        ("<div class='main-content with-sidebar'><p>Some, long, text, here, to, be, scored.</p></div><div class='sidebar'><p>a, b, c, d, e, f, g, h, i, j, k, l</p></div>", "Some, long, text, here, to, be, scored."),
+        ("<article><div class='post-header'><h1>Title</h1></div><p class=byline>By me</p><div><p>Some, long, text, here, to, be, scored.</p></div><div class='comment-content'><p>No, no, no, no, no, no, no, no, no.</p></div><p>End.</p></article>", "Title\nBy me\nSome, long, text, here, to, be, scored.\nEnd."),
+        ("<body><h1>Title</h1><div><p>Some, long, text, here, to, be, scored.</p></div><p>End.</p><ul><li><a href=x>link</a></ul></body>", "Title\nSome, long, text, here, to, be, scored.\nEnd."),
+    ],
+)
+def test_what_stays(html, text):
+    assert html_text.main_text(html) == text
+
+
 @pytest.mark.parametrize("html, text", [(None, ""), ("", ""), ("   ", ""), ("plain &lt; text", "plain < text"), ("<p>a<p>b", "a\nb"), ("<!-- open", ""), ("<script>x", ""), ("<div>" * 5000 + "deep" + "</div>" * 5000, "deep"), ("a < b and c > d", "a < b and c > d")])
 def test_odd_pages(html, text):
     assert html_text.main_text(html) == text
