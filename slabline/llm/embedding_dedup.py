@@ -26,7 +26,7 @@ def tables_for(n: int, threshold: float = THRESHOLD, recall: float = RECALL) ->
     The bits grow with the logarithm of n, so that unrelated vectors rarely share a bucket; the number
     of tables is what ``recall`` then needs.
     """
-    bits = min(60, max(8, math.ceil(math.log2(max(n, 2))) + 2))
+    bits = min(60, max(8, math.ceil(math.log2(max(n, 2))) + 5))
     same = (1 - math.acos(threshold) / math.pi) ** bits
     return bits, max(1, math.ceil(math.log(1 - recall) / math.log(1 - same)))
 
