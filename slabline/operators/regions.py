@@ -128,10 +128,17 @@ def slice_limits(points: DataFrame, limits: tuple[float, float], along: str) ->
     return rows.groupBy("region", "period", "slice").agg(F.min("elevation").alias("low"), F.max("elevation").alias("high"))
 
 
-def region_summary(northing: DataFrame, easting: DataFrame) -> DataFrame:
+def own_slice_limits(points: DataFrame) -> DataFrame:
+    """Lowest and highest elevation by region, period and slice in one pass over the points: NO goes by
+    easting slices, the others by northing."""
+    own = F.when(F.col("region") == "NO", slice_index(F.col("x"), EASTING)).otherwise(slice_index(F.col("y"), NORTHING))
+    return points.withColumn("slice", own).where("slice is not null").groupBy("region", "period", "slice").agg(F.min("elevation").alias("low"), F.max("elevation").alias("high"))
+
+
+def region_summary(northing: DataFrame, easting: DataFrame | None = None) -> DataFrame:
     """Mean, median, population deviation and maximum of the slices' highest elevations, by region and
-    period; NO goes by easting slices, the others by northing."""
-    rows = northing.where("region <> 'NO'").unionByName(easting.where("region = 'NO'"))
+    period; NO goes by easting slices, the others by northing. Of own_slice_limits, one input is enough."""
+    rows = northing if easting is None else northing.where("region <> 'NO'").unionByName(easting.where("region = 'NO'"))
     return rows.groupBy("region", "period").agg(F.avg("high").alias("mean_high"), F.median("high").alias("median_high"), F.stddev_pop("high").alias("sd_high"), F.max("high").alias("max_high"))
 
 

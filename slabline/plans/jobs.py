@@ -33,8 +33,7 @@ def slab_points(points: DataFrame, shapes: DataFrame) -> DataFrame:
 
 def elevation_limits(points: DataFrame, shapes: DataFrame) -> DataFrame:
     """Summary of the slabs' highest elevations by region and period."""
-    p = slab_points(points, shapes)
-    return rg.region_summary(rg.slice_limits(p, rg.NORTHING, "y"), rg.slice_limits(p, rg.EASTING, "x"))
+    return rg.region_summary(rg.own_slice_limits(slab_points(points, shapes)))
 
 
 def traces_to_thickness(traces: DataFrame, exclusions: DataFrame, positions: DataFrame, step: float = 0.5, continuity: int = 20, shallow: int = 41) -> DataFrame:
