@@ -150,3 +150,28 @@ def op2_license(spark: SparkSession, sf_dir: str) -> DataFrame:
         labels(F.col("places")).alias("labels"),
         F.coalesce(F.array_max(F.transform("places", lambda x: x["score"])), F.lit(0.0)).alias("score"),
     )
+
+
+def op2_sql(templates: tuple[Template, ...] = TEMPLATES) -> str:
+    """The query as joins of word positions with the templates' terms."""
+    terms = [
+        f"({n}, '{t.label}', {t.base}, {len(t.key.split())}, {t.key_at}, {i}, '{w}', {t.key_at <= i < t.key_at + len(t.key.split())})"
+        for n, t in enumerate(templates)
+        for i, w in t.terms
+    ]
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    return rf"""
+WITH k(t, label, base, n_key, key_at, off, word, in_key) AS (VALUES {", ".join(terms)}),
+d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{upper.lower()}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents),
+w AS (SELECT doc_id, unnest(words) AS word, unnest(range(len(words))) AS pos FROM d),
+h AS (SELECT * FROM w WHERE word IN (SELECT word FROM k)),
+f AS (SELECT v.word, 1 + ln(((SELECT count(*) FROM d) + 1) / CAST(count(DISTINCT h.doc_id) + 1 AS DOUBLE)) AS idf FROM (SELECT DISTINCT word FROM k) AS v LEFT JOIN h ON h.word = v.word GROUP BY v.word),
+p AS (SELECT h.doc_id, k.t, k.label, k.base, k.key_at, h.pos - k.off + k.key_at AS start FROM h JOIN k ON k.word = h.word AND k.in_key GROUP BY h.doc_id, k.t, k.label, k.base, k.key_at, k.n_key, h.pos - k.off + k.key_at HAVING count(*) = k.n_key),
+g AS (SELECT k.t, sum(f.idf) AS total FROM k JOIN f ON f.word = k.word GROUP BY k.t),
+s AS (SELECT p.doc_id, p.t, p.start, round(sum(f.idf) / min(g.total), 6) AS score FROM p JOIN k ON k.t = p.t JOIN h ON h.doc_id = p.doc_id AND h.word = k.word AND h.pos = p.start + k.off - k.key_at JOIN f ON f.word = k.word JOIN g ON g.t = p.t GROUP BY p.doc_id, p.t, p.start),
+b AS (SELECT doc_id, count(*) FILTER (WHERE base) AS n_base, min(CASE WHEN base THEN start END) AS first_word, max(CASE WHEN base THEN start END) AS last_word,
+  string_agg(DISTINCT CASE WHEN base THEN label END, ',' ORDER BY CASE WHEN base THEN label END) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM p GROUP BY doc_id),
+m AS (SELECT doc_id, max(score) AS score FROM s GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0) AS score
+FROM d LEFT JOIN b ON b.doc_id = d.doc_id LEFT JOIN m ON m.doc_id = d.doc_id
+"""

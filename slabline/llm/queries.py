@@ -18,4 +18,9 @@ QUERIES = {
     )
 }
 
-SQL = {"op1_embedding_dedup": embedding_dedup.OP1_SQL, "op8_exact_dedup": exact_dedup.OP8_SQL}
+SQL = {
+    "op1_embedding_dedup": embedding_dedup.OP1_SQL,
+    "op2_license": licenses.op2_sql(),
+    "op8_exact_dedup": exact_dedup.OP8_SQL,
+    "op10_secrets": secrets.op10_sql(),
+}

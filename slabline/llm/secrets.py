@@ -178,3 +178,30 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = F.filter("spans", lambda x: x["kind"].isin([r.name for r in BASE]))
     count = lambda kind: F.size(F.filter("spans", lambda x: x["kind"] == kind)).cast("long")
     return found.select("doc_id", *[count(r.name).alias(f"n_{r.name}") for r in BASE], F.sha2(_spans.joined(base), 256).alias("base_sha256"), _spans.joined(F.col("spans")).alias("spans"))
+
+
+def op10_sql(rules: tuple[Rule, ...] = RULES) -> str:
+    """The query with matches placed by window sums over what lies between them."""
+    parts = []
+    for rank, r in enumerate(rules):
+        # the other engine's syntax has no possessive repeats and no look-behind; runs are maximal anyway
+        find = r.find.replace("(?<![0-9a-f])[0-9a-f]{24,}+", "[0-9a-f]+").replace("++", "+").replace("}+", "}").replace("'", "''")
+        parts.append(
+            f"SELECT doc_id, '{r.name}' AS kind, {rank} AS rank, i, found, gap FROM (SELECT doc_id, unnest(m) AS found, unnest(g[1:len(m)]) AS gap, unnest(range(len(m))) AS i"
+            f" FROM (SELECT doc_id, regexp_extract_all(t, '{find}') AS m, string_split_regex(t, '{find}') AS g FROM d) AS x) AS y"
+        )
+    ok = []
+    for r in rules:
+        part = r.part.replace("'", "''")
+        what = f"regexp_extract(found, '{part}', 1)" if r.part else "found"
+        ok.append(f"(kind = '{r.name}' AND length({what}) >= {24 if r.name == 'hex' else r.least})")
+    base = ", ".join(f"'{r.name}'" for r in BASE)
+    counts = ", ".join(f"count(*) FILTER (WHERE kind = '{r.name}') AS n_{r.name}" for r in BASE)
+    shown = "kind || ':' || CAST(e - length(found) AS STRING) || ':' || CAST(e AS STRING)"
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), a AS ({" UNION ALL ".join(parts)}),
+p AS (SELECT doc_id, kind, rank, found, CAST(sum(length(gap) + length(found)) OVER (PARTITION BY doc_id, rank ORDER BY i) AS BIGINT) AS e FROM a),
+s AS (SELECT *, {shown} AS span, e - length(found) AS start FROM p WHERE {' OR '.join(ok)}),
+g AS (SELECT doc_id, {counts}, string_agg(CASE WHEN kind IN ({base}) THEN span END, ',' ORDER BY start, rank) AS base, string_agg(span, ',' ORDER BY start, rank) AS spans FROM s GROUP BY doc_id)
+SELECT d.doc_id, {", ".join(f"coalesce(n_{r.name}, 0) AS n_{r.name}" for r in BASE)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN g ON g.doc_id = d.doc_id
+"""
