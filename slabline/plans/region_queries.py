@@ -4,13 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import geo
 from ..operators import gpsmatch, track
 from ..operators import regions as rg
 from ..operators import transects as ts
 from . import jobs
 from .catalog_queries import POLAR
-from .registry import Inputs, longs, query, r, rounded
+from .registry import Inputs, query, r, rounded
 
 # Matching of 2002-2003.
 
