@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re._constants as k
 import re._parser
+from collections import Counter
 from dataclasses import dataclass
 from itertools import product
 
@@ -43,6 +44,9 @@ MORE = (
 RULES = BASE + MORE
 #: Alternatives a rule's query may have.
 ALTERNATIVES = 64
+#: Trigrams of an alternative that are looked up at most, those first that other alternatives share.
+#: A part of what is mandatory is mandatory, so this loses no match.
+TERMS = 3
 #: Candidate rows up to which their keys are broadcast; beyond that they are joined by a shuffle.
 BROADCAST_ROWS = 200_000
 
@@ -82,7 +86,7 @@ def trigram_query(regex: str) -> list[frozenset[str]]:
 
     A regular expression is a sequence of items. Each run of items with few possible strings must
     occur; the trigrams of its strings are one OR of ANDs. The runs' queries are multiplied out while
-    they stay small. No alternatives at all: no trigram is mandatory.
+    they stay small, and thinned to TERMS. No alternatives at all: no trigram is mandatory.
     """
     runs, run = [], {""}
     for item in [*re._parser.parse(regex), (k.ANY, None)]:
@@ -97,8 +101,9 @@ def trigram_query(regex: str) -> list[frozenset[str]]:
         of = {frozenset(s[i : i + 3] for i in range(len(s) - 2)) for s in run}
         if all(of) and len(query) * len(of) <= ALTERNATIVES:
             query = [a | b for a, b in product(query, of)]
-    query = [a for a in set(query) if not any(b < a for b in query)]
-    return [] if frozenset() in query else sorted(query, key=sorted)
+    shared = Counter(t for a in query for t in a)
+    query = {frozenset(sorted(a, key=lambda t: (-shared[t], t))[:TERMS]) for a in query}
+    return [] if frozenset() in query else sorted((a for a in query if not any(b < a for b in query)), key=sorted)
 
 
 def _key(docs: DataFrame, id_col: str, text: str) -> DataFrame:
