@@ -46,7 +46,8 @@ def traces_to_thickness(traces: DataFrame, exclusions: DataFrame, positions: Dat
     spans = masks.intervals(exclusions.where("list = '1'"))
     kept = correct.minus_surface(masks.masked_out(traces, spans))
     sums = correct.depth_sums(kept)
-    fit = correct.depth_fit(sums, sums.select("track", "depth_idx", (F.col("depth_idx") * step).alias("depth")))
+    # one row per track, used by the quantiles and by the images: kept, so that it is fitted once
+    fit = correct.depth_fit(sums, sums.select("track", "depth_idx", (F.col("depth_idx") * step).alias("depth"))).persist()
     depths = F.transform(F.sequence(F.lit(0), F.size("samples") - 1), lambda i: i * F.lit(step))
     flat = tr.shallow(correct.depth_corrected(kept, fit, depths), shallow)
     values = tr.cells(flat).where("value is not null and not isnan(value)")
