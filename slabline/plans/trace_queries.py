@@ -266,7 +266,7 @@ def i3(v):
 @query("i3_labels")
 def i3_labels(v):
     one = v.spark.createDataFrame([(0.5, 0.0)], "quantile double, cutoff double")
-    images = identify.below_cutoffs(v("traces").where("trace < 12"), one).withColumn("col", F.col("trace"))
+    images = identify.below_cutoffs(v("traces"), one).withColumn("col", F.col("trace"))
     return identify.components(images, "orig").groupBy("track", "size").agg(F.count("*").alias("n"))
 
 
