@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import kernels
+from . import pooled
 from . import traces as tr
 
 
@@ -137,14 +138,15 @@ def by_deviation(traces: DataFrame) -> DataFrame:
 def rescaled(traces: DataFrame, flagged: DataFrame, low: float = 0.05, high: float = 0.95) -> DataFrame:
     """Each trace of flagged tracks min-max scaled to the pooled percentiles of all other tracks.
 
-    One exact percentile over the others' samples gives one row, which is joined to all. Traces
-    without any spread get the lower bound.
+    The exact percentiles over the others' samples are two numbers. Traces without any spread get the
+    lower bound.
     """
     others = tr.cells(traces.join(flagged.select("track"), "track", "left_anti")).where("value is not null and not isnan(value)")
-    bounds = others.agg(F.percentile("value", F.array(F.lit(low), F.lit(high))).alias("_p"))
-    rows = traces.join(flagged.select("track"), "track", "left_semi").crossJoin(F.broadcast(bounds))  # one row is broadcast
-    lo, hi, a, b = F.get("_p", F.lit(0)), F.get("_p", F.lit(1)), F.array_min("samples"), F.array_max("samples")
-    return rows.withColumn("samples", F.transform("samples", lambda v: lo + F.coalesce(F.try_divide(v - a, b - a), F.lit(0.0)) * (hi - lo))).drop("_p")
+    bounds = pooled.percentiles(others, "value", [low, high]) or [None, None]
+    rows = traces.join(flagged.select("track"), "track", "left_semi")
+    lo, hi = (F.lit(x).cast("double") for x in bounds)
+    a, b = F.array_min("samples"), F.array_max("samples")
+    return rows.withColumn("samples", F.transform("samples", lambda v: lo + F.coalesce(F.try_divide(v - a, b - a), F.lit(0.0)) * (hi - lo)))
 
 
 def midpoint_percentiles(df: DataFrame, key: str, value: str, quantiles: list[float]) -> DataFrame:

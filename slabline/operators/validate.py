@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import kernels
+from . import pooled
 
 
 def split_by_truth(cells: DataFrame, truth: DataFrame, on: list[str]) -> DataFrame:
@@ -17,9 +18,8 @@ def split_by_truth(cells: DataFrame, truth: DataFrame, on: list[str]) -> DataFra
 
 def cutoffs(cells: DataFrame, quantiles: list[float], value: str = "value") -> DataFrame:
     """(quantile, cutoff): exact quantiles of the ice values."""
-    array = F.array(*[F.lit(float(q)) for q in quantiles])
-    one = cells.where("kind = 'ice'").agg(F.percentile(value, array).alias("p"))
-    return one.select(F.explode(F.arrays_zip(array.alias("quantile"), F.col("p").alias("cutoff"))).alias("z")).select("z.*")
+    found = pooled.percentiles(cells.where("kind = 'ice'"), value, quantiles) or []
+    return cells.sparkSession.createDataFrame([(float(q), p) for q, p in zip(quantiles, found, strict=False)], "quantile double, cutoff double")
 
 
 def histogram(df: DataFrame, low: float, high: float, bins: int, value: str = "value", key: str = "kind") -> DataFrame:

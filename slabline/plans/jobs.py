@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import correct, identify, masks, track
+from ..operators import correct, identify, masks, pooled, track
 from ..operators import regions as rg
 from ..operators import traces as tr
 from ..operators import transects as ts
@@ -51,7 +51,7 @@ def traces_to_thickness(traces: DataFrame, exclusions: DataFrame, positions: Dat
     depths = F.transform(F.sequence(F.lit(0), F.size("samples") - 1), lambda i: i * F.lit(step))
     flat = tr.shallow(correct.depth_corrected(kept, fit, depths), shallow)
     values = tr.cells(flat).where("value is not null and not isnan(value)")
-    cut = values.agg(F.percentile("value", F.array(*map(F.lit, QUANTILES))).alias("p")).first()["p"]  # 15 numbers
+    cut = pooled.percentiles(values, "value", QUANTILES)
     like = identify.likelihood(identify.ice_counts(flat, cut or [], least=continuity), len(QUANTILES))
     firn = masks.intervals(exclusions.where("list = '0'"), single=False)
     content = like.withColumns({"content": identify.ice_content(F.col("likelihood"), step), "mean_likelihood": identify.mean_likelihood(F.col("likelihood"))})
