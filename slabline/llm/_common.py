@@ -93,6 +93,17 @@ def join_split(rows: DataFrame, aggregated: DataFrame, keys: list[str], how: str
     return rows.withColumn("_spread", more).join(aggregated.withColumn("_spread", more), [*keys, "_spread"], how).drop("_spread")
 
 
+#: Rows of one long that are broadcast at most: 16 MB.
+FEW = 2_000_000
+
+
+def matching(rows: DataFrame, keys: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """Joins rows with ``keys``, a written table of few rows for most inputs: a long named ``key`` and
+    at most short columns of bounded size. They are counted; up to FEW are broadcast, so that rows
+    with texts stay where they are. More are joined by a shuffle."""
+    return rows.join(F.broadcast(keys) if keys.count() <= FEW else keys, key, how)
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
     """Links each neighbour above a node to the least label around that node."""
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))

@@ -20,8 +20,12 @@ from . import _common as c
 PIECE = 1 << 16
 #: Code points of text that are encoded before their result leaves the task.
 FLUSH = 1 << 21
+#: The white space of the pattern, which is Unicode's and not that of ``re``.
+BLANK = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Before white space that follows another character: no match of the pattern goes across.
-SAFE = re.compile(r"(?<=\S)(?=\s)")
+SAFE = re.compile(rf"(?<=[^{BLANK}])(?=[{BLANK}])")
+#: White space so long that it is no work for the pattern's engine, which backtracks in it.
+LONG = re.compile(rf"(?<![{BLANK}])[{BLANK}]{{4096,}}")
 
 
 @lru_cache(2)
@@ -34,14 +38,27 @@ def encoding(ranks: str, pattern: str):
     return tiktoken.Encoding("local", pat_str=pattern, mergeable_ranks=of, special_tokens={})
 
 
-def pieces(text: str, size: int = PIECE) -> Iterator[str]:
-    """A long text in pieces of at least ``size``, cut at safe boundaries only.
+def stretches(text: str) -> Iterator[tuple[str, bool]]:
+    """A text in parts that no match of the pattern goes across; True for one match by itself.
 
     The pattern's alternatives take white space at their start only, or white space alone, and look
-    ahead at most one character, so the cut before white space that follows a visible character
-    changes no match. A text without such a place stays whole.
+    ahead at most one character. So nothing that starts before white space goes into it, and a run of
+    it is one match, but for its last character where a visible one follows.
     """
     at = 0
+    for run in LONG.finditer(text):
+        if run.start() > at:
+            yield text[at : run.start()], False
+        at = run.end() if run.end() == len(text) else run.end() - 1
+        yield text[run.start() : at], True
+    if at < len(text):
+        yield text[at:], False
+
+
+def pieces(text: str, size: int = PIECE) -> Iterator[str]:
+    """A long text in pieces of at least ``size``, cut before white space that follows a visible
+    character, which changes no match. A text without such a place stays whole."""
+    at = 0
     while len(text) - at > size and (cut := SAFE.search(text, at + size)):
         yield text[at : cut.start()]
         at = cut.start()
@@ -49,9 +66,14 @@ def pieces(text: str, size: int = PIECE) -> Iterator[str]:
 
 
 def encode(text: str, ranks: str, pattern: str = public_tokenizers.PATTERN) -> np.ndarray:
-    """The ids of one text."""
+    """The ids of one text. White space runs of any length and texts without any are fine."""
     of = encoding(ranks, pattern)
-    return np.concatenate([np.asarray(of.encode_ordinary(x), np.int32) for x in pieces(text)])
+    if len(text) < PIECE:  # too short for a run that matters
+        return np.asarray(of.encode_ordinary(text), np.int32)
+    ids = []
+    for part, single in stretches(text):
+        ids += [of._encode_single_piece(part)] if single else map(of.encode_ordinary, pieces(part))
+    return np.concatenate([np.asarray(x, np.int32) for x in ids])
 
 
 def decode(ids: np.ndarray, ranks: str, pattern: str = public_tokenizers.PATTERN) -> bytes:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 from html import unescape
 
@@ -34,25 +35,32 @@ FIRM = re.compile(r"(?:^|[_-])(?:ads?|advert\w*|breadcrumbs?|consent|cookies?|fo
 LOOSE = re.compile(r"(?:^|[_-])(?:alert|banner|form|header|masthead|notices?|promo\w*|share|sharing|social)(?:$|[_-]|\d)", re.I)
 CONTENT = re.compile(r"(?:^|[_-])(?:article|body|content|entry|main|page|post|story|text)(?:$|[_-]|\d)", re.I)
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert form menu menubar toolbar".split())
-TOKEN = re.compile(r"<!--(?:.*?-->|.*)|<[!?][^>]*>?|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>", re.S)
-ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?(?=[\s/]|$)", re.I)
+#: End tags that close elements outside the table or cell they stand in.
+THROUGH = frozenset("table tr tbody div article body".split())
+CELLS = ("td", "th", "table")
+OPENING = re.compile(r"<(?:!--|[!?]|/?[A-Za-z])")
+NAME = re.compile(r"<(/?)([A-Za-z][^\s/<>]*)")
+SPECIAL = re.compile(r"[>\"']")
+ATTRIBUTE = re.compile(r"(?<![\w-])(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?(?=[\s/]|$)", re.I)
 SPACES = re.compile(r"\s+")
 
 
 class Node:
-    """An element: its children are nodes and strings."""
+    """An element: its children are nodes and strings. ``nested``: an article or main part is around it."""
 
     __slots__ = ("attrs", "children", "furniture", "links", "name", "parent", "score", "size")
 
-    def __init__(self, name: str, attrs: dict[str, str], parent: Node | None):
+    def __init__(self, name: str, attrs: dict[str, str], parent: Node | None, nested: bool = False):
         self.name, self.attrs, self.parent, self.children = name, attrs, parent, []
         self.score, self.size, self.links = 0.0, 0, 0
-        self.furniture = parent is not None and self._furniture()
+        self.furniture = parent is not None and self._furniture(nested)
 
-    def _furniture(self) -> bool:
+    def _furniture(self, nested: bool) -> bool:
         a, name = self.attrs, self.name
-        if name in DROPPED and not (name == "header" and self._inside("article", "main")):
+        if name in DROPPED and not (name == "header" and nested):
             return True
+        if not a:
+            return False
         if "hidden" in a or a.get("aria-hidden") == "true" or a.get("role", "").lower() in ROLES:
             return True
         words = self.words()
@@ -68,63 +76,123 @@ class Node:
     def words(self) -> list[str]:
         return f"{self.attrs.get('class', '')} {self.attrs.get('id', '')}".split()
 
-    def _inside(self, *names: str) -> bool:
-        at = self.parent
-        while at is not None:
-            if at.name in names:
-                return True
-            at = at.parent
-        return False
+
+class TagEnds:
+    """Finds the ends of tags in one page in time linear in its length, whatever stands in it.
+
+    A scan outside quotes only depends on where it is. What a failed scan has seen outside quotes is
+    remembered, and so is the way to the next special character.
+    """
+
+    def __init__(self, html: str):
+        self.html, self.last = html, html.rfind(">")
+        self.clear = (0, 0)
+        self.failed: set[int] = set()
+
+    def _special(self, at: int) -> int:
+        lo, hi = self.clear
+        if not lo <= at <= hi:
+            m = SPECIAL.search(self.html, at)
+            self.clear = lo, hi = at, m.start() if m else len(self.html)
+        return hi
+
+    def find(self, at: int) -> int:
+        """The place of the > that ends the tag whose attributes start at ``at``; -1 if it is no tag."""
+        seen = []
+        while at <= self.last:
+            at = self._special(at)
+            if at in self.failed or at > self.last:
+                break
+            if (c := self.html[at]) == ">":
+                return at
+            seen.append(at)
+            if (close := self.html.find(c, at + 1)) < 0:
+                break
+            at = close + 1
+        self.failed.update(seen)
+        return -1
+
+
+class Open:
+    """The elements that are open, and where each name and each block is among them."""
+
+    def __init__(self):
+        self.stack = [Node("#root", {}, None)]
+        self.at: dict[str, list[int]] = defaultdict(list)
+        self.blocks = [0]
+
+    def deepest(self, names) -> int:
+        """Place of the innermost open element of these names; 0 without one."""
+        return max((self.at[n][-1] for n in names if self.at.get(n)), default=0)
+
+    def push(self, node: Node) -> None:
+        self.at[node.name].append(len(self.stack))
+        if node.name in BLOCK:
+            self.blocks.append(len(self.stack))
+        self.stack.append(node)
+
+    def cut(self, to: int) -> None:
+        """Closes the element at place ``to`` and all inside it."""
+        while len(self.stack) > to:
+            self.at[self.stack.pop().name].pop()
+        while self.blocks[-1] >= len(self.stack):
+            self.blocks.pop()
+
+    def end(self, name: str) -> None:
+        """An end tag closes the innermost element of its name; most can't leave a table or cell."""
+        at = self.deepest((name,))
+        if at and (name in THROUGH or at >= self.deepest(CELLS)):
+            self.cut(at)
+
+    def begin(self, name: str) -> None:
+        """Closes what a start tag ends."""
+        if name in ENDS_P and (at := self.blocks[-1]) and self.stack[at].name == "p":
+            self.cut(at)
+        if name in ENDS:
+            closed, bounds = ENDS[name]
+            if (at := self.deepest(closed)) > self.deepest(bounds):
+                self.cut(at)
 
 
 def parsed(html: str) -> Node:
     """The tree of a page; unclosed and misnested elements are closed as browsers mostly do."""
-    root = at = Node("#root", {}, None)
-    pos = 0
-    while m := TOKEN.search(html, pos):
-        if m.start() > pos:
-            at.children.append(unescape(html[pos : m.start()]))
-        pos = m.end()
-        name = (m[2] or "").lower()
-        if not name:
+    open_, ends = Open(), TagEnds(html)
+    root = open_.stack[0]
+    text = pos = 0  # text that is not in the tree yet; where to look next
+
+    def flush(upto: int) -> None:
+        if upto > text:
+            open_.stack[-1].children.append(unescape(html[text:upto]))
+
+    while m := OPENING.search(html, pos):
+        at = m.start()
+        if m[0][1] in "!?":
+            close, skip = ("-->", 3) if m[0] == "<!--" else (">", 1)
+            flush(at)
+            end = html.find(close, m.end())
+            text = pos = len(html) if end < 0 else end + skip
             continue
-        if m[1]:
-            up = at
-            while up is not root and up.name != name and not (up.name in ("td", "th", "table") and name not in ("table", "tr", "tbody", "div", "article", "body")):
-                up = up.parent
-            if up is not root and up.name == name:
-                at = up.parent
+        tag = NAME.match(html, at)
+        if (end := ends.find(tag.end())) < 0:
+            pos = tag.end()
             continue
-        if name in ENDS_P:
-            up = at
-            while up is not root and up.name not in BLOCK:
-                up = up.parent
-            if up.name == "p":
-                at = up.parent
-        elif name in ENDS:
-            closed, bounds = ENDS[name]
-            up = at
-            while up is not root and up.name not in bounds and up.name not in closed:
-                up = up.parent
-            if up.name in closed:
-                at = up.parent
-        if name in ENDS and name in ENDS_P:
-            closed, bounds = ENDS[name]
-            up = at
-            while up is not root and up.name not in bounds and up.name not in closed:
-                up = up.parent
-            if up.name in closed:
-                at = up.parent
-        attrs = {k.lower(): x or y or z for k, x, y, z in ATTRIBUTE.findall(m[3])} if len(m[3]) > 4 else {}
-        node = Node(name, attrs, at)
-        at.children.append(node)
+        flush(at)
+        text = pos = end + 1
+        name, inside = tag[2].lower(), html[tag.end() : end]
+        if tag[1]:
+            open_.end(name)
+            continue
+        open_.begin(name)
+        attrs = {k.lower(): x or y or z for k, x, y, z in ATTRIBUTE.findall(inside)} if len(inside) > 4 else {}
+        node = Node(name, attrs, open_.stack[-1], bool(open_.at.get("article") or open_.at.get("main")))
+        open_.stack[-1].children.append(node)
         if name in RAW:
-            end = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(html, pos)
-            pos = end.end() if end else len(html)
-        elif name not in VOID and not m[3].endswith("/"):
-            at = node
-    if pos < len(html):
-        at.children.append(unescape(html[pos:]))
+            close = re.compile(rf"</{re.escape(name)}\b", re.I).search(html, pos)
+            end = html.find(">", close.end()) if close else -1
+            text = pos = len(html) if end < 0 else end + 1
+        elif name not in VOID and not inside.endswith("/"):
+            open_.push(node)
+    flush(len(html))
     return root
 
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import re._constants as k
 import re._parser
-from collections import Counter
 from dataclasses import dataclass
 from itertools import product
 
@@ -44,11 +44,6 @@ MORE = (
 RULES = BASE + MORE
 #: Alternatives a rule's query may have.
 ALTERNATIVES = 64
-#: Trigrams of an alternative that are looked up at most, those first that other alternatives share.
-#: A part of what is mandatory is mandatory, so this loses no match.
-TERMS = 3
-#: Candidate rows up to which their keys are broadcast; beyond that they are joined by a shuffle.
-BROADCAST_ROWS = 200_000
 
 
 def _strings(node) -> set[str] | None:
@@ -86,7 +81,7 @@ def trigram_query(regex: str) -> list[frozenset[str]]:
 
     A regular expression is a sequence of items. Each run of items with few possible strings must
     occur; the trigrams of its strings are one OR of ANDs. The runs' queries are multiplied out while
-    they stay small, and thinned to TERMS. No alternatives at all: no trigram is mandatory.
+    they stay small. No alternatives at all: no trigram is mandatory.
     """
     runs, run = [], {""}
     for item in [*re._parser.parse(regex), (k.ANY, None)]:
@@ -101,79 +96,75 @@ def trigram_query(regex: str) -> list[frozenset[str]]:
         of = {frozenset(s[i : i + 3] for i in range(len(s) - 2)) for s in run}
         if all(of) and len(query) * len(of) <= ALTERNATIVES:
             query = [a | b for a, b in product(query, of)]
-    shared = Counter(t for a in query for t in a)
-    query = {frozenset(sorted(a, key=lambda t: (-shared[t], t))[:TERMS]) for a in query}
+    query = set(query)
     return [] if frozenset() in query else sorted((a for a in query if not any(b < a for b in query)), key=sorted)
 
 
-def _key(docs: DataFrame, id_col: str, text: str) -> DataFrame:
-    return docs.select(F.col(id_col).alias("_id"), c.text_or_empty(text).alias("_text")).withColumn("_hash", F.xxhash64("_text"))
+def any_of(trigrams: list[str]) -> str:
+    """A regular expression that finds every place where one of the trigrams begins, as its group 1.
 
-
-def _with(rows: DataFrame, more: DataFrame, how: str = "inner") -> DataFrame:
-    """Joins by id, nulls being equal, and text hash."""
-    more = more.withColumnsRenamed({"_id": "_other_id", "_hash": "_other_hash"})
-    on = F.col("_id").eqNullSafe(F.col("_other_id")) & (F.col("_hash") == F.col("_other_hash"))
-    return rows.join(more, on, how).drop("_other_id", "_other_hash")
+    Trigrams that begin alike share a branch, and places where none begins fail at once.
+    """
+    quote = lambda s: re.sub(r"([^\w\s])", r"\\\1", s)
+    by: dict[str, dict[str, list[str]]] = {}
+    for t in sorted(trigrams):
+        by.setdefault(t[0], {}).setdefault(t[1], []).append(t[2])
+    second = lambda of: "|".join(f"{quote(b)}[{''.join(map(quote, c))}]" for b, c in of.items())
+    heads = "".join(map(quote, by))
+    return f"(?=[{heads}])(?=({'|'.join(f'{quote(a)}(?:{second(of)})' for a, of in by.items())}))"
 
 
 def index(docs: DataFrame, trigrams: list[str], scans: tuple[Rule, ...], scratch: c.Scratch, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """A written table with one row per row of docs: its id and text hash, the numbers of those of
-    ``trigrams`` that it has, and the hits of the rules that have to scan every text."""
-    rows = _key(docs, id_col, text)
-    low = F.lower("_text")
-    grams = F.array_compact(F.array(*[F.when(F.contains(low, F.lit(t)), F.lit(i)) for i, t in enumerate(trigrams)]))
-    return scratch.keep(rows.select("_id", "_hash", grams.alias("_grams"), *[_spans.hits(F.col("_text"), r.find).alias(r.name) for r in scans]), "index")
+    """A written table with one row per row of docs: _row, its id and text, the distinct trigrams of
+    ``trigrams`` that it has, found in one pass, and the hits of the rules that scan every text."""
+    rows = docs.select(F.col(id_col).alias("_id"), c.text_or_empty(text).alias("_text"))
+    grams = F.array_distinct(F.regexp_extract_all(F.lower("_text"), F.lit(any_of(trigrams)), F.lit(1))) if trigrams else F.array().cast("array<string>")
+    return c.numbered(_spans.with_hits(rows.withColumn("_grams", grams), "_text", {r.name: r.find for r in scans}), scratch)
 
 
-def candidates(indexed: DataFrame, queries: dict[str, list[frozenset[str]]], trigrams: list[str]) -> DataFrame:
-    """(_id, _hash, _rules): rows whose postings satisfy a rule's query.
+def candidates(indexed: DataFrame, queries: dict[str, list[frozenset[str]]]) -> DataFrame:
+    """(_row, _rules): rows whose postings satisfy a rule's query.
 
-    Inverted: each term of a query meets its postings; an alternative holds where as many of its
-    terms meet as it has. The terms are a fixed table of a few hundred rows at most.
+    The posting lists (trigram, row) meet the terms of the queries; an alternative holds for the rows
+    where as many of its terms meet as it has. The terms are a fixed table of a few hundred rows.
     """
-    spark = indexed.sparkSession
-    terms = [(trigrams.index(t), f"{rule}/{n}", rule, len(alt)) for rule, alts in queries.items() for n, alt in enumerate(alts) for t in alt]
-    terms = spark.createDataFrame(terms, "_gram int, _alt string, _rule string, _all int")
-    postings = indexed.select("_id", "_hash", F.explode("_grams").alias("_gram")).distinct()
-    met = postings.join(F.broadcast(terms), "_gram").groupBy("_id", "_hash", "_rule", "_alt").agg(F.count("*").alias("_n"), F.first("_all").alias("_all"))
-    return met.where("_n = _all").groupBy("_id", "_hash").agg(F.collect_set("_rule").alias("_rules"))
+    terms = [(t, f"{rule}/{n}", rule, len(alt)) for rule, alts in queries.items() for n, alt in enumerate(alts) for t in alt]
+    terms = indexed.sparkSession.createDataFrame(terms, "_gram string, _alt string, _rule string, _all int")
+    postings = indexed.select("_row", F.explode("_grams").alias("_gram"))
+    met = postings.join(F.broadcast(terms), "_gram").groupBy("_row", "_rule", "_alt").agg(F.count("*").alias("_n"), F.first("_all").alias("_all"))
+    return met.where("_n = _all").groupBy("_row").agg(F.collect_set("_rule").alias("_rules"))
 
 
 def secret_spans(docs: DataFrame, scratch: c.Scratch, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of docs: id, and spans, an array of (kind, start, end, found) by start, then in
     the order of rules. Places are code points, the end is exclusive.
 
-    Null texts count as empty; null ids and repeated rows are kept apart by id and text, and equal
-    ones get equal results. Other columns are ignored. Matches are leftmost and non-overlapping per
-    rule; one that fails its rule's length is dropped, and the search goes on after it.
+    Null texts count as empty; null ids and repeated rows are rows of their own. Other columns are
+    ignored. Matches are leftmost and non-overlapping per rule; one that fails its rule's length is
+    dropped, and the search goes on after it.
     """
     queries = {r.name: q for r in rules if (q := trigram_query(r.find))}
     trigrams = sorted({t for q in queries.values() for alt in q for t in alt})
     scans, looked_up = tuple(r for r in rules if r.name not in queries), [r for r in rules if r.name in queries]
     indexed = index(docs, trigrams, scans, scratch, id_col, text)
-    found = scratch.keep(candidates(indexed, queries, trigrams), "candidates")
-    few = found.count() <= BROADCAST_ROWS
-    rows = _key(docs, id_col, text)
-    held = _with(rows, F.broadcast(found) if few else found)
-    verified = held.select("_id", "_hash", *[F.when(F.array_contains("_rules", r.name), _spans.hits(F.col("_text"), r.find)).otherwise(F.array().cast(_spans.NO_HITS)).alias(r.name) for r in looked_up])
-    scanned = indexed.where(" or ".join(f"size({r.name}) > 0" for r in scans) or "false").select("_id", "_hash", *[r.name for r in scans])
     spans = None
-    for part, names in ((verified, [r.name for r in looked_up]), (scanned, [r.name for r in scans])):
+    if looked_up:
+        found = scratch.keep(candidates(indexed, queries), "candidates")
+        held = c.matching(indexed.select("_row", "_text"), found, "_row")
+        verified = _spans.with_hits(held, "_text", {r.name: r.find for r in looked_up}, when={r.name: F.array_contains("_rules", r.name) for r in looked_up})
+    for part, names in ((verified if looked_up else None, [r.name for r in looked_up]), (indexed, [r.name for r in scans])):
         if names:
-            once = part.groupBy("_id", "_hash").agg(*[F.first(n).alias(n) for n in names])
-            got = _spans.placed(once.where(" or ".join(f"size({n}) > 0" for n in names)), ["_id", "_hash"], names)
+            got = _spans.placed(part.where(" or ".join(f"size({n}) > 0" for n in names)), ["_row"], names)
             spans = got if spans is None else spans.unionByName(got)
-    order = {r.name: i for i, r in enumerate(rules)}
     counted, rank = F.lit(False), F.lit(len(rules))
-    for r in rules:
+    for i, r in enumerate(rules):
         what = F.regexp_extract("found", r.part, 1) if r.part else F.col("found")
         counted = F.when(F.col("kind") == r.name, F.length(what) >= r.least).otherwise(counted)
-        rank = F.when(F.col("kind") == r.name, F.lit(order[r.name])).otherwise(rank)
-    spans = spans.where(counted).groupBy("_id", "_hash").agg(
-        F.array_sort(F.collect_list(F.struct("start", rank.alias("rank"), "end", "kind", "found"))).alias("_spans")
-    )
-    return _with(indexed, spans, "left").select(F.col("_id").alias(id_col), F.transform(F.coalesce("_spans", F.array().cast("array<struct<start:bigint,rank:int,end:bigint,kind:string,found:string>>")), lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end"), x["found"].alias("found"))).alias("spans"))
+        rank = F.when(F.col("kind") == r.name, F.lit(i)).otherwise(rank)
+    spans = spans.where(counted).groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("start", rank.alias("rank"), "end", "kind", "found"))).alias("_spans"))
+    none = F.array().cast("array<struct<start:bigint,rank:int,end:bigint,kind:string,found:string>>")
+    tidy = F.transform(F.coalesce("_spans", none), lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end"), x["found"].alias("found")))
+    return indexed.select("_row", "_id").join(spans, "_row", "left").select(F.col("_id").alias(id_col), tidy.alias("spans"))
 
 
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

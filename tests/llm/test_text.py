@@ -1,6 +1,9 @@
 """Toxicity, mixing, HTML extraction and tokenization: held-out accuracy, totals, fixtures, round trips."""
 
 import hashlib
+import random
+import re
+import time
 
 import numpy as np
 import public_tokenizers
@@ -204,3 +207,38 @@ def test_encoded_rows(spark, monkeypatch):
     assert (d.n_tokens, d.ids_sha256, d.decoded_sha256) == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(texts[2].encode()).hexdigest())
     assert byte_bpe.digests(df.limit(0), RANKS).count() == 0
     assert isinstance(whole(), tiktoken.Encoding)
+
+
+@pytest.mark.parametrize("text", [" " * 10**7, "a" + "\n" * 10**6 + "b c", ("x" + " " * 5000) * 200, "\x1c\x1d" * 40_000, "\u3000" * 10**6 + "é"], ids=range(5))
+def test_long_white_space_is_encoded(text):
+    ids = byte_bpe.encode(text, RANKS)
+    assert byte_bpe.decode(ids, RANKS) == text.encode()
+
+
+def test_white_space_runs_as_without_cuts(monkeypatch):
+    monkeypatch.setattr(byte_bpe, "PIECE", 40)
+    monkeypatch.setattr(byte_bpe, "LONG", re.compile(byte_bpe.LONG.pattern.replace("4096", "5")))
+    whole, rng = byte_bpe.encoding(RANKS, public_tokenizers.PATTERN), random.Random(2)
+    for _ in range(3000):
+        text = "".join(rng.choice("ab1é!'s \n\t\u3000\x1c\x85") if rng.random() < 0.7 else rng.choice(" \n") * rng.randint(1, 15) for _ in range(rng.randint(0, 90)))
+        assert byte_bpe.encode(text, RANKS).tolist() == whole.encode_ordinary(text), repr(text)
+
+
+K = 1 << 17
+
+
+@pytest.mark.parametrize(
+    "page",
+    ["<a " * (2 * K), '<a "' * (2 * K), "<a \"" * (2 * K) + "'>", "<b>" * K + "</i>" * K, "<x><table>" + "<b>" * K + "</x>" * K, "<ul>" + "<b>" * K + "<li></li>" * K, "<script></script " * (K // 2), "<b>" * K + "<header>" * K, "<a<" * (2 * K)],
+    ids=range(9),
+)
+def test_malformed_pages_take_linear_time(page):
+    began = time.process_time()
+    html_text.main_text(page)
+    assert time.process_time() - began < 10
+
+
+def test_misnested_tables_and_quotes():
+    assert html_text.main_text("<p>one <b>two<table><tr><td>three</b> four</td></tr></table></p><p>five") == "one two\nthree four\nfive"
+    assert html_text.main_text('<p title="a > b">x</p><p a="un closed>y</p>') == 'x\n<p a="un closed>y'
+    assert html_text.main_text("<p data-id=menu>kept</p>") == "kept"
