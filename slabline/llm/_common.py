@@ -59,6 +59,13 @@ class Scratch:
     def last(self) -> str:
         return self.tables[-1]
 
+    def drop_since(self, mark: int, *but: str) -> None:
+        """Removes what was kept after the first ``mark`` tables, but for tables of these names: what an
+        operator no longer needs when its result is made of the others."""
+        for at in self.tables[mark:]:
+            if at.rsplit("/", 1)[1].rsplit("-", 1)[0] not in but:
+                self.drop(at)
+
     def drop(self, *at: str) -> None:
         for path in at or list(self.tables):
             self._fs().delete(self._path(path), True)
@@ -93,17 +100,22 @@ def join_split(rows: DataFrame, aggregated: DataFrame, keys: list[str], how: str
     return rows.withColumn("_spread", more).join(aggregated.withColumn("_spread", more), [*keys, "_spread"], how).drop("_spread")
 
 
-#: Rows of one long that are broadcast at most: 16 MB.
-FEW = 2_000_000
+#: Rows of a long or two that are broadcast at most: some 50 MB.
+FEW = 1_000_000
 
 
 def matching(rows: DataFrame, keys: DataFrame, key: str, how: str = "inner") -> DataFrame:
-    """Joins rows with ``keys``, a written table of few rows for most inputs: a long named ``key`` and
-    at most short columns of bounded size. They are counted; up to FEW are broadcast, so that rows
-    with texts stay where they are. More are joined by a shuffle."""
+    """Joins rows with ``keys``, a written table of a long named ``key`` and at most short columns of
+    bounded size. They are counted; up to FEW are broadcast, so that rows with texts stay where they
+    are. More are joined by a shuffle."""
     return rows.join(F.broadcast(keys) if keys.count() <= FEW else keys, key, how)
 
 
+def without(rows: DataFrame, gone: DataFrame, key: str) -> DataFrame:
+    """The rows whose number is not in ``gone``, a written table of numbers; joined like ``matching``."""
+    return matching(rows, gone, key, "left_anti")
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
     """Links each neighbour above a node to the least label around that node."""
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))

@@ -104,18 +104,34 @@ def _mover(seed: int, level: int):
     """What a block's flight does to a pandas frame."""
 
     def move(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["x", "key", "_row"], ascending=[False, True, True], kind="mergesort")
+        pdf = pdf.sort_values(["x", "key", "nth"], ascending=[False, True, True], kind="mergesort")
         first = pdf.iloc[0]
         rng = np.random.default_rng([seed, level, int(first["rank"]), int(first["block"])])
         move_on = landed if first["blocks"] == 1 else flight
         p = move_on(pdf["p"].to_numpy(float), pdf["x"].to_numpy(float), rng)
-        return pdf[["_row", "rank", "x", "key"]].assign(p=p)
+        return pdf[["_row", "rank", "x", "key", "nth"]].assign(p=p)
 
     return move
 
 
+def _counted(units: DataFrame) -> DataFrame:
+    """units with nth, the place of a row among those of its key, which are equal rows.
+
+    Rows are counted within their part of the table first (the high bits of the row number), so that a
+    key with very many rows is no one task's work.
+    """
+    part = F.shiftright("_row", 33)
+    if units.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+        return units.withColumn("nth", F.lit(1))
+    units = units.withColumn("_part", part)
+    before = F.sum("n").over(Window.partitionBy("key").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    parts = units.groupBy("key", "_part").agg(F.count("*").alias("n")).select("key", "_part", F.coalesce(before, F.lit(0)).alias("_before"))
+    here = F.row_number().over(Window.partitionBy("key", "_part").orderBy("_row"))
+    return c.join_split(units.withColumn("_here", here), parts, ["key", "_part"]).withColumn("nth", F.col("_here") + F.col("_before")).drop("_part", "_here", "_before")
+
+
 def _flights(units: DataFrame, scratch: c.Scratch, seed: int) -> DataFrame:
-    """(_row, p) with p 0 or 1 for units (_row, rank, x, key, p) with p in between.
+    """(_row, p) with p 0 or 1 for units (_row, rank, x, key, nth, p) with p in between.
 
     Flights run in blocks of about BLOCK units of one source; the at most two open units of each block
     go on to the next round, whose blocks hold those of BLOCK / 2 blocks. A source that fits in one
@@ -125,8 +141,8 @@ def _flights(units: DataFrame, scratch: c.Scratch, seed: int) -> DataFrame:
     done, level = None, 0
     while True:
         blocks = units.groupBy("rank").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("blocks"))
-        dealt = c.join_split(units, blocks, ["rank"]).withColumn("block", F.pmod(F.xxhash64("key", F.lit(level)), "blocks"))
-        moved = dealt.groupBy("rank", "block").applyInPandas(_mover(seed, level), "_row long, rank int, x long, key long, p double")
+        dealt = c.join_split(units, blocks, ["rank"]).withColumn("block", F.pmod(F.xxhash64("key", "nth", F.lit(level)), "blocks"))
+        moved = dealt.groupBy("rank", "block").applyInPandas(_mover(seed, level), "_row long, rank int, x long, key long, nth long, p double")
         moved = scratch.keep(moved, "moved")
         settled = moved.where("p = 0 or p = 1").select("_row", "p")
         done = settled if done is None else done.unionByName(settled)
@@ -145,7 +161,7 @@ def mixed(docs: DataFrame, scratch: c.Scratch, id_col: str = "doc_id", text: str
     than ``most`` times. The draws depend on ids and texts only, so reruns agree however the rows are
     partitioned. Null ids and repeated rows are documents like any others.
     """
-    row = {"_doc": F.struct("*")} if carry else {}
+    mark, row = len(scratch.tables), {"_doc": F.struct("*")} if carry else {}
     rows = c.numbered(docs.select(F.col(id_col).alias("_id"), F.col(source).cast("string").alias("source"), c.word_count(text).alias("size"), F.xxhash64(id_col, text).alias("key"), *[x.alias(k) for k, x in row.items()]), scratch)
     sources = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), scratch, weights, most)
     # try_divide: a source without words has no factor, and its documents are taken as they are
@@ -154,9 +170,10 @@ def mixed(docs: DataFrame, scratch: c.Scratch, id_col: str = "doc_id", text: str
     sized = rows.join(sources, F.col("source").eqNullSafe(F.col("_source")))
     whole, part = F.floor(F.col("factor") + EPS), F.col("factor") - F.floor(F.col("factor") + EPS)
     units = sized.where(part > EPS).select("_row", F.col("rank").cast("int").alias("rank"), F.col("size").alias("x"), "key", part.alias("p"))
-    drawn = _flights(units, scratch, seed)
-    copies = (whole + F.coalesce("p", F.lit(0.0))).cast("long")
-    return sized.join(drawn, "_row", "left").select(
+    ones = scratch.keep(_flights(_counted(units), scratch, seed).where("p = 1").select("_row", F.lit(1).alias("_one")), "ones")
+    scratch.drop_since(mark, "numbered", "sources", "ones")
+    copies = (whole + F.coalesce("_one", F.lit(0))).cast("long")
+    return c.matching(sized, ones, "_row", "left").select(
         F.col("_id").alias(id_col), "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"), *[F.col(k).alias(k[1:]) for k in row]
     )
 

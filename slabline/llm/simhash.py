@@ -68,7 +68,9 @@ def linked(fingerprints: DataFrame, radius: int = RADIUS, fp: str = "_fp") -> Da
     """
     if radius < 0 or radius % 2:
         raise ValueError("the radius must be even")
-    emitted = fingerprints.select(fp, F.explode(F.array(*[F.col(fp).bitwiseXOR(F.lit(m)) for m in _masks(radius // 2)])).alias("_variant"))
+    # dealt by number: adaptive execution would size the tasks by what they read, not by what they emit
+    tasks = int(fingerprints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    emitted = fingerprints.repartition(tasks, fp).select(fp, F.explode(F.array(*[F.col(fp).bitwiseXOR(F.lit(m)) for m in _masks(radius // 2)])).alias("_variant"))
     return c.chained(emitted, "_variant", fp).distinct().where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius)
 
 
@@ -104,8 +106,8 @@ def simhash_keep_first(docs: DataFrame, scratch: c.Scratch, id_col: str = "doc_i
     rows = c.numbered(docs.select(F.struct("*").alias("_doc"), F.col(id_col).alias("_id"), _fingerprints(c.text_or_empty(text)).alias("_fp")), scratch)
     key = F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col("_row").alias("row"))
     found = fingerprint_components(rows.select("_fp", key.alias("_key")), scratch, "_key", radius)
-    heads = found.select(F.col("component.row").alias("_row")).distinct()
-    return rows.join(heads, "_row", "left_semi").select("_doc.*")
+    at = rows.select("_row", "_fp").join(found.select("_fp", F.col("component.row").alias("_head")), "_fp")
+    return c.without(rows, scratch.keep(at.where("_row <> _head").select("_row"), "gone"), "_row").select("_doc.*")
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

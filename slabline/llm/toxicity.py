@@ -119,6 +119,7 @@ def fit(docs: DataFrame, labels: DataFrame, scratch: c.Scratch, id_col: str = "d
     are the ``n_features`` whose presence tells most about the label, and the terms of groups.
     Without both kinds of labels, every text gets the share of toxic ones (half without any).
     """
+    mark = len(scratch.tables)
     known = labels.where(f"{toxic} in (0, 1) and {id_col} is not null").where(~held_out(id_col))
     known = known.groupBy(F.col(id_col).alias("_id")).agg(F.max(toxic).cast("int").alias("_y"))
     known = scratch.keep(known.orderBy(F.xxhash64("_id"), "_id").limit(most), "labels")
@@ -142,6 +143,7 @@ def fit(docs: DataFrame, labels: DataFrame, scratch: c.Scratch, id_col: str = "d
     array = F.array(*[F.lit(f) for f in names])
     chosen = sample.select("_y", F.array_intersect("own", array).alias("own"), F.array_intersect("swapped", array).alias("swapped"))
     rows = chosen.toPandas()  # at most `most` rows of a few names
+    scratch.drop_since(mark)
     at = {f: i for i, f in enumerate(names)}
 
     def matrix(lists: pd.Series) -> np.ndarray:

@@ -82,6 +82,6 @@ def test_merges_within_blocks():
 
     full = list(range(100))
     of = [full, full[:85], full[:70], list(range(1000, 1050))]  # 1 links 0 and 2
-    pdf = pd.DataFrame({"_row": [5, 6, 7, 8], "_label": [5, 6, 7, 8], "_set": [np.array(x) for x in of]})
+    pdf = pd.DataFrame({"_row": [5, 6, 7, 8], "_label": [5, 6, 7, 8], "_main": False, "_set": [np.array(x) for x in of]})
     out = near_copies._merges(pdf)
     assert {frozenset(x) for x in out.to_numpy().tolist()} == {frozenset((5, 6)), frozenset((6, 7))}

@@ -9,6 +9,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 
 from slabline.llm import byte_bpe, html_text, mixing, toxicity
 from slabline.llm._common import Scratch
@@ -116,6 +117,19 @@ def test_many_blocks_and_no_rows(spark, monkeypatch):
     assert mixing.mixed(none, Scratch(spark)).count() == 0 and mixing.mixture(none, Scratch(spark)).count() == 0
 
 
+def test_equal_rows_are_dealt_over_blocks(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BLOCK", 64)
+    rows = [(1, "same words here", "b")] * 3000 + [(i, "w " * (i % 40), "a") for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    units = docs.select(F.monotonically_increasing_id().alias("_row"), F.xxhash64("doc_id", "text").alias("key"))
+    nth = mixing._counted(units)
+    per = nth.groupBy("key").agg(F.count("*").alias("n"), F.min("nth").alias("lo"), F.max("nth").alias("hi"), F.count_distinct("nth").alias("d")).collect()
+    assert {(r.n, r.lo, r.hi, r.d) for r in per} == {(3000, 1, 3000, 3000), (1, 1, 1, 1)}
+    first = mixing.mixed(docs, Scratch(spark)).groupBy("doc_id", "taken").count().collect()
+    again = mixing.mixed(docs.repartition(7), Scratch(spark)).groupBy("doc_id", "taken").count().collect()
+    assert sorted(first) == sorted(again)
+
+
 def test_flight_keeps_totals():
     rng = np.random.default_rng(2)
     x = np.sort(rng.integers(0, 500, 300))[::-1].astype(float)
