@@ -26,7 +26,7 @@ def tables_for(n: int, threshold: float = THRESHOLD, recall: float = RECALL) ->
     The bits grow with the logarithm of n, so that unrelated vectors rarely share a bucket; the number
     of tables is what ``recall`` then needs.
     """
-    bits = min(60, max(8, math.ceil(math.log2(max(n, 2))) + 5))
+    bits = min(60, max(8, math.ceil(math.log2(max(n, 2))) + 7))
     same = (1 - math.acos(threshold) / math.pi) ** bits
     return bits, max(1, math.ceil(math.log(1 - recall) / math.log(1 - same)))
 
@@ -73,9 +73,10 @@ def local_components(linked: np.ndarray) -> np.ndarray:
         label = least
 
 
-def compare(cid: np.ndarray, weight: np.ndarray, side: np.ndarray, unit_: np.ndarray, sigs: np.ndarray, table: int, crossed: bool, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+def compare(cid: np.ndarray, weight: np.ndarray, side: np.ndarray, unit_: np.ndarray, sigs: np.ndarray, crossed: bool, threshold: float) -> tuple[np.ndarray, np.ndarray]:
     """Per vector of one block: the weight of its links that no earlier table finds, and the smallest
-    class in its component here. ``crossed``: only pairs of different sides are meant."""
+    class in its component here. ``sigs``: of the earlier tables. ``crossed``: only pairs of different
+    sides are meant."""
     linked = unit_ @ unit_.T >= threshold
     np.fill_diagonal(linked, False)
     if crossed:
@@ -84,7 +85,7 @@ def compare(cid: np.ndarray, weight: np.ndarray, side: np.ndarray, unit_: np.nda
     links = np.zeros(len(cid), np.int64)
     for i in range(0, len(a), 1 << 16):
         p, q = a[i : i + (1 << 16)], b[i : i + (1 << 16)]
-        new = ~(sigs[p, :table] == sigs[q, :table]).any(axis=1)
+        new = ~(sigs[p] == sigs[q]).any(axis=1)
         np.add.at(links, p[new], weight[q[new]])
     order = np.argsort(cid)
     label = local_components(linked[np.ix_(order, order)])
@@ -94,23 +95,35 @@ def compare(cid: np.ndarray, weight: np.ndarray, side: np.ndarray, unit_: np.nda
 
 
 def _compared(threshold: float):
-    """What a task does with rows of blocks."""
+    """What a task does with rows of blocks: t, crossed, members. Most blocks are two unrelated vectors,
+    so those are compared all at once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            table, crossed = batch.column(0).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False)
+            table, crossed, lists = batch.column(0).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False), batch.column(2)
+            starts = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+            all_ = lists.flatten()
+            cid, w, side = (all_.field(k).to_numpy(zero_copy_only=False) for k in ("cid", "w", "side"))
+            vec, sig = all_.field("vec"), all_.field("sigs")
+            at, flat = vec.offsets.to_numpy() - vec.offsets[0].as_py(), vec.flatten().to_numpy(zero_copy_only=False)
+            size = np.diff(starts)
+            todo = size > 2
+            dims = np.diff(at)[starts[:-1]]
+            for dim in np.unique(dims[size == 2]):
+                pairs = np.flatnonzero((size == 2) & (dims == dim))
+                a, b = (unit(flat[at[starts[pairs] + k][:, None] + np.arange(dim)]) for k in (0, 1))
+                # with room for rounding, as close ones are decided below like all others
+                todo[pairs[(a * b).sum(axis=1) >= threshold - 1e-9]] = True
             out = []
-            for i in range(batch.num_rows):
-                one = batch.column(2).slice(i, 1).flatten()
-                cid, w, side, vec, sig = (one.field(k) for k in ("cid", "w", "side", "vec", "sigs"))
-                n = len(cid)
-                vecs = vec.flatten().to_numpy(zero_copy_only=False).reshape(n, -1)
-                sigs = sig.flatten().to_numpy(zero_copy_only=False).reshape(n, -1)
-                ids = cid.to_numpy(zero_copy_only=False)
-                links, least = compare(ids, w.to_numpy(zero_copy_only=False), side.to_numpy(zero_copy_only=False), unit(vecs), sigs, int(table[i]), bool(crossed[i]), threshold)
-                some = (links > 0) | (least != ids)
+            for i in np.flatnonzero(todo):
+                here = slice(starts[i], starts[i + 1])
+                n, t = size[i], table[i]
+                vecs = flat[at[starts[i]] : at[starts[i + 1]]].reshape(n, -1)
+                sigs = sig.slice(starts[i], n).flatten().to_numpy(zero_copy_only=False).reshape(n, t)
+                links, least = compare(cid[here], w[here], side[here], unit(vecs), sigs, bool(crossed[i]), threshold)
+                some = (links > 0) | (least != cid[here])
                 if some.any():
-                    out.append((ids[some], links[some], least[some]))
+                    out.append((cid[here][some], links[some], least[some]))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], names=["cid", "links", "least"])
 
@@ -127,7 +140,8 @@ def vector_classes(rows: DataFrame, scratch: c.Scratch, id_col: str = "vec_id",
     zero or hold null or non-finite components link with nothing. Repeated rows are rows of their own.
 
     Equal vectors are one class. The classes of a bucket are compared in blocks of bounded size, and a
-    block returns sums and labels, not pairs; a pair counts in the first table that has it only.
+    block returns sums and labels, not pairs; a pair counts in the first table that has it only. Of
+    buckets with the same members, told by their number and 128 bits, the first table's is compared.
     """
     big = F.lit(float("inf"))
     # floats stay floats until they are compared: half the bytes to shuffle
@@ -141,13 +155,15 @@ def vector_classes(rows: DataFrame, scratch: c.Scratch, id_col: str = "vec_id",
     signed = scratch.keep(classes.select("cid", "w", F.col("_vec").alias("vec"), _signed(bits, tables, seed)("_vec").cast("array<int>" if bits < 32 else "array<bigint>").alias("sigs")), "signed")
     # Only numbers are shuffled to find the buckets with company; vectors go to those alone.
     spots = signed.select("cid", F.size("vec").alias("dim"), F.posexplode("sigs").alias("t", "sig"))
-    full = spots.groupBy("t", "dim", "sig").agg(F.count("*").alias("n")).where("n > 1")
+    marks = [F.bit_xor(F.xxhash64("cid", F.lit(i))).alias(x) for i, x in enumerate("xy")]
+    full = spots.groupBy("t", "dim", "sig").agg(F.count("*").alias("n"), *marks).where("n > 1")
+    full = full.groupBy("dim", "n", "x", "y").agg(F.min(F.struct("t", "sig")).alias("of")).select("of.t", "dim", "of.sig", "n")
     spots = c.join_split(spots, full, ["t", "dim", "sig"]).withColumn("chunks", F.ceil(F.col("n") / CHUNK).cast("int"))
     spots = spots.withColumn("chunk", F.pmod(F.xxhash64("cid"), "chunks").cast("int"))
     # Chunk pairs: every chunk meets every other one and itself.
     spots = spots.select("cid", "dim", "t", "sig", "chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"))
     spots = spots.select("cid", "dim", "t", "sig", F.least("chunk", "other").alias("lo"), F.greatest("chunk", "other").alias("hi"), (F.col("chunk") > F.col("other")).alias("side"))
-    member = F.struct("cid", "w", "side", "vec", "sigs")
+    member = F.struct("cid", "w", "side", "vec", F.slice("sigs", 1, F.col("t")).alias("sigs"))
     blocks = spots.join(signed, "cid").groupBy("t", "dim", "sig", "lo", "hi").agg(F.collect_list(member).alias("members"))
     blocks = blocks.where(F.size("members") > 1).select("t", (F.col("lo") != F.col("hi")).alias("crossed"), "members")
     found = scratch.keep(blocks.mapInArrow(_compared(threshold), "cid long, links long, least long"), "found")

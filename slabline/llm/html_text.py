@@ -37,9 +37,10 @@ CONTENT = re.compile(r"(?:^|[_-])(?:article|body|content|entry|main|page|post|st
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert form menu menubar toolbar".split())
 #: End tags that close elements outside the table or cell they stand in.
 THROUGH = frozenset("table tr tbody div article body".split())
-CELLS = ("td", "th", "table")
-OPENING = re.compile(r"<(?:!--|[!?]|/?[A-Za-z])")
+CELLS = frozenset(("td", "th", "table"))
 NAME = re.compile(r"<(/?)([A-Za-z][^\s/<>]*)")
+#: A tag as most are. It holds no other <, so that trying it everywhere takes linear time.
+PLAIN_TAG = re.compile(r"<(/?)([A-Za-z][^\s/<>]*)([^<>\"']*+(?:(?:\"[^\"<]*\"|'[^'<]*')[^<>\"']*+)*+)>")
 SPECIAL = re.compile(r"[>\"']")
 ATTRIBUTE = re.compile(r"(?<![\w-])(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?(?=[\s/]|$)", re.I)
 SPACES = re.compile(r"\s+")
@@ -114,35 +115,40 @@ class TagEnds:
 
 
 class Open:
-    """The elements that are open, and where each name and each block is among them."""
+    """The elements that are open, and where each name, each block and each cell is among them."""
 
     def __init__(self):
         self.stack = [Node("#root", {}, None)]
         self.at: dict[str, list[int]] = defaultdict(list)
-        self.blocks = [0]
+        self.blocks, self.cells = [0], [0]
 
     def deepest(self, names) -> int:
         """Place of the innermost open element of these names; 0 without one."""
-        return max((self.at[n][-1] for n in names if self.at.get(n)), default=0)
+        at = self.at
+        return max([at[n][-1] for n in names if n in at and at[n]], default=0)
 
     def push(self, node: Node) -> None:
-        self.at[node.name].append(len(self.stack))
-        if node.name in BLOCK:
-            self.blocks.append(len(self.stack))
+        name, depth = node.name, len(self.stack)
+        self.at[name].append(depth)
+        if name in BLOCK:
+            self.blocks.append(depth)
+            if name in CELLS:
+                self.cells.append(depth)
         self.stack.append(node)
 
     def cut(self, to: int) -> None:
         """Closes the element at place ``to`` and all inside it."""
-        while len(self.stack) > to:
-            self.at[self.stack.pop().name].pop()
-        while self.blocks[-1] >= len(self.stack):
-            self.blocks.pop()
+        stack, at = self.stack, self.at
+        while len(stack) > to:
+            at[stack.pop().name].pop()
+        for marks in (self.blocks, self.cells):
+            while marks[-1] >= to:
+                marks.pop()
 
     def end(self, name: str) -> None:
         """An end tag closes the innermost element of its name; most can't leave a table or cell."""
-        at = self.deepest((name,))
-        if at and (name in THROUGH or at >= self.deepest(CELLS)):
-            self.cut(at)
+        if (places := self.at.get(name)) and (places[-1] >= self.cells[-1] or name in THROUGH):
+            self.cut(places[-1])
 
     def begin(self, name: str) -> None:
         """Closes what a start tag ends."""
@@ -164,28 +170,34 @@ def parsed(html: str) -> Node:
         if upto > text:
             open_.stack[-1].children.append(unescape(html[text:upto]))
 
-    while m := OPENING.search(html, pos):
-        at = m.start()
-        if m[0][1] in "!?":
-            close, skip = ("-->", 3) if m[0] == "<!--" else (">", 1)
+    while (at := html.find("<", pos)) >= 0:
+        if tag := PLAIN_TAG.match(html, at):
+            end, inside = tag.end() - 1, tag[3]
+        elif tag := NAME.match(html, at):
+            if (end := ends.find(tag.end())) < 0:
+                pos = tag.end()
+                continue
+            inside = html[tag.end() : end]
+        elif html.startswith(("<!", "<?"), at):
+            close, first = ("-->", 4) if html.startswith("<!--", at) else (">", 2)
             flush(at)
-            end = html.find(close, m.end())
-            text = pos = len(html) if end < 0 else end + skip
+            end = html.find(close, at + first)
+            text = pos = len(html) if end < 0 else end + len(close)
             continue
-        tag = NAME.match(html, at)
-        if (end := ends.find(tag.end())) < 0:
-            pos = tag.end()
+        else:
+            pos = at + 1
             continue
         flush(at)
         text = pos = end + 1
-        name, inside = tag[2].lower(), html[tag.end() : end]
+        name = tag[2].lower()
         if tag[1]:
             open_.end(name)
             continue
         open_.begin(name)
         attrs = {k.lower(): x or y or z for k, x, y, z in ATTRIBUTE.findall(inside)} if len(inside) > 4 else {}
-        node = Node(name, attrs, open_.stack[-1], bool(open_.at.get("article") or open_.at.get("main")))
-        open_.stack[-1].children.append(node)
+        around = open_.stack[-1]
+        node = Node(name, attrs, around, name == "header" and open_.deepest(("article", "main")) > 0)
+        around.children.append(node)
         if name in RAW:
             close = re.compile(rf"</{re.escape(name)}\b", re.I).search(html, pos)
             end = html.find(">", close.end()) if close else -1

@@ -16,8 +16,9 @@ from . import _common as c
 
 #: Labelled rows that the classifier is fitted on at most, by the order of a hash of their id.
 MAX_TRAIN = 20_000
-#: Features of the model; documents of the fitted sample that a feature needs.
-FEATURES, LEAST = 512, 4
+#: Documents of the fitted sample that a feature needs, and log-likelihood ratio of its dependence on the
+#: label: 8 happens to one in 16,000 features by chance.
+LEAST, GAIN = 4, 8.0
 #: Weights of the squared weights, and of squared score changes under swaps.
 RIDGE, SWAP = 0.1, 5.0
 #: Lengths of the word beginnings that are features, besides whole words.
@@ -55,10 +56,12 @@ def _features(texts: pd.Series) -> pd.DataFrame:
 
 @dataclass(frozen=True)
 class Model:
-    """Logistic scores of presence features."""
+    """Logistic scores of presence features. ``swapped``: fitted rows that name a group, whose
+    counterfactuals the fit has seen."""
 
     bias: float
     weights: dict[str, float] = field(default_factory=dict)
+    swapped: int = 0
 
     def score(self, text: str) -> float:
         weights, heads = self.weights, self._heads()
@@ -111,12 +114,13 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 5 == 0, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, scratch: c.Scratch, id_col: str = "doc_id", text: str = "text", toxic: str = "toxic", most: int = MAX_TRAIN, n_features: int = FEATURES, ridge: float = RIDGE, swap: float = SWAP) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, scratch: c.Scratch, id_col: str = "doc_id", text: str = "text", toxic: str = "toxic", most: int = MAX_TRAIN, gain: float = GAIN, ridge: float = RIDGE, swap: float = SWAP) -> Model:
     """A model learnt from labelled rows outside ``held_out``.
 
     At most ``most`` labelled ids are used, which bounds what is broadcast and what the driver fits;
     an id with several labels counts as toxic if any says so, null labels are left out. The features
-    are the ``n_features`` whose presence tells most about the label, and the terms of groups.
+    are those whose presence tells at least ``gain`` about the label, one of each set with the same
+    documents, and the terms of groups.
     Without both kinds of labels, every text gets the share of toxic ones (half without any).
     """
     mark = len(scratch.tables)
@@ -124,12 +128,13 @@ def fit(docs: DataFrame, labels: DataFrame, scratch: c.Scratch, id_col: str = "d
     known = known.groupBy(F.col(id_col).alias("_id")).agg(F.max(toxic).cast("int").alias("_y"))
     known = scratch.keep(known.orderBy(F.xxhash64("_id"), "_id").limit(most), "labels")
     sample = docs.join(F.broadcast(known), F.col(id_col) == F.col("_id")).select("_y", _features(c.text_or_empty(text)).alias("_f"))
-    sample = scratch.keep(sample.select("_y", F.col("_f.own").alias("own"), F.col("_f.swapped").alias("swapped")), "features")
+    sample = scratch.keep(sample.select(F.monotonically_increasing_id().alias("_row"), "_y", F.col("_f.own").alias("own"), F.col("_f.swapped").alias("swapped")), "features")
     n, pos = sample.agg(F.count("*"), F.coalesce(F.sum("_y"), F.lit(0))).first()
     if not 0 < pos < n:
         share = (pos + 1) / (n + 2)
         return Model(float(np.log(share / (1 - share))))
-    counts = sample.select("_y", F.explode("own").alias("f")).groupBy("f").agg(F.count("*").alias("n"), F.sum("_y").alias("pos")).where(F.col("n") >= LEAST)
+    marks = [F.bit_xor(F.xxhash64("_row", F.lit(i))).alias(x) for i, x in enumerate("xy")]
+    counts = sample.select("_row", "_y", F.explode("own").alias("f")).groupBy("f").agg(F.count("*").alias("n"), F.sum("_y").alias("pos"), *marks).where(F.col("n") >= LEAST)
     # log-likelihood ratio of the feature's and the label's dependence
     a, b = F.col("pos").cast("double"), (F.col("n") - F.col("pos")).cast("double")
 
@@ -137,9 +142,10 @@ def fit(docs: DataFrame, labels: DataFrame, scratch: c.Scratch, id_col: str = "d
         return F.when(k > 0, k * F.log(k / expected)).otherwise(0.0)
 
     share, m = pos / n, F.col("n").cast("double")
-    gain = term(a, m * share) + term(b, m * (1 - share)) + term(pos - a, (n - m) * share) + term(n - pos - b, (n - m) * (1 - share))
-    best = counts.where(F.col("n") < n).withColumn("gain", F.round(gain, 9)).orderBy(F.desc("gain"), "f").limit(n_features)
-    names = sorted({r.f for r in best.collect()} | {f for f in features(set(NEXT)) if not f.endswith("*")})  # at most n_features and the terms
+    told = term(a, m * share) + term(b, m * (1 - share)) + term(pos - a, (n - m) * share) + term(n - pos - b, (n - m) * (1 - share))
+    best = counts.where((F.col("n") < n) & (F.round(told, 9) >= gain)).groupBy("n", "pos", "x", "y").agg(F.min(F.struct(F.col("f").endswith("*").alias("stem"), F.length("f").alias("size"), "f")).alias("best"))
+    # few: of the sample's words, those that tell the label
+    names = sorted({r.f for r in best.select("best.f").collect()} | {f for f in features(set(NEXT)) if not f.endswith("*")})
     array = F.array(*[F.lit(f) for f in names])
     chosen = sample.select("_y", F.array_intersect("own", array).alias("own"), F.array_intersect("swapped", array).alias("swapped"))
     rows = chosen.toPandas()  # at most `most` rows of a few names
@@ -155,7 +161,7 @@ def fit(docs: DataFrame, labels: DataFrame, scratch: c.Scratch, id_col: str = "d
     named = rows["swapped"].notna()
     change = matrix(rows["own"][named]) - matrix(rows["swapped"][named])
     w = newton(matrix(rows["own"]), rows["_y"].to_numpy(float), change, ridge, swap)
-    return Model(float(w[-1]), {f: float(v) for f, v in zip(names, w, strict=False) if v})
+    return Model(float(w[-1]), {f: float(v) for f, v in zip(names, w, strict=False) if v}, int(named.sum()))
 
 
 def score(model: Model, text: str | Column) -> Column:
@@ -170,7 +176,8 @@ def score(model: Model, text: str | Column) -> Column:
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, scratch: c.Scratch, threshold: float = 0.5) -> DataFrame:
-    """docs without those that score ``threshold`` or more; all their columns stay."""
+    """docs without those that score ``threshold`` or more, ties included; all their columns stay. Null
+    texts count as empty; repeated rows and null ids are rows like any others."""
     model = fit(docs, labels, scratch)
     rows = docs.select(F.struct("*").alias("_doc"), score(model, "text").alias("_score"))
     return rows.where(F.col("_score") < threshold).select("_doc.*")

@@ -53,6 +53,30 @@ def test_swaps_are_penalised():
     assert abs(fair[1] - fair[2]) < 0.2 * abs(free[1] - free[2]) and fair[0] > 2
 
 
+def test_fit_with_swaps_spares_neutral_mentions(spark):
+    """One group is named in most toxic rows, another in clean ones: without swaps the name itself tells."""
+    rng = np.random.default_rng(5)
+    words, insults = [f"word{chr(97 + i)}{chr(97 + j)}" for i in range(15) for j in range(15)], [f"{a}{b}ish" for a in "bdfgk" for b in ("arg", "olm", "unt", "ezz", "ipp", "awn")]
+    texts, labels = [], []
+    for i in range(1500):
+        t = list(rng.choice(words, 25))
+        if i % 8 == 0:
+            t += ["muslims"] * (rng.random() < 0.9) + ([str(rng.choice(insults))] if rng.random() < 0.8 else [])
+        elif i % 8 < 3:
+            t.append("muslims" if rng.random() < 0.03 else "christians")
+        texts.append((i, " ".join(t)))
+        labels.append((i, int(i % 8 == 0)))
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    lab = spark.createDataFrame(labels, "doc_id long, toxic int")
+    neutral = [" ".join([*rng.choice(words, 25), "muslims"]) for _ in range(100)]
+    insulting = [" ".join([*rng.choice(words, 25), str(rng.choice(insults))]) for _ in range(100)]
+    plain, fair = (toxicity.fit(docs, lab, Scratch(spark), swap=x) for x in (0.0, toxicity.SWAP))
+    false = [sum(m.score(t) >= 0.5 for t in neutral) for m in (plain, fair)]
+    caught = [sum(m.score(t) >= 0.5 for t in insulting) for m in (plain, fair)]
+    assert fair.swapped > 300 and false[0] >= 50 and false[1] <= 10, false
+    assert caught[1] >= caught[0], caught
+
+
 def test_without_labels(spark):
     docs = spark.createDataFrame([(1, "a"), (2, "b")], "doc_id long, text string")
     for rows, want in (([], 0.5), ([(1, 1)], 2 / 3)):
