@@ -16,6 +16,8 @@ from . import _common as c
 
 #: Labelled rows that the classifier is fitted on at most, by the order of a hash of their id.
 MAX_TRAIN = 20_000
+#: Size of the model, which bounds the driver's work: features, besides the terms of groups.
+FEATURES = 512
 #: Documents of the fitted sample that a feature needs, and log-likelihood ratio of its dependence on the
 #: label: 8 happens to one in 16,000 features by chance.
 LEAST, GAIN = 4, 8.0
@@ -114,13 +116,13 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 5 == 0, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, scratch: c.Scratch, id_col: str = "doc_id", text: str = "text", toxic: str = "toxic", most: int = MAX_TRAIN, gain: float = GAIN, ridge: float = RIDGE, swap: float = SWAP) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, scratch: c.Scratch, id_col: str = "doc_id", text: str = "text", toxic: str = "toxic", most: int = MAX_TRAIN, n_features: int = FEATURES, ridge: float = RIDGE, swap: float = SWAP) -> Model:
     """A model learnt from labelled rows outside ``held_out``.
 
     At most ``most`` labelled ids are used, which bounds what is broadcast and what the driver fits;
     an id with several labels counts as toxic if any says so, null labels are left out. The features
-    are those whose presence tells at least ``gain`` about the label, one of each set with the same
-    documents, and the terms of groups.
+    are the ``n_features`` whose presence tells most about the label, and at least GAIN, one of each set
+    with the same documents, and the terms of groups.
     Without both kinds of labels, every text gets the share of toxic ones (half without any).
     """
     mark = len(scratch.tables)
@@ -143,9 +145,10 @@ def fit(docs: DataFrame, labels: DataFrame, scratch: c.Scratch, id_col: str = "d
 
     share, m = pos / n, F.col("n").cast("double")
     told = term(a, m * share) + term(b, m * (1 - share)) + term(pos - a, (n - m) * share) + term(n - pos - b, (n - m) * (1 - share))
-    best = counts.where((F.col("n") < n) & (F.round(told, 9) >= gain)).groupBy("n", "pos", "x", "y").agg(F.min(F.struct(F.col("f").endswith("*").alias("stem"), F.length("f").alias("size"), "f")).alias("best"))
-    # few: of the sample's words, those that tell the label
-    names = sorted({r.f for r in best.select("best.f").collect()} | {f for f in features(set(NEXT)) if not f.endswith("*")})
+    some = counts.where(F.col("n") < n).withColumn("told", F.round(told, 9)).where(F.col("told") >= GAIN)
+    name = F.min(F.struct(F.col("f").endswith("*").alias("stem"), F.length("f").alias("size"), "f")).alias("best")
+    best = some.groupBy("n", "pos", "told", "x", "y").agg(name).orderBy(F.desc("told"), "best").limit(n_features)
+    names = sorted({r.f for r in best.select("best.f").collect()} | {f for f in features(set(NEXT)) if not f.endswith("*")})  # at most n_features and the terms
     array = F.array(*[F.lit(f) for f in names])
     chosen = sample.select("_y", F.array_intersect("own", array).alias("own"), F.array_intersect("swapped", array).alias("swapped"))
     rows = chosen.toPandas()  # at most `most` rows of a few names
