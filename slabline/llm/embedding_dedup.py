@@ -26,7 +26,7 @@ def tables_for(n: int, threshold: float = THRESHOLD, recall: float = RECALL) ->
     The bits grow with the logarithm of n, so that unrelated vectors rarely share a bucket; the number
     of tables is what ``recall`` then needs.
     """
-    bits = min(60, max(8, math.ceil(math.log2(max(n, 2))) + 7))
+    bits = min(48, max(8, math.ceil(math.log2(max(n, 2))) + 7))
     same = (1 - math.acos(threshold) / math.pi) ** bits
     return bits, max(1, math.ceil(math.log(1 - recall) / math.log(1 - same)))
 
@@ -154,17 +154,21 @@ def vector_classes(rows: DataFrame, scratch: c.Scratch, id_col: str = "vec_id",
     bits, tables = tables_for(classes.count(), threshold, recall)
     signed = scratch.keep(classes.select("cid", "w", F.col("_vec").alias("vec"), _signed(bits, tables, seed)("_vec").cast("array<int>" if bits < 32 else "array<bigint>").alias("sigs")), "signed")
     # Only numbers are shuffled to find the buckets with company; vectors go to those alone.
+    # a bucket: table and signs as one long, of which the table is the remainder
     spots = signed.select("cid", F.size("vec").alias("dim"), F.posexplode("sigs").alias("t", "sig"))
+    spots = spots.select("cid", "dim", (F.col("sig").cast("long") * tables + F.col("t")).alias("bucket"))
+    full = spots.groupBy("dim", "bucket").agg(F.count("*").alias("n")).where("n > 1")
+    spots = scratch.keep(c.join_split(spots, full, ["dim", "bucket"]), "spots")
     marks = [F.bit_xor(F.xxhash64("cid", F.lit(i))).alias(x) for i, x in enumerate("xy")]
-    full = spots.groupBy("t", "dim", "sig").agg(F.count("*").alias("n"), *marks).where("n > 1")
-    full = full.groupBy("dim", "n", "x", "y").agg(F.min(F.struct("t", "sig")).alias("of")).select("of.t", "dim", "of.sig", "n")
-    spots = c.join_split(spots, full, ["t", "dim", "sig"]).withColumn("chunks", F.ceil(F.col("n") / CHUNK).cast("int"))
+    first = spots.groupBy("dim", "bucket", "n").agg(*marks).groupBy("dim", "n", "x", "y").agg(F.min_by("bucket", F.pmod("bucket", F.lit(tables))).alias("bucket"))
+    t = F.pmod("bucket", F.lit(tables)).cast("int").alias("t")
+    spots = c.join_split(spots.drop("n"), first.select("dim", "bucket", "n"), ["dim", "bucket"]).withColumn("chunks", F.ceil(F.col("n") / CHUNK).cast("int"))
     spots = spots.withColumn("chunk", F.pmod(F.xxhash64("cid"), "chunks").cast("int"))
     # Chunk pairs: every chunk meets every other one and itself.
-    spots = spots.select("cid", "dim", "t", "sig", "chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"))
-    spots = spots.select("cid", "dim", "t", "sig", F.least("chunk", "other").alias("lo"), F.greatest("chunk", "other").alias("hi"), (F.col("chunk") > F.col("other")).alias("side"))
+    spots = spots.select("cid", "dim", "bucket", "chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"))
+    spots = spots.select("cid", "dim", "bucket", t, F.least("chunk", "other").alias("lo"), F.greatest("chunk", "other").alias("hi"), (F.col("chunk") > F.col("other")).alias("side"))
     member = F.struct("cid", "w", "side", "vec", F.slice("sigs", 1, F.col("t")).alias("sigs"))
-    blocks = spots.join(signed, "cid").groupBy("t", "dim", "sig", "lo", "hi").agg(F.collect_list(member).alias("members"))
+    blocks = spots.join(signed, "cid").groupBy("dim", "bucket", "t", "lo", "hi").agg(F.collect_list(member).alias("members"))
     blocks = blocks.where(F.size("members") > 1).select("t", (F.col("lo") != F.col("hi")).alias("crossed"), "members")
     found = scratch.keep(blocks.mapInArrow(_compared(threshold), "cid long, links long, least long"), "found")
     roots = c.components(found.select(F.col("cid").alias("a"), F.col("least").alias("b")), scratch).withColumnRenamed("node", "cid")
