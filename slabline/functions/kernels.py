@@ -120,34 +120,52 @@ def follow_surface(traces: np.ndarray, start: int, radius: int = 50, search: int
     return out
 
 
-def _bridge(line: np.ndarray, i: int, j: int) -> None:
-    """Replaces line[i+1..j] by a straight line from line[i] to line[j+1]."""
-    k = np.arange(i + 1, j + 1)
-    line[k] = np.round(line[i] + (line[j + 1] - line[i]) * (k - i) / (j + 1 - i))
-
-
-def without_jumps(surface: np.ndarray, recent: int = 10, near: int = 20, far: int = 50) -> np.ndarray:
-    """Removes false jumps: where the line leaves the recent slope by 5 samples or more and returns to
-    it within ``near`` traces, or makes an opposite jump at least half as large within ``far``, the
-    part between is bridged."""
+#: Fixed values of false jumps: steps of the recent slope; steps within which the line must return, or
+#: jump back; least excess of a jump over the slope, in samples and as a share of the slope; share of the
+#: slope at which the line counts as returned, and of the jump that must be undone.
+RECENT, RETURN, UNDO = 10, 20, 50
+LEAST_JUMP, STEEPER, RETURNED, UNDONE = 5, 1.5, 1.1, 0.5
+
+
+def _jump_starts(line: np.ndarray, low: int, high: int) -> np.ndarray:
+    """Places from low to high (not included) after which the line leaves its recent slope upwards."""
+    i = np.arange(max(low, RECENT), min(high, len(line) - 1))
+    slope = (line[i] - line[i - RECENT]) / RECENT
+    excess = line[i + 1] - line[i] - slope
+    return i[(excess >= LEAST_JUMP) & (excess >= STEEPER * slope)]
+
+
+def _jump_end(line: np.ndarray, i: int) -> int | None:
+    """Where the line is back after the jump from i: on its recent slope, else behind a jump that undoes it."""
+    slope = (line[i] - line[i - RECENT]) / RECENT
+    off = line[i + 1 : i + 1 + RETURN] - line[i]
+    back = np.flatnonzero(off / np.arange(1, len(off) + 1) <= RETURNED * slope)
+    jump = off[0]
+    if not len(back) and abs(jump) >= LEAST_JUMP:
+        steps = np.diff(line[i : i + UNDO + 1])
+        back = np.flatnonzero(steps * -np.sign(jump) > UNDONE * abs(jump))
+    return i + int(back[0]) + 1 if len(back) and back[0] else None
+
+
+def without_jumps(surface: np.ndarray) -> np.ndarray:
+    """The surface with false jumps bridged by straight lines, from the start of each to its end.
+
+    The starts are found once; a bridge moves only those inside it and shortly after it, so only these
+    are looked for again, and long lines take linear time.
+    """
     line = surface.astype(np.int64).copy()
-    for i in range(recent, len(line) - 1):
-        jumps = np.diff(line)
-        slope = jumps[i - recent : i].mean()
-        excess = jumps[i] - slope
-        if excess < 5 or excess < 1.5 * slope:
-            continue
-        ahead = jumps[i : i + near]
-        back = np.flatnonzero(np.cumsum(ahead) / np.arange(1, len(ahead) + 1) <= 1.1 * slope)
-        if len(back) and back[0] > 0:
-            _bridge(line, i, i + back[0])
-            continue
-        if abs(jumps[i]) < 5:
+    far, at, near = _jump_starts(line, 0, len(line)), 0, []
+    while near or at < len(far):
+        if near:
+            i = near.pop(0)
+        else:
+            i, at = int(far[at]), at + 1
+        if (end := _jump_end(line, i)) is None:
             continue
-        other = jumps[i : i + far]
-        hit = np.flatnonzero(other > -jumps[i] / 2 if jumps[i] < 0 else other < -jumps[i] / 2)
-        if len(hit) and hit[0] > 0:
-            _bridge(line, i, i + hit[0])
+        line[i + 1 : end] = np.round(line[i] + (line[end] - line[i]) * np.arange(1, end - i) / (end - i))
+        upto = end + RECENT
+        near = [*_jump_starts(line, i + 1, upto).tolist(), *(x for x in near if x >= upto)]
+        at = max(at, int(np.searchsorted(far, upto)))
     return line
 
 

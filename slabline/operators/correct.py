@@ -12,13 +12,15 @@ from . import pooled
 from . import traces as tr
 
 
-def roll_fit(cells: DataFrame) -> DataFrame:
+def roll_fit(cells: DataFrame, radians: bool = True) -> DataFrame:
     """Per (track, depth_idx): A and C of value = A roll^2 + C with A <= 0 and C <= 0, least squares.
 
-    ``cells``: track, depth_idx, value, roll. Five sums per group decide it: the free solution if it
+    ``cells``: track, depth_idx, value, roll. The fit is in degrees; roll comes in radians, as in the
+    radar files, unless said otherwise. Five sums per group decide it: the free solution if it
     keeps the bounds, else the better of the two edges.
     """
-    x, z = F.col("roll") * F.col("roll"), F.col("value")
+    roll = F.degrees("roll") if radians else F.col("roll")
+    x, z = roll * roll, F.col("value")
     sums = cells.where("roll is not null and value is not null").groupBy("track", "depth_idx").agg(
         F.count("*").cast("double").alias("n"), F.sum(x).alias("x1"), F.sum(x * x).alias("x2"), F.sum(z).alias("z1"), F.sum(z * x).alias("zx"), F.sum(z * z).alias("z2")
     )
@@ -56,19 +58,29 @@ def roll_decay(fit: DataFrame, depths: DataFrame) -> DataFrame:
     return fit.join(depths, ["track", "depth_idx"]).groupBy("track").applyInPandas(run, "track string, a_r double, a_s double, c_t double, c_u double, c_v double, a_rvalue double, a_pvalue double, c_rvalue double, c_pvalue double")
 
 
-def filled_roll(df: DataFrame, roll: str = "roll", curvature: str = "curvature") -> DataFrame:
-    """Roll without gaps: a track without any gets its curvature, its ends copied from their
-    neighbours; inner gaps get the mean of the two neighbours. Absolute values."""
+def roll_curves(decay: DataFrame, depths: Column) -> DataFrame:
+    """(track, a, c): the smoothed A and C of each depth as arrays, for roll_corrected. ``decay``: of
+    roll_decay; ``depths``: the array of depths."""
+    a = F.transform(depths, lambda d: F.col("a_r") * F.exp(F.col("a_s") * d))
+    c = F.transform(depths, lambda d: F.col("c_t") * F.exp(F.col("c_u") * d) + F.col("c_v"))
+    return decay.select("track", a.alias("a"), c.alias("c"))
+
+
+def filled_roll(df: DataFrame, roll: str = "roll", curvature: str = "curvature", radians: bool = True) -> DataFrame:
+    """roll_filled, the absolute roll in degrees without gaps: a track without any gets its curvature,
+    its ends copied from their neighbours; inner gaps get the mean of the two neighbours. Both come in
+    radians, unless said otherwise."""
     whole, w = Window.partitionBy("track"), Window.partitionBy("track").orderBy("trace")
     none = F.count(roll).over(whole) == 0
     rows = df.withColumn("_none", none).withColumn("_r", F.when(F.col("_none"), F.col(curvature)).otherwise(F.abs(roll)))
     before, after = F.lag("_r").over(w), F.lead("_r").over(w)
     ends = F.coalesce("_r", F.when(F.lag("trace").over(w).isNull(), after).when(F.lead("trace").over(w).isNull(), before), (before + after) / 2)
-    return rows.withColumn("roll_filled", ends).drop("_r", "_none")
+    return rows.withColumn("roll_filled", F.degrees(ends) if radians else ends).drop("_r", "_none")
 
 
 def roll_corrected(traces: DataFrame, fitted: DataFrame) -> DataFrame:
-    """samples * C / (A roll^2 + C). ``fitted``: track, a, c as arrays by depth."""
+    """samples * C / (A roll^2 + C), roll in degrees. ``fitted``: track, a, c as arrays by depth, smoothed
+    (roll_curves) or as fitted."""
     x = F.col("roll_filled") * F.col("roll_filled")
     scale = lambda a, c: F.try_divide(c, a * x + c)
     factors = F.zip_with("a", "c", scale)
@@ -152,18 +164,13 @@ def rescaled(traces: DataFrame, flagged: DataFrame, low: float = 0.05, high: flo
 def midpoint_percentiles(df: DataFrame, key: str, value: str, quantiles: list[float]) -> DataFrame:
     """Per key, percentiles by the midpoint rule: the mean of the two neighbouring ranks' values.
 
-    Two passes: the count gives the ranks, then exact percentiles at both. (key, quantile, value)
+    The count gives the ranks; only the ranges of values that hold one are sorted. (key, quantile, value)
     """
-    rows = df.where(F.col(value).isNotNull() & ~F.isnan(value)).select(key, F.col(value).alias("_v"))
-    # value counts combine before the shuffle; the ranks are then over distinct values
-    counts = rows.groupBy(key, "_v").agg(F.count("*").alias("_n"))
-    w = Window.partitionBy(key).orderBy("_v")
-    upto = counts.withColumn("_to", F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    total = counts.groupBy(key).agg(F.sum("_n").alias("_all"))
-    ranks = total.select(key, "_all", F.explode(F.array(*[F.lit(float(q)) for q in quantiles])).alias("quantile"))
+    rows = df.where(F.col(value).isNotNull() & ~F.isnan(value)).select(key, F.col(value).cast("double").alias("_v"))
     at = (F.col("_all") - 1) * F.col("quantile")
+    ranks = rows.groupBy(key).agg(F.count("*").alias("_all")).select(key, "_all", F.explode(F.array(*[F.lit(float(q)) for q in quantiles])).alias("quantile"))
     ranks = ranks.select(key, "quantile", F.explode(F.array(F.floor(at + 1e-9), F.ceil(at - 1e-9))).alias("_rank"))
-    hit = upto.join(ranks, key).where((F.col("_rank") < F.col("_to")) & (F.col("_rank") >= F.col("_to") - F.col("_n")))
+    hit = pooled.at_ranks(rows, key, ranks)
     return hit.groupBy(key, "quantile").agg(F.avg("_v").alias(value))
 
 

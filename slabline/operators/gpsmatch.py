@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Codes of digitised outlines by colour word.
-COLOURS = {"red": -1, "purple": 0, "green": 1, "maybe": 2}
+#: Codes of digitised outlines by the first three letters of their colour word.
+COLOURS = {"red": -1, "ora": 0, "gre": 1, "pur": 2}
 
 
 def matched(radar: DataFrame, gps: DataFrame, keys: list[str] | None = None) -> DataFrame:
@@ -47,13 +47,18 @@ def quality(rows: DataFrame) -> DataFrame:
 
 
 def outline_traces(points: DataFrame, width: int) -> DataFrame:
-    """(track, trace, code): outline columns rounded to traces, those past the edge dropped, each once.
+    """(track, outline, trace, code): each outline's columns rounded half to even, each once.
 
-    Unknown colour words have no code and are dropped.
+    Where an outline's largest column is past the edge (``width`` or more), that column alone is left
+    out, an artefact of picking by eye. Missing columns and unknown colour words are dropped.
+    ``points``: track, outline, xcoord, colour.
     """
-    code = F.coalesce(*[F.when(F.col("colour") == w, F.lit(k)) for w, k in COLOURS.items()])
-    rows = points.select("track", F.bround("xcoord").cast("long").alias("trace"), code.alias("code"))
-    return rows.where(F.col("code").isNotNull() & (F.col("trace") >= 0) & (F.col("trace") < width)).distinct()
+    word = F.substring("colour", 1, 3)
+    code = F.coalesce(*[F.when(word == w, F.lit(k)) for w, k in COLOURS.items()])
+    rows = points.select("track", "outline", F.bround(F.nanvl("xcoord", F.lit(None).cast("double"))).cast("long").alias("trace"), code.alias("code"))
+    rows = rows.where("trace is not null and code is not null").distinct()
+    last = F.max("trace").over(Window.partitionBy("track", "outline"))
+    return rows.withColumn("_last", last).where((F.col("trace") < width) | (F.col("trace") < F.col("_last"))).drop("_last")
 
 
 def confident(points: DataFrame) -> DataFrame:

@@ -41,12 +41,19 @@ def masked_out(traces: DataFrame, spans: DataFrame) -> DataFrame:
     return traces.join(s, (F.col("track") == F.col("_t")) & F.col("trace").between(F.col("lo"), F.col("hi")), "left_anti")
 
 
-def with_porous_firn(traces: DataFrame, spans: DataFrame, value: str = "likelihood") -> DataFrame:
-    """Sets a column to 0 in intervals of porous firn; their end is not included."""
-    s = spans.select(F.col("track").alias("_t"), "lo", "hi")
-    rows = traces.withColumn("_key", F.struct("track", "trace"))
-    hit = rows.join(s, (F.col("track") == F.col("_t")) & (F.col("trace") >= F.col("lo")) & (F.col("trace") < F.col("hi")), "left_semi").select("_key", F.lit(True).alias("_hit")).distinct()
-    return rows.join(hit, "_key", "left").withColumn(value, F.when(F.col("_hit"), F.lit(0.0)).otherwise(F.col(value))).drop("_key", "_hit")
+def _with_spans(traces: DataFrame, spans: DataFrame) -> DataFrame:
+    """Traces with _spans, all intervals of their track as one array: one join, and no trace twice.
+    A track has as many intervals as somebody noted down for it."""
+    per = spans.groupBy("track").agg(F.collect_list(F.struct("lo", "hi")).alias("_spans"))
+    return traces.join(per, "track", "left")
+
+
+def with_porous_firn(traces: DataFrame, spans: DataFrame, *values: str) -> DataFrame:
+    """Sets columns (likelihood without any named) to 0 in intervals of porous firn; their end is not
+    included."""
+    hit = F.exists("_spans", lambda s: (F.col("trace") >= s["lo"]) & (F.col("trace") < s["hi"]))
+    rows = _with_spans(traces, spans)
+    return rows.withColumns({v: F.when(hit, F.lit(0.0)).otherwise(F.col(v)) for v in values or ("likelihood",)}).drop("_spans")
 
 
 def complete(samples: str = "samples") -> Column:
@@ -77,7 +84,6 @@ def with_rule(traces: DataFrame, rules: tuple[tuple[str, int, int], ...] = DISTR
 
 
 def nulled(traces: DataFrame, spans: DataFrame, *columns: str) -> DataFrame:
-    """The variant in which excluded traces have null in the columns, not 0."""
-    bad = excluded(traces, spans).select("track", "trace", F.lit(True).alias("_bad")).distinct()
-    rows = traces.join(bad, ["track", "trace"], "left")
-    return rows.withColumns({c: F.when(F.col("_bad").isNull(), F.col(c)) for c in columns}).drop("_bad")
+    """The variant in which excluded traces have null in the columns, not 0; both ends included."""
+    bad = F.coalesce(F.exists("_spans", lambda s: F.col("trace").between(s["lo"], s["hi"])), F.lit(False))
+    return _with_spans(traces, spans).withColumns({c: F.when(~bad, F.col(c)) for c in columns}).drop("_spans")

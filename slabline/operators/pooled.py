@@ -1,4 +1,4 @@
-"""Exact percentiles over all rows of a table, without all values in one task."""
+"""Exact percentiles over all rows of a table or of a few keys, without all values in one task."""
 
 from __future__ import annotations
 
@@ -44,3 +44,25 @@ def percentiles(df: DataFrame, value: str, quantiles: list[float]) -> list[float
     finally:
         counts.unpersist()
     return [of[lo] if (lo := math.floor(x)) == (hi := math.ceil(x)) else (hi - x) * of[lo] + (x - lo) * of[hi] for x in at]
+
+
+def at_ranks(rows: DataFrame, key: str, ranks: DataFrame, ranges: int = 64) -> DataFrame:
+    """``ranks`` (key, _rank from 0, ...) with _v, the value of that rank among the key's sorted values.
+
+    ``rows``: key, _v. Values are counted; a sketch cuts each key's into ranges, whose counts tell the
+    range of each rank; only those ranges are sorted, each by itself. A key may have most of the rows.
+    """
+    counts = rows.groupBy(key, "_v").agg(F.count("*").alias("_n"))
+    borders = counts.groupBy(key).agg(F.percentile_approx("_v", [i / ranges for i in range(1, ranges)], 2_000).alias("_borders"))
+    inside = F.size(F.filter("_borders", lambda b: b < F.col("_v")))
+    # one more key, so that a key with most of the values can be split in the join
+    spread = F.hash(key)
+    ranged = counts.withColumn("_spread", spread).join(borders.withColumn("_spread", spread), [key, "_spread"]).select(key, "_v", "_n", inside.alias("_range"))
+    sums = ranged.groupBy(key, "_range").agg(F.sum("_n").alias("_s"))
+    upto = sums.withColumn("_to", F.sum("_s").over(Window.partitionBy(key).orderBy("_range")))  # one row per range
+    wanted = ranks.join(upto, key).where((F.col("_rank") < F.col("_to")) & (F.col("_rank") >= F.col("_to") - F.col("_s"))).withColumn("_offset", F.col("_rank") - (F.col("_to") - F.col("_s")))
+    wanted = wanted.drop("_to", "_s")
+    held = ranged.join(wanted.select(key, "_range").distinct(), [key, "_range"], "left_semi")
+    held = held.withColumn("_to", F.sum("_n").over(Window.partitionBy(key, "_range").orderBy("_v")))
+    hit = wanted.join(held, [key, "_range"]).where((F.col("_offset") < F.col("_to")) & (F.col("_offset") >= F.col("_to") - F.col("_n")))
+    return hit.drop("_range", "_offset", "_to", "_n")

@@ -14,8 +14,9 @@ PRIORITY = ("NO", "NE", "SE", "SW", "CW", "NW")
 NORTHING, EASTING = (-3000000.0, -1150000.0), (-600000.0, 650000.0)
 #: First and last year of each period.
 PERIODS = (("2002-2003", 2002, 2003), ("2010", 2010, 2010), ("2011-2012", 2011, 2012), ("2013-2014", 2013, 2014), ("2017-2018", 2017, 2018))
-#: Regions a broadcast polygon table may have; beyond, it is joined without a hint.
-MOST_POLYGONS = 10_000
+#: Corners that polygons may have together to travel as one broadcast row; beyond, they are joined by
+#: grid cell.
+MOST_CORNERS = 10_000
 
 
 def year_of(name: Column) -> Column:
@@ -35,7 +36,7 @@ def boxed(polygons: DataFrame) -> DataFrame:
 
 
 def _few(polygons: DataFrame) -> bool:
-    return polygons.limit(MOST_POLYGONS + 1).count() <= MOST_POLYGONS
+    return (polygons.agg(F.sum(F.size("ring"))).first()[0] or 0) <= MOST_CORNERS
 
 
 def _in_box(p: Column | None, px: Column, py: Column) -> Column:
@@ -43,14 +44,25 @@ def _in_box(p: Column | None, px: Column, py: Column) -> Column:
     return (px >= side("_x0")) & (px <= side("_x1")) & (py >= side("_y0")) & (py <= side("_y1"))
 
 
+def _by_cell(points: DataFrame, boxes: DataFrame, px: Column, py: Column) -> DataFrame:
+    """Points with the polygons that hold them, joined by grid cells as large as the mean box, so that a
+    polygon is in few cells and a point in one."""
+    mean = boxes.agg(F.avg(F.col("_x1") - F.col("_x0")), F.avg(F.col("_y1") - F.col("_y0"))).first()
+    w, h = (F.lit(x or 1.0) for x in mean)
+    cells = lambda lo, hi, by: F.explode(F.sequence(F.floor(F.col(lo) / by), F.floor(F.col(hi) / by)))
+    dealt = boxes.withColumn("_i", cells("_x0", "_x1", w)).withColumn("_j", cells("_y0", "_y1", h))
+    at = points.withColumns({"_i": F.floor(px / w), "_j": F.floor(py / h)})
+    return at.join(dealt, ["_i", "_j"]).where(_in_box(None, px, py) & geo.in_ring(px, py, F.col("ring"))).drop("_i", "_j")
+
+
 def within(points: DataFrame, polygons: DataFrame, x: str = "x", y: str = "y") -> DataFrame:
     """Points with every polygon that holds them: a bounding-box join, then the exact test.
 
-    ``polygons``: id, region, ring. Their number is checked before they are broadcast; beyond the
-    limit the planner chooses.
+    ``polygons``: id, region, ring. Their corners are counted before they are broadcast; beyond the
+    limit points and boxes meet by grid cell.
     """
     p, px, py = boxed(polygons), F.col(x), F.col(y)
-    held = points.join(F.broadcast(p) if _few(polygons) else p, _in_box(None, px, py)).where(geo.in_ring(px, py, F.col("ring")))
+    held = points.join(F.broadcast(p), _in_box(None, px, py)).where(geo.in_ring(px, py, F.col("ring"))) if _few(polygons) else _by_cell(points, p, px, py)
     return held.drop("ring", "_x0", "_x1", "_y0", "_y1")
 
 
@@ -58,7 +70,7 @@ def _with_best(points: DataFrame, polygons: DataFrame, rank: Column, x: str, y:
     """Adds _best (rank, id, region): the polygon of least rank that holds the point, or null.
 
     Few polygons travel as one broadcast row and are tested in the row, so that points aren't
-    shuffled. Many go through the join, whose best match per key is joined back.
+    shuffled. Many meet the points by grid cell; the best match per key is joined back.
     """
     ranked = boxed(polygons).withColumn("_rank", rank).where("_rank is not null")
     px, py = F.col(x), F.col(y)
@@ -66,8 +78,9 @@ def _with_best(points: DataFrame, polygons: DataFrame, rank: Column, x: str, y:
         one = ranked.agg(F.collect_list(F.struct("_rank", "id", "region", "ring", "_x0", "_x1", "_y0", "_y1")).alias("_all"))
         hit = F.filter("_all", lambda p: _in_box(p, px, py) & geo.in_ring(px, py, p["ring"]))
         best = F.array_min(F.transform(hit, lambda p: F.struct(p["_rank"].alias("rank"), p["id"].alias("id"), p["region"].alias("region"))))
-        return points.crossJoin(F.broadcast(one)).withColumn("_best", best).drop("_all")
-    hit = points.join(ranked, _in_box(None, px, py)).where(geo.in_ring(px, py, F.col("ring")))
+        # made by a generator, so that what filters on it later doesn't test the polygons once more
+        return points.crossJoin(F.broadcast(one)).withColumn("_best", F.explode(F.array(best))).drop("_all")
+    hit = _by_cell(points, ranked, px, py)
     first = hit.groupBy(*key).agg(F.min(F.struct(F.col("_rank").alias("rank"), "id", "region")).alias("_best"))
     return points.join(first, key, "left")
 

@@ -65,16 +65,37 @@ def nearest_trace(df: DataFrame, target: float, tolerance: float = 0.2, lon: str
     return near.select("track", "m.trace", "m.lon")
 
 
-def nearest_on_track(points: DataFrame, traces: DataFrame, reach: float, key: str = "point") -> DataFrame:
-    """For every point the nearest trace of its track by x, among those within ``reach``.
+def nearest_on_track(points: DataFrame, traces: DataFrame, width: float, key: str = "point") -> DataFrame:
+    """(key, track, trace, off): for every point the nearest trace of its track by x; ties go to the first.
 
-    Traces are put in bins of that width and a point looks at three of them, so a point meets few
-    traces. ``points``: key, track, px; ``traces``: track, trace, x.
+    Traces are put in bins of ``width`` and a point looks at three of them, so a point meets few traces.
+    Points with no trace within that width look at the ends of all their track's bins instead, of which
+    there are few, in one pass in the order of x. ``points``: key, track, px; ``traces``: track, trace, x.
     """
-    bin_ = lambda c: F.floor(F.col(c) / reach).cast("long")
+    bin_ = lambda c: F.floor(F.col(c) / width).cast("long")
+    binned = traces.where("x is not null").withColumn("_bin", bin_("x"))
     looked = points.withColumn("_bin", F.explode(F.array(*[bin_("px") + F.lit(k) for k in (-1, 0, 1)])))
-    met = looked.join(traces.withColumn("_bin", bin_("x")), ["track", "_bin"]).withColumn("off", F.abs(F.col("x") - F.col("px"))).where(F.col("off") <= reach)
-    return met.groupBy(key, "track").agg(F.min(F.struct("off", "trace")).alias("m")).select(key, "track", "m.trace", "m.off")
+    met = looked.join(binned, ["track", "_bin"]).withColumn("off", F.abs(F.col("x") - F.col("px"))).where(F.col("off") <= width)
+    near = met.groupBy(key, "track").agg(F.min(F.struct("off", "trace")).alias("m"))
+    ends = binned.groupBy("track", "_bin").agg(F.min(F.struct("x", "trace")).alias("lo"), F.max(F.struct("x", (-F.col("trace")).alias("back"))).alias("hi"))
+    end = F.explode(F.array(F.struct(F.col("lo.x").alias("x"), F.col("lo.trace").alias("trace")), F.struct(F.col("hi.x").alias("x"), (-F.col("hi.back")).alias("trace")))).alias("end")
+    far = points.join(near.select(key, "track"), [key, "track"], "left_anti").where("px is not null")
+    both = far.select("track", key, F.col("px").alias("_x"), F.lit(None).cast("struct<x:double,trace:bigint>").alias("end")).unionByName(
+        ends.select("track", end).select("track", F.col("end.x").cast("double").alias("_x"), F.struct(F.col("end.x").cast("double").alias("x"), F.col("end.trace").cast("long").alias("trace")).alias("end")), allowMissingColumns=True
+    )
+    w = Window.partitionBy("track").orderBy("_x", F.desc("end.trace"))
+    sides = F.array(F.last("end", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.first("end", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing)))
+    at = both.withColumn("_sides", sides).where(F.col("end").isNull())
+    best = F.array_min(F.transform(F.array_compact("_sides"), lambda e: F.struct(F.abs(e["x"] - F.col("_x")).alias("off"), e["trace"].alias("trace"))))
+    rest = at.select(key, "track", best.alias("m")).where("m is not null")
+    return near.unionByName(rest).select(key, "track", F.col("m.trace").alias("trace"), F.col("m.off").alias("off"))
+
+
+def nearest_depth(points: DataFrame, axes: DataFrame, depth: str = "depth") -> DataFrame:
+    """Adds depth_idx, the index of the nearest depth of the track's axis; ties go to the first.
+    ``axes``: track, depths, one row per track."""
+    off = F.transform("depths", lambda d: F.abs(d - F.col(depth)))
+    return points.join(axes.select("track", "depths"), "track").withColumn("depth_idx", F.array_position(off, F.array_min(off)).cast("int") - 1).drop("depths")
 
 
 def clean_gps(df: DataFrame, lat: str = "lat", lon: str = "lon") -> DataFrame:

@@ -237,12 +237,25 @@ def c8(v):
     return track.nearest_trace(v("thickness"), -47.3)
 
 
-@query("c9_nearest_on_track", """WITH pts AS (SELECT p_partkey AS point, CAST(p_partkey % 100 AS STRING) AS track, -60 + (p_partkey % 300) / CAST(10 AS DOUBLE) AS px FROM part),
-d AS (SELECT point, t.track, trace, abs(lon - px) AS off FROM pts JOIN thickness AS t ON t.track = pts.track WHERE abs(lon - px) <= 0.25),
+# Some points are far from every trace of their track.
+_PTS = "SELECT p_partkey AS point, CAST(p_partkey % 100 AS STRING) AS track, -75 + (p_partkey % 600) / CAST(10 AS DOUBLE) AS px, CAST(p_size AS DOUBLE) * 0.7 AS depth FROM part"
+
+
+def _outline_points(v: Inputs):
+    return v.table("part").select(F.col("p_partkey").alias("point"), (F.col("p_partkey") % 100).cast("string").alias("track"), (-75 + (F.col("p_partkey") % 600) / F.lit(10.0)).alias("px"), (F.col("p_size").cast("double") * 0.7).alias("depth"))
+
+
+@query("c9_nearest_on_track", f"""WITH pts AS ({_PTS}), d AS (SELECT point, t.track, trace, abs(lon - px) AS off FROM pts JOIN thickness AS t ON t.track = pts.track),
 k AS (SELECT *, row_number() OVER (PARTITION BY point ORDER BY off, trace) AS k FROM d) SELECT point, track, trace, round(off, 6) + 0 AS off FROM k WHERE k = 1""")
 def c9(v):
-    pts = v.table("part").select(F.col("p_partkey").alias("point"), (F.col("p_partkey") % 100).cast("string").alias("track"), (-60 + (F.col("p_partkey") % 300) / F.lit(10.0)).alias("px"))
-    return rounded(track.nearest_on_track(pts, v("thickness").select("track", "trace", F.col("lon").alias("x")), 0.25), "off")
+    return rounded(track.nearest_on_track(_outline_points(v).drop("depth"), v("thickness").select("track", "trace", F.col("lon").alias("x")), 0.25), "off")
+
+
+@query("c9_nearest_depth", f"""WITH pts AS ({_PTS}), t AS (SELECT DISTINCT track FROM thickness), d AS (SELECT point, pts.track, i AS depth_idx, row_number() OVER (PARTITION BY point ORDER BY abs(i * 0.3 + length(pts.track) * 0.1 - depth), i) AS k
+FROM pts JOIN t ON t.track = pts.track, (SELECT unnest(range(80)) AS i) AS n) SELECT point, track, CAST(depth_idx AS INT) AS depth_idx FROM d WHERE k = 1""")
+def c9_depth(v):
+    axes = v("thickness").select("track").distinct().withColumn("depths", F.transform(F.sequence(F.lit(0), F.lit(79)), lambda i: i * F.lit(0.3) + F.length("track") * F.lit(0.1)))
+    return track.nearest_depth(_outline_points(v).drop("px"), axes).select("point", "track", "depth_idx")
 
 
 @query("c10_clean_gps", "SELECT event_id, nullif(value, 0) AS lat, -nullif(CASE WHEN event_id % 9 = 0 THEN 0 ELSE value END, 0) AS lon FROM events")
@@ -278,9 +291,11 @@ def m3(v):
     return masks.with_porous_firn(v("thickness"), _spans(v, "0", single=False)).select("track", "trace", "likelihood")
 
 
-@query("m4_complete_traces", "SELECT track, trace, true AS complete FROM traces")
+@query("m4_complete_traces", "SELECT track, trace, trace % 7 NOT IN (2, 5) AS complete FROM traces")
 def m4(v):
-    return v("traces").select("track", "trace", masks.complete().alias("complete"))
+    gap = F.when(F.col("trace") % 7 == 5, F.lit(float("nan")))  # else null
+    holed = F.transform("samples", lambda x, i: F.when((i == F.col("trace") % 64) & (F.col("trace") % 7).isin(2, 5), gap).otherwise(x))
+    return v("traces").withColumn("samples", holed).select("track", "trace", masks.complete().alias("complete"))
 
 
 @query("m5_mask_and_restore", f"WITH s AS ({_SPANS}) SELECT track, trace, CASE WHEN EXISTS (SELECT 1 FROM s WHERE s.list = '1' AND s.track = t.track AND t.trace BETWEEN s.lo AND s.hi) THEN NULL ELSE content END AS content FROM thickness AS t")

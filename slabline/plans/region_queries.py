@@ -41,8 +41,9 @@ def j3(v):
     return gpsmatch.quality(_matched(v))
 
 
-_CODES = "CASE colour WHEN 'red' THEN -1 WHEN 'purple' THEN 0 WHEN 'green' THEN 1 WHEN 'maybe' THEN 2 END"
-_OUTLINES = f"SELECT DISTINCT track, CAST(round_even(xcoord, 0) AS BIGINT) AS trace, {_CODES} AS code FROM outlines WHERE round_even(xcoord, 0) >= 0 AND round_even(xcoord, 0) < 250"
+_CODES = "CASE substr(colour, 1, 3) WHEN 'red' THEN -1 WHEN 'ora' THEN 0 WHEN 'gre' THEN 1 WHEN 'pur' THEN 2 END"
+_OUTLINES = f"""SELECT track, outline, trace, code FROM (SELECT *, max(trace) OVER (PARTITION BY track, outline) AS last FROM (SELECT DISTINCT track, outline, CAST(round_even(xcoord, 0) AS BIGINT) AS trace, {_CODES} AS code
+FROM outlines WHERE xcoord IS NOT NULL) AS d WHERE code IS NOT NULL) AS o WHERE NOT (last >= 250 AND trace = last)"""
 
 
 @query("j4_outline_traces", _OUTLINES)
@@ -61,7 +62,7 @@ def s12(v):
 
     at = v.folder("confident")
     files.write_confident(gpsmatch.outline_traces(v("outlines"), 250), at)
-    return v.spark.read.option("header", True).schema("track string, trace long, code int").csv(at)
+    return v.spark.read.option("header", True).schema("track string, outline int, trace long, code int").csv(at)
 
 
 @query("j6_candidates", "SELECT radargram, count(*) AS n FROM radar_times WHERE radargram IN (SELECT CAST(p_partkey AS STRING) FROM part WHERE p_size > 25) GROUP BY radargram")
@@ -73,8 +74,8 @@ def j6(v):
 # Regions.
 
 _IN = "t.lon >= a.x0 AND t.lon < a.x1 AND t.lat >= a.y0 AND t.lat < a.y1"
-_REGION = f"""SELECT t.*, coalesce(a.region, 'Out') AS region FROM thickness AS t LEFT JOIN (SELECT t.track, t.trace, arg_min(a.region, CASE a.region WHEN 'NO' THEN 1 WHEN 'NE' THEN 2 WHEN 'SE' THEN 3 WHEN 'SW' THEN 4 WHEN 'CW' THEN 5 ELSE 6 END) AS region
-FROM thickness AS t JOIN areas AS a ON {_IN} GROUP BY t.track, t.trace) AS a ON a.track = t.track AND a.trace = t.trace"""
+_BEST = "arg_min(a.region, CASE a.region WHEN 'NO' THEN 1 WHEN 'NE' THEN 2 WHEN 'SE' THEN 3 WHEN 'SW' THEN 4 WHEN 'CW' THEN 5 ELSE 6 END)"
+_REGION = f"SELECT t.*, coalesce((SELECT {_BEST} FROM areas AS a WHERE {_IN}), 'Out') AS region FROM thickness AS t"
 _PERIOD = "CASE WHEN year BETWEEN 2002 AND 2003 THEN '2002-2003' WHEN year = 2010 THEN '2010' WHEN year BETWEEN 2011 AND 2012 THEN '2011-2012' WHEN year BETWEEN 2013 AND 2014 THEN '2013-2014' WHEN year BETWEEN 2017 AND 2018 THEN '2017-2018' END"
 
 
@@ -171,7 +172,7 @@ def g13(v):
     return rg.hull_areas(jobs.slab_points(v("thickness"), jobs.polygons(v("areas"))).where("region <> 'Out'"), 1e-5, 50_000.0)
 
 
-_SHAPES = "SELECT CAST(p_partkey AS INT) AS id, 'R' || CAST(p_size % 6 AS STRING) AS region, CASE WHEN p_partkey % 2 = 0 THEN 'a' ELSE 'b' END AS period, CAST(p_size AS DOUBLE) AS w, p_retailprice / 100 AS h FROM part WHERE p_partkey % 97 <> 5"
+_SHAPES = "SELECT CAST(p_partkey AS INT) AS id, 'R' || CAST(p_size % 6 AS STRING) AS region, CASE WHEN p_partkey % 2 = 0 THEN 'a' ELSE 'b' END AS period, CAST(p_size AS DOUBLE) AS w, p_retailprice / 100 AS h FROM part"
 
 
 def _shapes(v: Inputs):
@@ -185,13 +186,13 @@ def _shapes(v: Inputs):
 
 @query("g14_polygon_areas", f"SELECT region, period, round(sum(w * h * 0.75), 2) AS area FROM ({_SHAPES}) AS s GROUP BY region, period")
 def g14(v):
-    s = _shapes(v).where("id % 97 <> 5")
+    s = _shapes(v)
     return rounded(rg.polygon_areas(s), "area", digits=2)
 
 
 @query("g14_area_change", f"WITH s AS (SELECT region, sum(CASE WHEN period = 'a' THEN w * h * 0.75 END) AS first, sum(CASE WHEN period = 'b' THEN w * h * 0.75 END) AS last FROM ({_SHAPES}) AS s WHERE id NOT IN (10, 11) GROUP BY region) SELECT region, round(first, 3) AS first, round(last, 3) AS last, round(last - first, 3) + 0 AS change, round((last - first) / first * 100, 5) + 0 AS percent FROM s")
 def g14_change(v):
-    s = _shapes(v).where("id % 97 <> 5")
+    s = _shapes(v)
     return rounded(rounded(rg.area_change(rg.polygon_areas(s, (10, 11)), "a", "b"), "first", "last", "change", digits=3), "percent", digits=5)
 
 

@@ -75,8 +75,8 @@ SELECT CAST(l_suppkey AS STRING) AS radargram, {days(l_shipdate)} AS second,
 FROM lineitem""",
     # outlines digitised by hand: pixel columns and a colour word
     "outlines": """
-SELECT CAST(user_id AS STRING) AS track, value * 3 AS xcoord,
-       CASE CAST(event_id % 5 AS INT) WHEN 0 THEN 'red' WHEN 1 THEN 'green' WHEN 2 THEN 'purple' WHEN 3 THEN 'maybe' ELSE 'green' END AS colour
+SELECT CAST(user_id AS STRING) AS track, CAST(event_id % 7 AS INT) AS outline, CASE WHEN event_id % 23 = 0 THEN NULL ELSE value * 3 END AS xcoord,
+       CASE CAST(event_id % 7 AS INT) WHEN 0 THEN 'red' WHEN 1 THEN 'green' WHEN 2 THEN 'purple' WHEN 3 THEN 'maybe' WHEN 4 THEN 'orange' WHEN 5 THEN 'green_2' ELSE 'orange_edge' END AS colour
 FROM events""",
     # hourly weather
     "station": """

@@ -42,10 +42,10 @@ def d2(v):
     return longs(a.select("track", F.posexplode("depths").alias("depth_idx", "d")), "depth_idx").select("track", "depth_idx", r("d").alias("depth"))
 
 
-@query("d3_even_times", "SELECT p_partkey, round(CAST(p_size AS DOUBLE) * 0.02, 6) AS last_time, p_size * 1 AS n FROM part")
+@query("d3_even_times", "SELECT p_partkey, i - 1 AS depth_idx, round(i * CAST(0.02 AS DOUBLE), 6) AS time FROM (SELECT p_partkey, unnest(range(1, p_size + 1)) AS i FROM part) AS n")
 def d3(v):
-    t = tr.even_times(F.col("p_size"), 0.02)
-    return v.table("part").select("p_partkey", r(F.element_at(t, -1)).alias("last_time"), F.size(t).alias("n"))
+    t = v.table("part").select("p_partkey", F.posexplode(tr.even_times(F.col("p_size"), 0.02)).alias("depth_idx", "t"))
+    return longs(t, "depth_idx").select("p_partkey", "depth_idx", r("t").alias("time"))
 
 
 @query("d4_metres_to_samples", "SELECT p_partkey, CAST(round_even(5 / (CAST(p_size AS DOUBLE) / 8), 0) AS BIGINT) AS above, CAST(round_even(10 / (CAST(p_size AS DOUBLE) / 8), 0) AS BIGINT) + 1 AS below FROM part")
@@ -107,10 +107,10 @@ def d11(v):
 
 
 @query("d13_cut_at_surface", """WITH s AS (SELECT track, trace, samples, CAST(abs(samples[2]) * 200 AS BIGINT) % 64 AS surface FROM traces)
-SELECT track, trace, least(64, 15) AS n, round(samples[greatest(0, least(surface - 5, 49)) + 1], 9) AS first FROM s""")
+SELECT track, trace, CAST(i AS BIGINT) AS depth_idx, round(samples[greatest(0, least(surface - 5, 49)) + 1 + i], 9) AS value FROM s, (SELECT unnest(range(15)) AS i) AS n""")
 def d13(v):
     s = v("traces").withColumn("surface", F.round(F.abs(F.get("samples", F.lit(1))) * 200).cast("long") % 64)
-    return tr.cut_at_surface(s, 5, 10).select("track", "trace", F.size("samples").cast("int").alias("n"), F.round(F.get("samples", F.lit(0)), 9).alias("first"))
+    return rounded(longs(tr.cells(tr.cut_at_surface(s, 5, 10)), "depth_idx"), "value", digits=9)
 
 
 @query("d14_mean_by_depth", f"SELECT track, depth_idx, round(avg(value), 6) + 0 AS mean_value FROM ({_CELLS}) AS c WHERE trace BETWEEN 2 AND 30 GROUP BY track, depth_idx")
@@ -118,13 +118,18 @@ def d14(v):
     return rounded(longs(tr.mean_by_depth(v("traces"), 2, 30), "depth_idx"), "mean_value")
 
 
+#: Roll of the stand-in traces, in radians as in the files.
+_ROLLED = "radians(CAST(trace % 13 AS DOUBLE) + 0.25D)"
+_DEGREES = "degrees(radians(CAST(trace % 13 AS DOUBLE) + 0.25))"
+
+
 def _roll_cells(v: Inputs):
     """Every trace's first samples with a roll: what roll_fit takes."""
-    t = v("traces").withColumn("roll", (F.col("trace") % 13).cast("double"))
+    t = v("traces").withColumn("roll", F.expr(_ROLLED))
     return t.select("track", "trace", "roll", F.posexplode("samples").alias("depth_idx", "value"))
 
 
-_ROLL = f"SELECT track, depth_idx, CAST(trace % 13 AS DOUBLE) * CAST(trace % 13 AS DOUBLE) AS x, value AS z FROM ({_CELLS}) AS c"
+_ROLL = f"SELECT track, depth_idx, {_DEGREES} * {_DEGREES} AS x, value AS z FROM ({_CELLS}) AS c"
 
 
 _FIT = f"""s AS (SELECT track, depth_idx, CAST(count(*) AS DOUBLE) AS n, sum(x) AS x1, sum(x*x) AS x2, sum(z) AS z1, sum(z*x) AS zx FROM ({_ROLL}) AS q GROUP BY track, depth_idx),
@@ -163,23 +168,30 @@ def _curved(v: Inputs):
 
 @query("r3_filled_roll", f"""WITH c AS ({_CURVED}), q AS (SELECT track, trace, CASE WHEN count(roll) OVER (PARTITION BY track) = 0 THEN curvature ELSE abs(roll) END AS q FROM c),
 n AS (SELECT *, lag(q) OVER w AS b, lead(q) OVER w AS a, lag(trace) OVER w AS tb, lead(trace) OVER w AS ta FROM q WINDOW w AS (PARTITION BY track ORDER BY trace))
-SELECT track, trace, round(coalesce(q, CASE WHEN tb IS NULL THEN a WHEN ta IS NULL THEN b END, (b + a) / 2), 6) + 0 AS roll_filled FROM n""")
+SELECT track, trace, round(degrees(coalesce(q, CASE WHEN tb IS NULL THEN a WHEN ta IS NULL THEN b END, (b + a) / 2)), 6) + 0 AS roll_filled FROM n""")
 def r3(v):
     return rounded(correct.filled_roll(_curved(v)).select("track", "trace", "roll_filled"), "roll_filled")
 
 
-@query("r4_roll_corrected", f"WITH {_FIT} SELECT t.track, t.trace, round(samples[6] * c / nullif(a * pow(CAST(trace % 13 AS DOUBLE), 2) + c, 0), 6) + 0 AS sample_5 FROM traces AS t JOIN h ON h.track = t.track AND h.depth_idx = 5")
+@query("r4_roll_corrected", f"WITH {_FIT} SELECT q.track, q.trace, q.depth_idx, round(q.value * c / nullif(a * pow({_DEGREES}, 2) + c, 0), 6) + 0 AS value FROM ({_CELLS}) AS q JOIN h ON h.track = q.track AND h.depth_idx = q.depth_idx")
 def r4(v):
-    t = v("traces").withColumn("roll_filled", (F.col("trace") % 13).cast("double"))
-    c = correct.roll_corrected(t, _fits(v))
-    return c.select("track", "trace", r(F.get("samples", F.lit(5)), 6).alias("sample_5"))
+    t = v("traces").withColumn("roll_filled", F.degrees(F.expr(_ROLLED)))
+    return rounded(longs(tr.cells(correct.roll_corrected(t, _fits(v))), "depth_idx"), "value")
+
+
+@query("r2_r4_smoothed_roll")
+def r4_smoothed(v):
+    """The correction by the smoothed A and C, as the product has it."""
+    t = v("traces").withColumn("roll_filled", F.degrees(F.expr(_ROLLED)))
+    depths = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: i * F.lit(STEP))
+    return longs(tr.cells(correct.roll_corrected(t, correct.roll_curves(r2(v), depths))), "depth_idx")
 
 
-@query("r5_roll_summary", f"""WITH {_FIT}, m AS (SELECT track, avg(a) AS a, avg(c) AS c FROM h WHERE depth_idx < 40 GROUP BY track), k AS (SELECT t.track, CAST(trace % 13 AS DOUBLE) AS roll, a, c FROM traces AS t JOIN m ON m.track = t.track)
-SELECT track, max(roll) AS max_roll, round(min(a), 6) + 0 AS mean_a, round(min(c), 6) + 0 AS mean_c, round(avg(CASE WHEN roll <= 5 THEN c / (a * roll * roll + c) END), 6) AS mean_below_5, round(avg(CASE WHEN roll > 5 THEN c / (a * roll * roll + c) END), 6) AS mean_above_5 FROM k GROUP BY track""")
+@query("r5_roll_summary", f"""WITH {_FIT}, m AS (SELECT track, avg(a) AS a, avg(c) AS c FROM h WHERE depth_idx < 40 GROUP BY track), k AS (SELECT t.track, {_DEGREES} AS roll, a, c FROM traces AS t JOIN m ON m.track = t.track)
+SELECT track, round(max(roll), 6) AS max_roll, round(min(a), 6) + 0 AS mean_a, round(min(c), 6) + 0 AS mean_c, round(avg(CASE WHEN roll <= 5 THEN c / (a * roll * roll + c) END), 6) AS mean_below_5, round(avg(CASE WHEN roll > 5 THEN c / (a * roll * roll + c) END), 6) AS mean_above_5 FROM k GROUP BY track""")
 def r5(v):
-    t = v("traces").withColumn("roll_filled", (F.col("trace") % 13).cast("double"))
-    return rounded(correct.roll_summary(t, _fits(v), 40), "mean_a", "mean_c", "mean_below_5", "mean_above_5")
+    t = v("traces").withColumn("roll_filled", F.degrees(F.expr(_ROLLED)))
+    return rounded(correct.roll_summary(t, _fits(v), 40), "max_roll", "mean_a", "mean_c", "mean_below_5", "mean_above_5")
 
 
 @query("r6_roll_curvature", """WITH c AS (SELECT abs(roll) AS x, lat / 10 AS y FROM coordinates WHERE roll IS NOT NULL), s AS (SELECT CAST(NULL AS DOUBLE) AS cutoff, 'all' AS side, x, y FROM c
@@ -325,10 +337,12 @@ def i11(v):
     return rounded(identify.range_thickness(v("thickness"), -48, -47), "mean_thickness", "median_thickness")
 
 
-@query("i12_smoothed", "SELECT track, CAST(floor(trace * CAST(100 AS DOUBLE) / 2500) AS BIGINT) AS bin, round(avg(content), 6) + 0 AS mean_value, round(stddev_pop(content), 6) + 0 AS sd_value, count(content) AS n, round(min_by(lon, trace), 6) AS first_lon FROM thickness GROUP BY 1, 2")
+@query("i12_smoothed", "SELECT track, CAST(floor(trace * CAST(100 AS DOUBLE) / 2500) AS BIGINT) AS bin, round(avg(content), 6) + 0 AS mean_value, round(stddev_pop(content), 6) + 0 AS sd_value, count(content) AS n, string_agg(CAST(CAST(round(lon * 1000) AS BIGINT) AS VARCHAR) || ' ' || CAST(CAST(round(lat * 1000) AS BIGINT) AS VARCHAR), ',' ORDER BY trace) AS line FROM thickness GROUP BY 1, 2")
 def i12(v):
     s = identify.smoothed(v("thickness").withColumn("distance", F.col("trace") * 100.0))
-    return rounded(s.withColumn("first_lon", F.get("line", F.lit(0))["lon"]).drop("line"), "mean_value", "sd_value", "first_lon")
+    milli = lambda x: F.round(x * 1000).cast("long").cast("string")
+    line = F.concat_ws(",", F.transform("line", lambda p: F.concat_ws(" ", milli(p["lon"]), milli(p["lat"]))))
+    return rounded(s.withColumn("line", line), "mean_value", "sd_value")
 
 
 _KIND = f"SELECT *, CASE WHEN depth_idx % 3 = 0 THEN 'ice' ELSE 'firn' END AS kind FROM ({_CELLS}) AS c"

@@ -125,3 +125,45 @@ def test_hull_area_is_convex_area_without_alpha(seed):
 def test_hull_of_few_points():
     assert k.alpha_area(np.array([[0, 0], [1, 1]]), 1) == 0
     assert k.alpha_area(np.array([[0, 0], [1, 0], [0, 1.0]]), 1000) == pytest.approx(0.5)
+
+
+def rescanned(surface):
+    """without_jumps as one pass that looks at every place with the line as it is then."""
+    line = np.asarray(surface, np.int64).copy()
+    for i in range(k.RECENT, len(line) - 1):
+        if len(k._jump_starts(line, i, i + 1)) and (end := k._jump_end(line, i)):
+            for j in range(i + 1, end):
+                line[j] = round(line[i] + (line[end] - line[i]) * (j - i) / (end - i))
+    return line
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.tuples(st.integers(1, 40), st.integers(-60, 60)), min_size=1, max_size=12), st.integers(-2, 2))
+def test_jumps_like_a_full_pass(parts, slope):
+    line = np.concatenate([np.full(n, v) for n, v in parts])
+    line = line + slope * np.arange(len(line))
+    assert k.without_jumps(line).tolist() == rescanned(line).tolist()
+
+
+def test_jump_rules_by_hand():
+    up = np.full(60, 100)
+    up[20:25] += 30  # returns within 20 steps
+    assert (k.without_jumps(up) == 100).all()
+    late = np.full(90, 100)
+    late[20:55] += 30  # returns after 35 steps only: undone by the opposite jump
+    assert (k.without_jumps(late) == 100).all()
+    stays = np.full(120, 100)
+    stays[20:] += 30
+    assert (k.without_jumps(stays) == stays).all()
+    small = np.full(60, 100)
+    small[20:25] += 4
+    assert (k.without_jumps(small) == small).all()
+
+
+def test_long_lines_take_linear_time():
+    import time
+
+    line = np.append(np.tile([50] * 30 + [80] * 8, 8000), [50] * 30)
+    began = time.process_time()
+    assert (k.without_jumps(line) == 50).all()
+    assert time.process_time() - began < 10

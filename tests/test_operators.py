@@ -123,3 +123,11 @@ def test_empty_bins_are_kept(spark):
     assert rows(b, "bin", "n", "median_value") == [(0, 2, 2.0), (1, 1, 4.0), (2, 0, None), (3, 1, 8.0)]
     e = transects.gap_edges(transects.rolling(b, ["transect", "year"]), ["transect", "year"])
     assert rows(e, "bin", "roll_median_value", "edge") == [(0, None, 2.0), (1, None, 4.0), (2, None, None), (3, None, 8.0)]
+
+
+def test_outline_codes_and_edge(spark):
+    """Colours by their first letters; only the largest column past the edge goes, outline by outline."""
+    p = [("a", 0, 1.5, "green"), ("a", 0, 2.5, "green"), ("a", 0, 250.4, "green"), ("a", 1, 3.0, "orange"), ("a", 1, 249.4, "orange"), ("a", 2, 7.0, "purple"), ("a", 2, 251.0, "purple"), ("a", 2, 252.0, "purple"), ("a", 3, 9.0, "red"), ("a", 4, 9.0, "blue"), ("a", 5, None, "red"), ("a", 5, float("nan"), "red")]
+    d = spark.createDataFrame(p, "track string, outline int, xcoord double, colour string")
+    got = rows(gpsmatch.outline_traces(d, 250), "outline", "trace", "code")
+    assert got == sorted([(0, 2, 1), (1, 3, 0), (1, 249, 0), (2, 7, 2), (2, 251, 2), (3, 9, -1)], key=repr)
