@@ -91,12 +91,17 @@ def ice_count(values: np.ndarray, cutoffs: np.ndarray, variant: str = "SG1", lea
     first ``skip`` depths are never ice. Missing values are not ice."""
     out = np.zeros(values.shape, np.int32)
     for cutoff in cutoffs:
-        image = values <= cutoff
-        image[:skip] = False
-        out += keep_large(cleaned(image, variant), least)
+        out += keep_large(below(values, cutoff, variant, skip), least)
     return out
 
 
+def below(values: np.ndarray, cutoff: float, variant: str = "SG1", skip: int = 2) -> np.ndarray:
+    """The cleaned image of values at or below a cutoff, without the first ``skip`` depths."""
+    image = values <= cutoff
+    image[:skip] = False
+    return cleaned(image, variant)
+
+
 def step_kernel(radius: int = 50) -> np.ndarray:
     """Weights of a dark-to-bright step: -1 above, +3 below, under a Gaussian around just above the middle."""
     steps = np.repeat([-1.0, 3.0], radius)
@@ -105,6 +110,17 @@ def step_kernel(radius: int = 50) -> np.ndarray:
     return steps * np.exp(-(at**2) / (2 * sigma**2))
 
 
+def surface_steps(traces: np.ndarray, radius: int = 50, search: int = 150) -> np.ndarray:
+    """Per trace and sample, where the surface goes to if it was at that sample in the trace before
+    (trace x depth): follow_surface's step from every place at once."""
+    depth = len(traces)
+    padded = np.pad(traces, ((radius + search, radius + search), (0, 0)), mode="edge")
+    scores = np.lib.stride_tricks.sliding_window_view(padded, 2 * radius, axis=0) @ step_kernel(radius)
+    near = np.lib.stride_tricks.sliding_window_view(scores, 2 * search, axis=0)[:depth]
+    best = np.stack([near[:, i].argmax(axis=1) for i in range(traces.shape[1])]) if traces.shape[1] else np.zeros((0, depth), int)
+    return np.clip(np.arange(depth) - search + best, 0, depth - 1).astype(np.int32)
+
+
 def follow_surface(traces: np.ndarray, start: int, radius: int = 50, search: int = 150) -> np.ndarray:
     """Sample index of the surface in each trace (depth x trace), followed from ``start``: the place
     within ``search`` samples of the last one where the step kernel fits best. Places beyond an end

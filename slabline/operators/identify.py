@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import kernels
+from . import blocks
 from . import traces as tr
 
 #: Smallest component, depths that are never ice, and the likelihood that counts as ice
@@ -18,7 +19,7 @@ CONTINUITY, SKIP, HIGH_END, LOW_END = 350, 2, 0.0665, 1.0
 def dense(traces: DataFrame) -> DataFrame:
     """Renumbers a track's kept traces from 0 without gaps (column ``col``): traces on both sides of a
     masked stretch become neighbours."""
-    return traces.withColumn("col", (F.row_number().over(Window.partitionBy("track").orderBy("trace")) - 1).cast("long"))
+    return blocks.numbered(traces)
 
 
 def below_cutoffs(traces: DataFrame, cutoffs: DataFrame, skip: int = SKIP) -> DataFrame:
@@ -28,32 +29,66 @@ def below_cutoffs(traces: DataFrame, cutoffs: DataFrame, skip: int = SKIP) -> Da
     return traces.crossJoin(F.broadcast(cutoffs)).select("track", "trace", "quantile", F.transform("samples", flag).alias("ice"))  # 15 rows
 
 
-def components(images: DataFrame, variant: str = "SG1") -> DataFrame:
-    """(track, quantile, label, size) of the cleaned image's 4-connected components.
+def cleaned_cells(images: DataFrame, variant: str = "SG1") -> DataFrame:
+    """(track, quantile, col, depth_idx) of the pixels that a cleaning variant leaves.
 
-    ``images``: track, quantile, col, ice. One group is one image; it is shipped once.
+    ``images``: track, quantile, col, ice; col counts from 0 without gaps.
     """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("col")
-        image = np.array([np.asarray(x, bool) for x in pdf["ice"]]).T
-        _, sizes = kernels.label4(kernels.cleaned(image, variant))
-        return pd.DataFrame({"track": pdf["track"].iloc[0], "quantile": pdf["quantile"].iloc[0], "label": np.arange(1, len(sizes)), "size": sizes[1:]})
+        inner = pdf["_inner"].to_numpy()
+        depth, at = np.nonzero(kernels.cleaned(blocks.matrix(pdf, "ice"), variant)[:, inner])
+        return pd.DataFrame({"track": pdf["track"].iloc[0], "quantile": pdf["quantile"].iloc[0], "col": pdf["col"].to_numpy()[inner][at], "depth_idx": depth})
+
+    return blocks.dealt(images).groupBy("track", "quantile", "_block").applyInPandas(run, "track string, quantile double, col long, depth_idx int")
+
+
+def components(images: DataFrame, variant: str = "SG1") -> DataFrame:
+    """(track, quantile, label, size) of the cleaned image's 4-connected components; label is the least
+    number col * depths + depth of a component's pixels.
 
-    return images.groupBy("track", "quantile").applyInPandas(run, "track string, quantile double, label long, size long")
+    ``images``: track, quantile, col, ice; col counts from 0 without gaps. Images are labelled block by
+    block and joined at the blocks' borders.
+    """
+    found = blocks.labelled(images, lambda pdf: [(variant, float(pdf["quantile"].iloc[0]), kernels.cleaned(blocks.matrix(pdf, "ice"), variant), None)], by=("quantile",))
+    return blocks.with_roots(found).groupBy("track", "quantile", F.col("root").alias("label")).agg(F.sum("size").alias("size"))
 
 
 def ice_counts(traces: DataFrame, cutoffs: list[float], variant: str = "SG1", least: int = CONTINUITY, skip: int = SKIP) -> DataFrame:
     """(track, trace, counts): per sample, how many cutoffs call it ice after cleaning and the size
-    filter. All cutoffs are done in one call per track, so that its image is shipped once and one
-    array of counts comes back, not one image per cutoff."""
+    filter; the first ``skip`` depths and missing values are never ice.
+
+    All cutoffs of a block are done in one call, so that its samples are shipped once and one array of
+    counts comes back, not one image per cutoff. Blocks are cleaned and labelled twice: first to sum
+    the components' sizes over all blocks, then, told which components are large, to count.
+    """
     given = np.array(cutoffs, float)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        counts = kernels.ice_count(tr.image(pdf), given, variant, least, skip)
-        return pd.DataFrame({"track": pdf["track"], "trace": pdf["trace"], "counts": list(counts.T)})
+    def images(pdf: pd.DataFrame) -> list[tuple[str, float, np.ndarray, None]]:
+        values = tr.image(pdf)
+        return [(variant, float(i), kernels.below(values, cutoff, variant, skip), None) for i, cutoff in enumerate(given)]
 
-    return tr.per_track(traces.select("track", "trace", "samples"), run, "track string, trace long, counts array<int>")
+    def count(pdf: pd.DataFrame, large: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("col")
+        inner = pdf["_inner"].to_numpy()
+        mine = pdf[inner]
+        out = np.zeros((len(pdf["samples"].iloc[0]) if len(pdf) else 0, len(mine)), np.int32)
+        nodes = {q: x.to_numpy() for q, x in large.groupby("quantile")["node"]}
+        if len(mine):
+            for _, q, image, _ in images(pdf):
+                labels, node, _ = blocks.nodes_of(image[:, inner], mine["col"].to_numpy())
+                keep = np.isin(node, nodes.get(q, []))
+                keep[0] = False
+                out += keep[labels]
+        return pd.DataFrame({"track": mine["track"], "trace": mine["trace"], "counts": pd.Series(list(out.T), index=mine.index, dtype=object)})
+
+    rows = dense(traces.select("track", "trace", "samples"))
+    parts = blocks.with_roots(blocks.labelled(rows, images))
+    sizes = parts.groupBy(*blocks.KEYS, "root").agg(F.sum("size").alias("_all")).where(F.col("_all") >= least)
+    large = parts.join(sizes, [*blocks.KEYS, "root"], "left_semi").select("track", "_block", "quantile", "node")
+    both = blocks.dealt(rows).groupBy("track", "_block").cogroup(large.groupBy("track", "_block"))
+    return both.applyInPandas(count, "track string, trace long, counts array<int>")
 
 
 def likelihood(counts: DataFrame, n_cutoffs: int) -> DataFrame:

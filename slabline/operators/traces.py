@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import kernels
+from . import blocks
 
 #: Speed of light, and how density enters the wave speed. The density is in g/cm3
 #: although the factor is for kg/m3; the product's depths depend on that.
@@ -95,16 +96,43 @@ def image(pdf: pd.DataFrame, column: str = "samples") -> np.ndarray:
 
 
 def followed_surface(traces: DataFrame, starts: DataFrame, radius: int = 50, search: int = 150, smooth: bool = True) -> DataFrame:
-    """(track, trace, surface): the surface followed from each track's start. Sequential along a
-    track, parallel over tracks; a track's arrays are one group. ``starts``: track, start."""
+    """(track, trace, surface): the surface followed from each track's start. ``starts``: track, start.
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("trace")
-        line = kernels.follow_surface(image(pdf), int(pdf["start"].iloc[0]), radius, search)
-        line = kernels.without_jumps(line) if smooth else line
+    Each pick depends on the one before, so a block of traces is first followed from every sample where
+    it could be entered; these maps, one small row per block, are put together along each track, and
+    then every block is followed from where it is entered. Samples are never gathered by track; false
+    jumps are removed from the line of a track, one number per trace.
+    """
+
+    def ends(pdf: pd.DataFrame) -> pd.DataFrame:
+        at = np.arange(len(pdf["samples"].iloc[0]))
+        for step in kernels.surface_steps(image(pdf.sort_values("col")), radius, search):
+            at = step[at]
+        return pd.DataFrame({"track": [pdf["track"].iloc[0]], "_block": [pdf["_block"].iloc[0]], "ends": [at.astype(np.int32)]})
+
+    def entries(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_block")
+        at, out = int(pdf["start"].iloc[0]), []
+        for of in pdf["ends"]:
+            out.append(at)
+            at = int(of[min(max(at, 0), len(of) - 1)])
+        return pd.DataFrame({"track": pdf["track"], "_block": pdf["_block"], "entry": out})
+
+    def follow(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("col")
+        line = kernels.follow_surface(image(pdf), int(pdf["entry"].iloc[0]), radius, search)
         return pd.DataFrame({"track": pdf["track"], "trace": pdf["trace"], "surface": line})
 
-    return traces.join(starts, "track").select("track", "trace", "samples", "start").groupBy("track").applyInPandas(run, "track string, trace long, surface int")
+    def even(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("trace")
+        return pd.DataFrame({"track": pdf["track"], "trace": pdf["trace"], "surface": kernels.without_jumps(pdf["surface"].to_numpy())})
+
+    rows = blocks.numbered(traces.join(starts.select("track"), "track", "left_semi").select("track", "trace", "samples"))
+    rows = blocks.dealt(rows, halo=0).drop("_inner")
+    maps = rows.groupBy("track", "_block").applyInPandas(ends, "track string, _block long, ends array<int>")
+    at = maps.join(starts, "track").groupBy("track").applyInPandas(entries, "track string, _block long, entry int")
+    out = rows.join(at, ["track", "_block"]).groupBy("track", "_block").applyInPandas(follow, "track string, trace long, surface int")
+    return out.groupBy("track").applyInPandas(even, "track string, trace long, surface int") if smooth else out
 
 
 def cut_at_surface(traces: DataFrame, above: Column | int, below: Column | int) -> DataFrame:
@@ -126,13 +154,3 @@ def mean_by_depth(traces: DataFrame, low: int | None = None, high: int | None =
 def cells(traces: DataFrame) -> DataFrame:
     """One row per sample: track, trace, depth_idx, value."""
     return traces.select("track", "trace", F.posexplode("samples").alias("depth_idx", "value"))
-
-
-def per_track(df: DataFrame, run, schema: str) -> DataFrame:
-    """run on each track's rows as a pandas frame, sorted by trace."""
-
-    def sorted_run(pdf: pd.DataFrame) -> pd.DataFrame:
-        return run(pdf.sort_values("trace"))
-
-    return df.groupBy("track").applyInPandas(sorted_run, schema)
-

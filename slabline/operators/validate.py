@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import kernels
-from . import pooled
+from . import blocks, pooled
 
 
 def split_by_truth(cells: DataFrame, truth: DataFrame, on: list[str]) -> DataFrame:
@@ -66,28 +66,25 @@ def error_grid(images: DataFrame, truth: DataFrame, algorithms: list[str], thres
     and false negatives.
 
     ``images``: track, quantile, col, ice; ``truth``: track, col, reference (array of booleans). Each
-    image is cleaned and labelled once per algorithm. A threshold only filters component sizes, so
-    errors follow from per-component counts; sums over tracks are then a groupBy.
+    image is cleaned and labelled once per algorithm, block by block. A threshold only filters component
+    sizes, so errors follow from the components' counts of true and of all cells.
     """
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("col")
-        image = np.array([np.asarray(x, bool) for x in pdf["ice"]]).T
-        ref = np.array([np.asarray(x, bool) for x in pdf["reference"]]).T
-        out = []
-        for name in algorithms:
-            labels, sizes = kernels.label4(kernels.cleaned(image, name))
-            true = np.bincount(labels.ravel(), weights=ref.ravel(), minlength=len(sizes))
-            for t in thresholds:
-                kept = sizes >= t
-                kept[0] = False
-                fp, tp = float((sizes - true)[kept].sum()), float(true[kept].sum())
-                out.append((name, pdf["quantile"].iloc[0], t, fp, float(ref.sum()) - tp, ref.size))
-        return pd.DataFrame(out, columns=["algorithm", "quantile", "threshold", "fp", "fn", "cells"])
-
-    per = images.join(truth, ["track", "col"]).groupBy("track", "quantile").applyInPandas(run, "algorithm string, quantile double, threshold int, fp double, fn double, cells long")
-    s = per.groupBy("algorithm", "quantile", "threshold").agg(F.sum("fp").alias("fp"), F.sum("fn").alias("fn"), F.sum("cells").alias("cells"))
-    return s.select("algorithm", "quantile", "threshold", (F.col("fp") / F.col("cells")).alias("type_1"), (F.col("fn") / F.col("cells")).alias("type_2"))
+    size = lambda c: F.size(F.filter(c, lambda x: x))
+    both = images.join(truth, ["track", "col"])
+
+    def cleaned(pdf: pd.DataFrame) -> list[tuple[str, float, np.ndarray, np.ndarray]]:
+        image, ref = blocks.matrix(pdf, "ice"), blocks.matrix(pdf, "reference")
+        return [(name, float(pdf["quantile"].iloc[0]), kernels.cleaned(image, name), ref) for name in algorithms]
+
+    parts = blocks.with_roots(blocks.labelled(both, cleaned, by=("quantile",)))
+    whole = parts.groupBy(*blocks.KEYS, "root").agg(F.sum("size").alias("size"), F.sum("true").alias("true"))
+    each = F.explode(F.array(*[F.lit(t) for t in thresholds])).alias("threshold")
+    kept = whole.select(F.col("name").alias("algorithm"), "quantile", "size", "true", each).where("size >= threshold")
+    kept = kept.groupBy("algorithm", "quantile", "threshold").agg(F.sum(F.col("size") - F.col("true")).alias("fp"), F.sum("true").alias("tp"))
+    cells = both.groupBy("quantile").agg(F.sum(F.size("reference")).alias("cells"), F.sum(size("reference")).alias("all_true"))
+    every = cells.withColumn("algorithm", F.explode(F.array(*[F.lit(x) for x in algorithms]))).withColumn("threshold", F.explode(F.array(*[F.lit(t) for t in thresholds])))
+    g = every.join(kept, ["algorithm", "quantile", "threshold"], "left").na.fill(0.0, ["fp", "tp"])
+    return g.select("algorithm", "quantile", "threshold", (F.col("fp") / F.col("cells")).alias("type_1"), ((F.col("all_true") - F.col("tp")) / F.col("cells")).alias("type_2"))
 
 
 def fractional_errors(cells: DataFrame, key: str = "quantile") -> DataFrame:

@@ -329,6 +329,14 @@ def p14(v):
     return t.select("track", "trace", ts.accretion(t, -48.1, -46.5).alias("accretion"))
 
 
+@query("flow_transect_profiles")
+def flow_transects(v):
+    """Repeat transects to binned and smoothed thickness, by year."""
+    k = F.col("s_suppkey")
+    listed = v.table("supplier").select(F.concat(F.lit("T"), (k % 4).cast("string")).alias("transect"), k.cast("string").alias("track"), (-58 + k % 4).cast("double").alias("lon0"), F.lit(-40.0).alias("lon1"), F.lit(None).cast("double").alias("lat0"), F.when(k % 4 != 1, 75.0).alias("lat1"))
+    return jobs.transect_profiles(v("thickness"), listed, 300_000.0)
+
+
 @query("flow_traces_to_thickness")
 def flow_traces(v):
     """The main product on stand-in traces: corrections, 15 cutoffs, likelihood, thickness."""

@@ -223,11 +223,13 @@ def r8(v):
     return _depth_fit(v)
 
 
-@query("r9_depth_corrected")
+# The fit is given, so that SQL can follow; r8_depth_fit has the fit itself.
+@query("r9_depth_corrected", f"""SELECT track, trace, depth_idx, round(((value - c) / a * exp(-b * d) - 1) * exp(b * d), 6) + 0 AS value FROM (SELECT *, depth_idx * CAST(0.5 AS DOUBLE) AS d, -1 - CAST(track AS DOUBLE) / 4 AS a, -CAST(track AS DOUBLE) / 50 AS b, -CAST(track AS DOUBLE) / 10 AS c FROM ({_CELLS}) AS q) AS p""")
 def r9(v):
+    k = F.col("track").cast("double")
+    fit = v("traces").select("track").distinct().select("track", (-1 - k / 4).alias("a"), (-k / 50).alias("b"), (-k / 10).alias("c"))
     depths = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: i * F.lit(STEP))
-    c = correct.depth_corrected(v("traces"), _depth_fit(v), depths)
-    return c.select("track", "trace", F.get("samples", F.lit(3)).alias("sample_3"))
+    return rounded(longs(tr.cells(correct.depth_corrected(v("traces"), fit, depths)), "depth_idx"), "value")
 
 
 @query("r10_by_deviation", f"WITH d AS (SELECT track, stddev_pop(value) AS d FROM ({_CELLS}) AS c GROUP BY track) SELECT c.track, trace, depth_idx, round(value / d, 6) + 0 AS value FROM ({_CELLS}) AS c JOIN d ON d.track = c.track")
@@ -269,6 +271,23 @@ def i1(v):
     return b.select("track", "trace", "quantile", F.size(F.filter("ice", lambda x: x)).cast("long").alias("n_ice"))
 
 
+def _shrunk(of: str) -> str:
+    return f"SELECT track, quantile, trace, depth_idx, m AND coalesce(lag(m) OVER a, true) AND coalesce(lead(m) OVER a, true) AND coalesce(lag(m) OVER d, true) AND coalesce(lead(m) OVER d, true) AS m FROM ({of}) AS s WINDOW a AS (PARTITION BY track, quantile, depth_idx ORDER BY trace), d AS (PARTITION BY track, quantile, trace ORDER BY depth_idx)"
+
+
+def _grown(of: str) -> str:
+    return f"SELECT track, quantile, trace, depth_idx, m OR coalesce(lag(m) OVER a, false) OR coalesce(lead(m) OVER a, false) OR coalesce(lag(m) OVER d, false) OR coalesce(lead(m) OVER d, false) AS m FROM ({of}) AS s WINDOW a AS (PARTITION BY track, quantile, depth_idx ORDER BY trace), d AS (PARTITION BY track, quantile, trace ORDER BY depth_idx)"
+
+
+_ICE = f"SELECT track, quantile, trace, depth_idx, depth_idx >= 2 AND value <= cutoff AS m FROM ({_CELLS}) AS c, ({_CUTS}) AS k"
+
+
+@query("i2_cleaned", f"SELECT track, quantile, trace, depth_idx FROM ({_shrunk(_grown(_grown(_shrunk(_ICE))))}) AS s WHERE m")
+def i2(v):
+    images = identify.below_cutoffs(identify.dense(v("traces")), _cutoffs(v)).withColumn("col", F.col("trace"))
+    return longs(identify.cleaned_cells(images, "SG1"), "depth_idx").select("track", "quantile", F.col("col").alias("trace"), "depth_idx")
+
+
 @query("i2_i3_components")
 def i3(v):
     images = identify.below_cutoffs(identify.dense(v("traces")), _cutoffs(v)).withColumn("col", F.col("trace"))

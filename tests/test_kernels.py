@@ -167,3 +167,16 @@ def test_long_lines_take_linear_time():
     began = time.process_time()
     assert (k.without_jumps(line) == 50).all()
     assert time.process_time() - began < 10
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.integers(0, 10**6), st.integers(2, 30), st.integers(1, 5))
+def test_steps_from_everywhere(seed, depth, n):
+    traces = np.random.default_rng(seed).standard_normal((depth, n))
+    steps = k.surface_steps(traces, radius=4, search=6)
+    for start in range(depth):
+        at, line = start, []
+        for step in steps:
+            at = int(step[at])
+            line.append(at)
+        assert line == k.follow_surface(traces, start, radius=4, search=6).tolist()
