@@ -67,7 +67,7 @@ def roll_curves(decay: DataFrame, depths: Column) -> DataFrame:
 
 
 def filled_roll(df: DataFrame, roll: str = "roll", curvature: str = "curvature", radians: bool = True) -> DataFrame:
-    """roll_filled, the absolute roll in degrees without gaps: a track without any gets its curvature,
+    """roll_seen, the absolute roll in degrees, and roll_filled, the same without gaps: a track without any gets its curvature,
     its ends copied from their neighbours; inner gaps get the mean of the two neighbours. Both come in
     radians, unless said otherwise."""
     whole, w = Window.partitionBy("track"), Window.partitionBy("track").orderBy("trace")
@@ -75,7 +75,8 @@ def filled_roll(df: DataFrame, roll: str = "roll", curvature: str = "curvature",
     rows = df.withColumn("_none", none).withColumn("_r", F.when(F.col("_none"), F.col(curvature)).otherwise(F.abs(roll)))
     before, after = F.lag("_r").over(w), F.lead("_r").over(w)
     ends = F.coalesce("_r", F.when(F.lag("trace").over(w).isNull(), after).when(F.lead("trace").over(w).isNull(), before), (before + after) / 2)
-    return rows.withColumn("roll_filled", F.degrees(ends) if radians else ends).drop("_r", "_none")
+    scale = F.degrees if radians else lambda x: x
+    return rows.withColumns({"roll_filled": scale(ends), "roll_seen": scale(F.col("_r"))}).drop("_r", "_none")
 
 
 def roll_corrected(traces: DataFrame, fitted: DataFrame) -> DataFrame:

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import correct, identify, masks, pooled, track
+from ..operators import blocks, correct, identify, masks, pooled, track
 from ..operators import regions as rg
 from ..operators import traces as tr
 from ..operators import transects as ts
@@ -36,30 +36,83 @@ def elevation_limits(points: DataFrame, shapes: DataFrame) -> DataFrame:
     return rg.region_summary(rg.own_slice_limits(slab_points(points, shapes)))
 
 
-def traces_to_thickness(traces: DataFrame, exclusions: DataFrame, positions: DataFrame, step: float = 0.5, continuity: int = 20, shallow: int = 41) -> DataFrame:
-    """(track, trace, content, likelihood, lon, lat, distance) from traces that are cut at the surface.
-
-    Order: mask, surface value, depth fit and correction, cutoffs from the corrected signal, ice
-    images, likelihood, porous firn, content, position. Arrays stay whole but for the depth sums and
-    the quantiles; tracks are the unit of the image work.
-    """
-    spans = masks.intervals(exclusions.where("list = '1'"))
-    kept = correct.minus_surface(masks.masked_out(traces, spans))
-    sums = correct.depth_sums(kept)
+def roll_levelled(traces: DataFrame, positions: DataFrame, depths: Column) -> DataFrame:
+    """Traces corrected for aircraft roll: fits per depth, smoothed over depth, and applied with a roll
+    without gaps. ``positions``: track, trace, lon, lat, roll in radians; ``depths``: the array of depths."""
+    at = track.with_curvature(track.with_polar(positions.select("track", "trace", "lon", "lat", "roll")))
+    rolls = correct.filled_roll(at).select("track", "trace", "roll_seen", "roll_filled")
+    rows = traces.join(rolls, ["track", "trace"])
+    cells = rows.select("track", F.col("roll_seen").alias("roll"), F.posexplode("samples").alias("depth_idx", "value"))
+    fit = correct.roll_fit(cells, radians=False)
+    axis = fit.select("track", "depth_idx", F.get(depths, F.col("depth_idx")).alias("depth"))
+    curves = correct.roll_curves(correct.roll_decay(fit, axis), depths)
+    return correct.roll_corrected(rows, curves).drop("roll_seen", "roll_filled")
+
+
+def corrected_traces(kept: DataFrame, depths: Column, flagged: DataFrame | None = None) -> DataFrame:
+    """Traces less their track's surface value, freed from their decay with depth; flagged tracks are
+    rescaled to the range of the others. ``flagged``: track."""
+    flat = correct.minus_surface(kept)
+    sums = correct.depth_sums(flat)
     # one row per track, used by the quantiles and by the images: kept, so that it is fitted once
-    fit = correct.depth_fit(sums, sums.select("track", "depth_idx", (F.col("depth_idx") * step).alias("depth"))).persist()
-    depths = F.transform(F.sequence(F.lit(0), F.size("samples") - 1), lambda i: i * F.lit(step))
-    flat = tr.shallow(correct.depth_corrected(kept, fit, depths), shallow)
+    fit = blocks.held(correct.depth_fit(sums, sums.select("track", "depth_idx", F.get(depths, F.col("depth_idx")).alias("depth"))))
+    out = correct.depth_corrected(flat, fit, F.slice(depths, 1, F.size("samples")))
+    if flagged is None:
+        return out
+    scaled = correct.rescaled(out, flagged)
+    return out.join(flagged.select("track"), "track", "left_anti").unionByName(scaled)
+
+
+def ice_thickness(flat: DataFrame, exclusions: DataFrame, positions: DataFrame, step: float, continuity: int) -> DataFrame:
+    """(track, trace, content, likelihood, lon, lat, distance) of corrected traces: cutoffs from all
+    their samples, ice images, likelihood, porous firn, content, position."""
     values = tr.cells(flat).where("value is not null and not isnan(value)")
     cut = pooled.percentiles(values, "value", QUANTILES)
     like = identify.likelihood(identify.ice_counts(flat, cut or [], least=continuity), len(QUANTILES))
     firn = masks.intervals(exclusions.where("list = '0'"), single=False)
     content = like.withColumns({"content": identify.ice_content(F.col("likelihood"), step), "mean_likelihood": identify.mean_likelihood(F.col("likelihood"))})
-    content = masks.with_porous_firn(masks.with_porous_firn(content.drop("likelihood"), firn, "content"), firn, "mean_likelihood")
+    content = masks.with_porous_firn(content.drop("likelihood"), firn, "content", "mean_likelihood")
     where = track.with_distance(track.with_polar(positions)).select("track", "trace", "lon", "lat", "distance")
     return identify.thickness(content, where, None, None).withColumnRenamed("mean_likelihood", "likelihood")
 
 
+def _depths(step: float, n: int = 4096) -> Column:
+    return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: i * F.lit(step))
+
+
+def traces_to_thickness(traces: DataFrame, exclusions: DataFrame, positions: DataFrame, step: float = 0.5, continuity: int = 20, shallow: int = 41) -> DataFrame:
+    """(track, trace, content, likelihood, lon, lat, distance) from traces that are cut at the surface and
+    levelled for roll.
+
+    Order: mask, surface value, depth fit and correction, cutoffs from the corrected signal, ice
+    images, likelihood, porous firn, content, position. Arrays stay whole but for the depth sums and
+    the quantiles; blocks of neighbouring traces are the unit of the image work.
+    """
+    spans = masks.intervals(exclusions.where("list = '1'"))
+    flat = tr.shallow(corrected_traces(masks.masked_out(traces, spans), _depths(step)), shallow)
+    return ice_thickness(flat, exclusions, positions, step, continuity)
+
+
+def radar_to_thickness(
+    traces: DataFrame, starts: DataFrame, exclusions: DataFrame, positions: DataFrame, flagged: DataFrame | None = None, step: float = 0.5, samples: int = 48, shallow: int = 41, continuity: int = 20, radius: int = 50, search: int = 150, logarithm: bool = True
+) -> DataFrame:
+    """The main product from raw traces: follow the surface and cut there, mask, take logarithms, level
+    for roll, then as traces_to_thickness, flagged tracks being rescaled.
+
+    ``starts``: track, start; ``positions``: track, trace, lon, lat, roll in radians. Without
+    ``logarithm`` the signal is one already.
+    """
+    spans = masks.intervals(exclusions.where("list = '1'"))
+    surface = tr.followed_surface(traces, starts, radius, search)
+    cut = tr.cut_at_surface(traces.join(surface, ["track", "trace"]), 0, samples).drop("surface")
+    kept = masks.masked_out(cut, spans)
+    kept = kept.withColumn("samples", tr.log10_samples()) if logarithm else kept
+    depths = _depths(step, samples)
+    # read by several fits: the surface is followed once
+    level = blocks.held(roll_levelled(kept, positions, depths))
+    return ice_thickness(tr.shallow(corrected_traces(level, depths, flagged), shallow), exclusions, positions, step, continuity)
+
+
 def transect_profiles(points: DataFrame, listed: DataFrame, width: float = 300.0) -> DataFrame:
     """Binned and smoothed thickness along repeat transects, by year."""
     at = ts.capped(track.with_polar(ts.of_transects(points, listed)))

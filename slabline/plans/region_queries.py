@@ -341,3 +341,15 @@ def flow_transects(v):
 def flow_traces(v):
     """The main product on stand-in traces: corrections, 15 cutoffs, likelihood, thickness."""
     return jobs.traces_to_thickness(v("traces"), v("exclusions"), v("coordinates"))
+
+
+@query("flow_radar_to_thickness")
+def flow_radar(v):
+    """The whole chain from raw traces: surface, cut, masks, roll, depth, rescaling, ice, thickness."""
+    t = v("traces")
+    k = F.col("track").cast("double")
+    # positions of the traces themselves, as every trace of a flight has one; some tracks lack roll
+    roll = F.when(k % 4 != 1, F.radians((F.col("trace") % 13).cast("double")))
+    positions = t.select("track", "trace", (-50 + F.col("trace") / 2000).alias("lon"), (68 + k / 10 + F.sin(F.col("trace") / 50) / 100).alias("lat"), roll.alias("roll"))
+    starts = t.select("track").distinct().withColumn("start", F.lit(4))
+    return jobs.radar_to_thickness(t, starts, v("exclusions"), positions, t.where("track in ('1', '4')").select("track").distinct(), radius=8, search=12, logarithm=False)
