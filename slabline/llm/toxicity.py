@@ -23,6 +23,8 @@ FEATURES = 512
 LEAST, GAIN = 4, 8.0
 #: Weights of the squared weights, and of squared score changes under swaps.
 RIDGE, SWAP = 0.1, 5.0
+#: Texts whose features are made at once.
+CHUNK = 64
 #: Lengths of the word beginnings that are features, besides whole words.
 STEMS = range(3, 9)
 WORDS = re.compile(r"[^\W\d_]+")
@@ -44,16 +46,17 @@ def words_of(text: str) -> set[str]:
     return set(WORDS.findall(text.lower()))
 
 
-@F.pandas_udf(T.StructType([T.StructField("own", T.ArrayType(T.StringType())), T.StructField("swapped", T.ArrayType(T.StringType()))]))
-def _features(texts: pd.Series) -> pd.DataFrame:
-    """Features of a text, and those of its counterfactual if it names a group, else null."""
-    own, swapped = [], []
-    for text in texts:
-        words = words_of(text)
-        own.append(sorted(features(words)))
-        other = {NEXT.get(w, w) for w in words}
-        swapped.append(sorted(features(other)) if other != words else None)
-    return pd.DataFrame({"own": own, "swapped": swapped})
+def _featured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """_y, features of the text, and those of its counterfactual if it names a group, else null."""
+    for batch in batches:
+        for start in range(0, len(batch), CHUNK):  # a text has many features: few texts at once
+            part, own, swapped = batch.iloc[start : start + CHUNK], [], []
+            for text in part["_text"]:
+                words = words_of(text)
+                own.append(sorted(features(words)))
+                other = {NEXT.get(w, w) for w in words}
+                swapped.append(sorted(features(other)) if other != words else None)
+            yield pd.DataFrame({"_y": part["_y"].to_numpy(), "own": own, "swapped": pd.Series(swapped, dtype=object)})
 
 
 @dataclass(frozen=True)
@@ -129,8 +132,8 @@ def fit(docs: DataFrame, labels: DataFrame, scratch: c.Scratch, id_col: str = "d
     known = labels.where(f"{toxic} in (0, 1) and {id_col} is not null").where(~held_out(id_col))
     known = known.groupBy(F.col(id_col).alias("_id")).agg(F.max(toxic).cast("int").alias("_y"))
     known = scratch.keep(known.orderBy(F.xxhash64("_id"), "_id").limit(most), "labels")
-    sample = docs.join(F.broadcast(known), F.col(id_col) == F.col("_id")).select("_y", _features(c.text_or_empty(text)).alias("_f"))
-    sample = scratch.keep(sample.select(F.monotonically_increasing_id().alias("_row"), "_y", F.col("_f.own").alias("own"), F.col("_f.swapped").alias("swapped")), "features")
+    sample = docs.join(F.broadcast(known), F.col(id_col) == F.col("_id")).select("_y", c.text_or_empty(text).alias("_text"))
+    sample = c.numbered(sample.mapInPandas(_featured, "_y int, own array<string>, swapped array<string>"), scratch)
     n, pos = sample.agg(F.count("*"), F.coalesce(F.sum("_y"), F.lit(0))).first()
     if not 0 < pos < n:
         share = (pos + 1) / (n + 2)
