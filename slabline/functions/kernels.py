@@ -261,55 +261,82 @@ def regress_p(r: float, n: int) -> float:
     return beta_tail(df / (df + t2), df / 2, 0.5)
 
 
-def triangles(points: np.ndarray) -> np.ndarray:
-    """Delaunay triangles (index triples) of distinct points, by incremental insertion."""
+def triangles(points: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Delaunay triangles (index triples) of distinct points, their circumcentres and circumradii.
+
+    Points are inserted from left to right. A triangle whose circle ends left of the next point is
+    final, so a step only looks at those near the front.
+    """
     centre, reach = points.mean(axis=0), max(float(np.ptp(points, axis=0).max()), 1e-9)
-    p = np.vstack([(points - centre) / reach, [[-40, -30], [40, -30], [0, 60]]])
+    p = np.vstack([(points - centre) / reach, [[-400, -300], [400, -300], [0, 600]]])
     n = len(points)
-    tri = [(n, n + 1, n + 2)]
-
-    def circle(t: tuple[int, int, int]) -> tuple[float, float, float]:
-        (ax, ay), (bx, by), (cx, cy) = p[t[0]], p[t[1]], p[t[2]]
-        d = 2 * (ax * (by - cy) + bx * (cy - ay) + cx * (ay - by))
-        if abs(d) < 1e-18:
-            return 0.0, 0.0, float("inf")
-        ux = ((ax * ax + ay * ay) * (by - cy) + (bx * bx + by * by) * (cy - ay) + (cx * cx + cy * cy) * (ay - by)) / d
-        uy = ((ax * ax + ay * ay) * (cx - bx) + (bx * bx + by * by) * (ax - cx) + (cx * cx + cy * cy) * (bx - ax)) / d
-        return ux, uy, (ax - ux) ** 2 + (ay - uy) ** 2
-
-    circles = np.array([circle(tri[0])])
+
+    def circles(t: np.ndarray) -> np.ndarray:
+        b, c = p[t[:, 1]] - p[t[:, 0]], p[t[:, 2]] - p[t[:, 0]]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            d = 2 * (b[:, 0] * c[:, 1] - b[:, 1] * c[:, 0])
+            bb, cc = (b * b).sum(axis=1), (c * c).sum(axis=1)
+            u = np.stack([c[:, 1] * bb - b[:, 1] * cc, b[:, 0] * cc - c[:, 0] * bb], axis=1) / d[:, None]
+        r = np.sqrt((u * u).sum(axis=1))
+        flat = ~np.isfinite(r)
+        u[flat], r[flat] = 0.0, np.inf
+        return np.column_stack([p[t[:, 0]] + u, r])
+
+    front = np.array([[n, n + 1, n + 2]])
+    around = circles(front)
+    final, final_around = [], []
     for i in np.argsort(p[:n, 0], kind="stable"):
-        inside = (p[i, 0] - circles[:, 0]) ** 2 + (p[i, 1] - circles[:, 1]) ** 2 < circles[:, 2] * (1 + 1e-12)
-        edges: dict[tuple[int, int], int] = {}
-        for k in np.flatnonzero(inside):
-            t = tri[k]
-            for e in ((t[0], t[1]), (t[1], t[2]), (t[2], t[0])):
-                key = (min(e), max(e))
-                edges[key] = edges.get(key, 0) + 1
-        keep = np.flatnonzero(~inside)
-        fresh = [(a, b, int(i)) for (a, b), count in edges.items() if count == 1]
-        tri = [tri[k] for k in keep] + fresh
-        circles = np.vstack([circles[keep], np.array([circle(t) for t in fresh]).reshape(-1, 3)])
-    return np.array([t for t in tri if max(t) < n], dtype=int).reshape(-1, 3)
-
-
-def alpha_area(points: np.ndarray, alpha: float) -> float:
-    """Area of the concave hull: the Delaunay triangles whose circumradius is under 1 / alpha. While
-    there are none, alpha is halved; with alpha 0 every triangle counts."""
+        left = around[:, 0] + around[:, 2] < p[i, 0] - 1e-9
+        hit = np.hypot(p[i, 0] - around[:, 0], p[i, 1] - around[:, 1]) < around[:, 2] * (1 + 1e-12)
+        bad = front[hit & ~left]
+        edges = np.sort(np.concatenate([bad[:, [0, 1]], bad[:, [1, 2]], bad[:, [2, 0]]]), axis=1)
+        code = edges[:, 0] * (n + 3) + edges[:, 1]
+        _, first, count = np.unique(code, return_index=True, return_counts=True)
+        rim = edges[first[count == 1]]
+        fresh = np.column_stack([rim, np.full(len(rim), i)])
+        if left.any():
+            final.append(front[left])
+            final_around.append(around[left])
+        keep = ~(left | hit)
+        front, around = np.concatenate([front[keep], fresh]), np.concatenate([around[keep], circles(fresh)])
+    t, a = np.concatenate([*final, front]), np.concatenate([*final_around, around])
+    own = (t < n).all(axis=1) & np.isfinite(a[:, 2])
+    return t[own], a[own, :2] * reach + centre, a[own, 2] * reach
+
+
+def triangle_areas(corners: np.ndarray) -> np.ndarray:
+    """Areas of triangles given as (triangle, corner, coordinate)."""
+    b, c = corners[:, 1] - corners[:, 0], corners[:, 2] - corners[:, 0]
+    return np.abs(b[:, 0] * c[:, 1] - b[:, 1] * c[:, 0]) / 2
+
+
+def convex_area(points: np.ndarray) -> float:
+    """Area of the convex hull."""
+    hull: list[np.ndarray] = []
+    ordered = points[np.lexsort(points.T[::-1])]
+    for side in (ordered, ordered[::-1]):
+        part: list[np.ndarray] = []
+        for q in side:
+            while len(part) > 1 and (part[-1][0] - part[-2][0]) * (q[1] - part[-2][1]) <= (part[-1][1] - part[-2][1]) * (q[0] - part[-2][0]):
+                part.pop()
+            part.append(q)
+        hull += part[:-1]
+    if len(hull) < 3:
+        return 0.0
+    x, y = (np.array(hull) - points.mean(axis=0)).T
+    return float(abs((x * np.roll(y, -1) - np.roll(x, -1) * y).sum()) / 2)
+
+
+def alpha_area(points: np.ndarray, alpha: float, box: tuple[float, float, float, float] | None = None) -> float:
+    """Area of the concave hull: the Delaunay triangles whose circumradius is under 1 / alpha; with alpha 0
+    that of the convex hull. With a box (x0, y0, x1, y1) only triangles around a centre in it count."""
     points = np.unique(np.asarray(points, float), axis=0)
     if len(points) < 3:
         return 0.0
-    t = points[triangles(points)]
-    if not len(t):
-        return 0.0
-    a, b, c = (np.linalg.norm(t[:, i] - t[:, j], axis=1) for i, j in ((0, 1), (1, 2), (2, 0)))
-    area = np.abs((t[:, 1, 0] - t[:, 0, 0]) * (t[:, 2, 1] - t[:, 0, 1]) - (t[:, 2, 0] - t[:, 0, 0]) * (t[:, 1, 1] - t[:, 0, 1])) / 2
-    with np.errstate(divide="ignore", invalid="ignore"):
-        radius = np.where(area > 0, a * b * c / (4 * area), np.inf)
-    for _ in range(60):
-        if alpha <= 0:
-            break
-        if (picked := radius < 1 / alpha).any():
-            return float(area[picked].sum())
-        alpha /= 2
-    return float(area.sum())
+    if alpha <= 0 or (len(points) == 3 and box is None):
+        return convex_area(points)
+    t, centre, radius = triangles(points)
+    picked = radius < 1 / alpha
+    if box is not None:
+        picked &= (centre >= box[:2]).all(axis=1) & (centre < box[2:]).all(axis=1)
+    return float(triangle_areas(points[t[picked]]).sum())

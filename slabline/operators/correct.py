@@ -12,11 +12,11 @@ from . import pooled
 from . import traces as tr
 
 
-def roll_fit(cells: DataFrame, radians: bool = True) -> DataFrame:
+def roll_fit(cells: DataFrame, radians: bool = False) -> DataFrame:
     """Per (track, depth_idx): A and C of value = A roll^2 + C with A <= 0 and C <= 0, least squares.
 
-    ``cells``: track, depth_idx, value, roll. The fit is in degrees; roll comes in radians, as in the
-    radar files, unless said otherwise. Five sums per group decide it: the free solution if it
+    ``cells``: track, depth_idx, value, roll. The fit is in degrees; ``radians``: roll is in radians, as in the
+    radar files. Five sums per group decide it: the free solution if it
     keeps the bounds, else the better of the two edges.
     """
     roll = F.degrees("roll") if radians else F.col("roll")

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geo, kernels
+from . import blocks
 
 #: The regions from which a point gets its name, first match first.
 PRIORITY = ("NO", "NE", "SE", "SW", "CW", "NW")
@@ -170,22 +171,55 @@ def group_limits(points: DataFrame, groups: DataFrame) -> DataFrame:
     return rows.groupBy("grp").agg(F.min(F.when(F.col("low_ok"), F.col("elevation"))).alias("low"), F.max(F.when(F.col("high_ok"), F.col("elevation"))).alias("high"))
 
 
-def hull_areas(points: DataFrame, alpha: float, cell: float) -> DataFrame:
-    """Concave hull area by region and period; 2017-2018 also holds the points of 2011-2012.
+def _tiled_areas(points: DataFrame, keys: list[str], alpha: float) -> DataFrame:
+    """(keys, area): the Delaunay triangles with a circumradius under 1 / alpha, summed over tiles.
 
-    Points are first thinned to the one nearest each grid cell's middle, which bounds a group by its
-    area, not by the number of points. (region, period, area, n)
+    A tile of 2 / alpha has the points up to 1 / alpha around it, which hold every such circle around a
+    centre in the tile whole; so its triangles are those of all points, and each has one tile.
     """
-    later = F.when(F.col("period") == "2011-2012", F.array("period", F.lit("2017-2018"))).otherwise(F.array("period"))
-    rows = points.withColumn("period", F.explode(later)).withColumns({"_i": F.floor(F.col("x") / cell), "_j": F.floor(F.col("y") / cell)})
-    off = F.pow(F.col("x") - (F.col("_i") + 0.5) * cell, F.lit(2)) + F.pow(F.col("y") - (F.col("_j") + 0.5) * cell, F.lit(2))
-    thin = rows.groupBy("region", "period", "_i", "_j").agg(F.min(F.struct(off.alias("off"), "x", "y")).alias("p")).select("region", "period", "p.x", "p.y")
+    halo, tile = 1 / alpha, 2 / alpha
+    of = lambda c: F.sequence(F.floor((F.col(c) - halo) / tile), F.floor((F.col(c) + halo) / tile))
+    dealt = points.withColumn("_i", F.explode(of("x"))).withColumn("_j", F.explode(of("y")))
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        i, j = key[-2:]
+        area = kernels.alpha_area(pdf[["x", "y"]].to_numpy(float), alpha, (i * tile, j * tile, (i + 1) * tile, (j + 1) * tile))
+        return pd.DataFrame([(*key[:-2], area)], columns=[*keys, "area"])
+
+    schema = ", ".join(f"{k} {points.schema[k].dataType.simpleString()}" for k in keys)
+    return dealt.groupBy(*keys, "_i", "_j").applyInPandas(run, f"{schema}, area double").groupBy(*keys).agg(F.sum("area").alias("area"))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        area = kernels.alpha_area(pdf[["x", "y"]].to_numpy(float), alpha)
-        return pd.DataFrame([{"region": pdf["region"].iloc[0], "period": pdf["period"].iloc[0], "area": area, "n": len(pdf)}])
 
-    return thin.groupBy("region", "period").applyInPandas(run, "region string, period string, area double, n long")
+def hull_areas(points: DataFrame, alpha: float = 2e-5, by: tuple[str, ...] = (), thin: float | None = None, skip: tuple[str, ...] = ("SE", "Out")) -> DataFrame:
+    """(region, period, area, n) of concave hulls; 2017-2018 also holds the points of 2011-2012.
+
+    ``points``: region, period, x, y and columns ``by``, such as a mask's name: each of their values has
+    a hull of its own, and a region's are added. Where no triangle is small enough, alpha is halved
+    until some are; three points are a triangle. With ``thin`` only the outermost points of each cell of
+    that size are kept, in all four directions, which moves borders by less than a cell. n counts
+    distinct points.
+    """
+    keys = ["region", "period", *by]
+    later = F.when(F.col("period") == "2011-2012", F.array("period", F.lit("2017-2018"))).otherwise(F.array("period"))
+    rows = points.where(~F.col("region").isin(list(skip))).withColumn("period", F.explode(later)).select(*keys, F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
+    rows = rows.where("x is not null and y is not null and not isnan(x) and not isnan(y)")
+    if thin:
+        cell = [F.floor(F.col(k) / thin) for k in "xy"]
+        ends = [f(F.struct(a, b)) for f in (F.min, F.max) for a, b in (("x", "y"), ("y", "x"))]
+        outer = rows.groupBy(*keys, *cell).agg(F.array(*[F.struct(e["x"].alias("x"), e["y"].alias("y")) for e in ends]).alias("p"))
+        rows = outer.select(*keys, F.explode("p").alias("p")).select(*keys, "p.x", "p.y")
+    rows = blocks.held(rows.distinct())
+    sizes = rows.groupBy(*keys).agg(F.count("*").alias("n"))
+    found, todo = None, sizes.where("n > 2")
+    while True:
+        areas = blocks.held(_tiled_areas(rows.join(todo.select(*keys), keys, "left_semi"), keys, alpha))
+        some = areas.where("area > 0")
+        found = some if found is None else found.unionByName(some)
+        todo, alpha = areas.where("area = 0"), alpha / 2
+        if todo.isEmpty() or alpha < 1e-12:
+            break
+    out = sizes.join(found, keys, "left").groupBy("region", "period")
+    return out.agg(F.sum(F.coalesce("area", F.lit(0.0))).alias("area"), F.sum("n").alias("n"))
 
 
 def polygon_areas(polygons: DataFrame, without: tuple[int, ...] = ()) -> DataFrame:

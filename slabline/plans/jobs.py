@@ -43,7 +43,7 @@ def roll_levelled(traces: DataFrame, positions: DataFrame, depths: Column) -> Da
     rolls = correct.filled_roll(at).select("track", "trace", "roll_seen", "roll_filled")
     rows = traces.join(rolls, ["track", "trace"])
     cells = rows.select("track", F.col("roll_seen").alias("roll"), F.posexplode("samples").alias("depth_idx", "value"))
-    fit = correct.roll_fit(cells, radians=False)
+    fit = correct.roll_fit(cells)
     axis = fit.select("track", "depth_idx", F.get(depths, F.col("depth_idx")).alias("depth"))
     curves = correct.roll_curves(correct.roll_decay(fit, axis), depths)
     return correct.roll_corrected(rows, curves).drop("roll_seen", "roll_filled")

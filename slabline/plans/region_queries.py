@@ -167,9 +167,18 @@ def g12(v):
     return rg.group_limits(v("thickness"), groups)
 
 
+def _hulls(v: Inputs):
+    return rg.hull_areas(jobs.slab_points(v("thickness"), jobs.polygons(v("areas"))))
+
+
 @query("g13_hull_areas")
 def g13(v):
-    return rg.hull_areas(jobs.slab_points(v("thickness"), jobs.polygons(v("areas"))).where("region <> 'Out'"), 1e-5, 50_000.0)
+    return _hulls(v)
+
+
+@query("g13_hull_change")
+def g13_change(v):
+    return rg.area_change(_hulls(v), "2011-2012", "2017-2018")
 
 
 _SHAPES = "SELECT CAST(p_partkey AS INT) AS id, 'R' || CAST(p_size % 6 AS STRING) AS region, CASE WHEN p_partkey % 2 = 0 THEN 'a' ELSE 'b' END AS period, CAST(p_size AS DOUBLE) AS w, p_retailprice / 100 AS h FROM part"

@@ -139,12 +139,12 @@ g AS (SELECT *, fa <= 0 AND fc <= 0 AS ok, n*ec*ec - 2*ec*z1 <= x2*ea*ea - 2*ea*
 
 @query("r1_roll_fit", f"WITH {_FIT} SELECT track, depth_idx, round(a, 8) + 0 AS a, round(c, 6) + 0 AS c FROM h")
 def r1(v):
-    f = correct.roll_fit(_roll_cells(v))
+    f = correct.roll_fit(_roll_cells(v), radians=True)
     return longs(f, "depth_idx").select("track", "depth_idx", r("a", 8).alias("a"), r("c").alias("c"))
 
 
 def _fits(v: Inputs):
-    fit = correct.roll_fit(_roll_cells(v))
+    fit = correct.roll_fit(_roll_cells(v), radians=True)
     arrays = F.sort_array(F.collect_list(F.struct("depth_idx", "a", "c")))  # as many as a trace has samples
     return fit.groupBy("track").agg(arrays.alias("s")).select("track", F.col("s.a").alias("a"), F.col("s.c").alias("c"))
 
@@ -152,7 +152,7 @@ def _fits(v: Inputs):
 @query("r2_roll_decay")
 def r2(v):
     depths = v("traces").select("track", F.posexplode("samples").alias("depth_idx", "_")).select("track", "depth_idx", (F.col("depth_idx") * STEP).alias("depth")).distinct()
-    return correct.roll_decay(correct.roll_fit(_roll_cells(v)), depths)
+    return correct.roll_decay(correct.roll_fit(_roll_cells(v), radians=True), depths)
 
 
 _CURVED = "SELECT track, trace, CASE WHEN CAST(track AS BIGINT) % 10 = 4 THEN NULL ELSE roll END AS roll, CASE WHEN trace = 0 OR trace = max(trace) OVER (PARTITION BY track) THEN NULL ELSE lat / 10 END AS curvature FROM coordinates"

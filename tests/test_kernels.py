@@ -118,10 +118,33 @@ def test_hull_area_is_convex_area_without_alpha(seed):
         hull += part[:-1]
     x, y = np.array(hull).T
     area = abs((x * np.roll(y, -1) - np.roll(x, -1) * y).sum()) / 2
-    assert k.alpha_area(p, 0) == pytest.approx(area, rel=2e-2)
+    assert k.alpha_area(p, 0) == pytest.approx(area, rel=1e-9)
     assert k.alpha_area(p, 3) <= area + 1e-9
 
 
+@settings(max_examples=15, deadline=None)
+@given(st.integers(0, 1000), st.sampled_from([2.0, 4.0, 8.0]))
+def test_hull_area_by_all_triples(seed, alpha):
+    from itertools import combinations
+
+    p = np.random.default_rng(seed).random((24, 2))
+    t = np.array(list(combinations(range(24), 3)))
+    a, b, c = (p[t[:, i]] for i in range(3))
+    d = 2 * ((b - a)[:, 0] * (c - a)[:, 1] - (b - a)[:, 1] * (c - a)[:, 0])
+    bb, cc = ((b - a) ** 2).sum(axis=1), ((c - a) ** 2).sum(axis=1)
+    u = np.stack([(c - a)[:, 1] * bb - (b - a)[:, 1] * cc, (b - a)[:, 0] * cc - (c - a)[:, 0] * bb], axis=1) / d[:, None]
+    r, at = np.hypot(*u.T), a + u
+    empty = (np.hypot(p[None, :, 0] - at[:, None, 0], p[None, :, 1] - at[:, None, 1]) < r[:, None] * (1 - 1e-9)).sum(axis=1) == 0
+    want = (np.abs(d) / 4)[empty & (r < 1 / alpha)].sum()
+    assert k.alpha_area(p, alpha) == pytest.approx(want, rel=1e-9)
+
+
+def test_many_points_have_a_whole_triangulation():
+    p = np.random.default_rng(1).random((3000, 2))
+    t, _, _ = k.triangles(p)
+    assert k.triangle_areas(p[t]).sum() == pytest.approx(k.convex_area(p), rel=1e-3)
+
+
 def test_hull_of_few_points():
     assert k.alpha_area(np.array([[0, 0], [1, 1]]), 1) == 0
     assert k.alpha_area(np.array([[0, 0], [1, 0], [0, 1.0]]), 1000) == pytest.approx(0.5)

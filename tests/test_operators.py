@@ -131,3 +131,22 @@ def test_outline_codes_and_edge(spark):
     d = spark.createDataFrame(p, "track string, outline int, xcoord double, colour string")
     got = rows(gpsmatch.outline_traces(d, 250), "outline", "trace", "code")
     assert got == sorted([(0, 2, 1), (1, 3, 0), (1, 249, 0), (2, 7, 2), (2, 251, 2), (3, 9, -1)], key=repr)
+
+
+def test_hulls_of_tiles(spark):
+    import numpy as np
+
+    from slabline.functions import kernels
+
+    rng = np.random.default_rng(4)
+    at = rng.random((1500, 2)) * [900_000, 400_000]
+    at = at[(at[:, 0] < 300_000) | (at[:, 1] < 150_000)]  # a concave area
+    few = [(0.0, 0.0), (400_000.0, 0.0), (0.0, 400_000.0), (399_000.0, 399_000.0)]  # only alpha halved has a shape
+    p = [("SW", "2011-2012", *map(float, x)) for x in at[:700]] + [("SW", "2017-2018", *map(float, x)) for x in at[700:]] + [("NO", "2010", *x) for x in few] + [("NE", "2010", 1.0, 1.0), ("NE", "2010", 2.0, 5.0), ("Out", "2010", 1.0, 1.0)]
+    d = spark.createDataFrame(p + p[:50], "region string, period string, x double, y double")
+    got = {(r.region, r.period): (r.area, r.n) for r in rg.hull_areas(d).collect()}
+    assert got["SW", "2011-2012"] == (pytest.approx(kernels.alpha_area(at[:700], 2e-5), rel=1e-9), 700)
+    assert got["SW", "2017-2018"] == (pytest.approx(kernels.alpha_area(at, 2e-5), rel=1e-9), len(at))
+    assert got["NE", "2010"] == (0.0, 2) and got["NO", "2010"][0] == pytest.approx(kernels.convex_area(np.array(few)), rel=0.01) and len(got) == 4
+    thin = {(r.region, r.period): r.area for r in rg.hull_areas(d, thin=5_000.0).collect()}
+    assert thin["SW", "2017-2018"] == pytest.approx(got["SW", "2017-2018"][0], rel=0.02)
