@@ -118,15 +118,16 @@ def level_distances(profile: DataFrame, every: float = 50.0) -> DataFrame:
     """(transect, level, distance, elevation): where a profile comes nearest to each whole level within
     its range; of ties the first place."""
     rows = profile.where("elevation is not null")
-    # a sample can be nearest only to the levels around it, or around its neighbour's elevation
+    # a sample can be nearest only to the levels around it, or between it and its neighbour
+    here = F.struct("distance", "elevation")
     w = Window.partitionBy("transect").orderBy("distance")
-    rows = rows.withColumn("_to", F.coalesce(F.lead("elevation").over(w), F.col("elevation")))
-    lo, hi = F.floor(F.least("elevation", "_to") / every), F.ceil(F.greatest("elevation", "_to") / every)
-    own = rows.select("transect", "distance", "elevation", F.explode(F.sequence(lo, hi)).alias("k"))
-    after = rows.select("transect", F.lead("distance").over(w).alias("distance"), F.col("_to").alias("elevation"), lo.alias("_l"), hi.alias("_h")).where("distance is not null").select("transect", "distance", "elevation", F.explode(F.sequence("_l", "_h")).alias("k"))
+    rows = rows.withColumn("_next", F.coalesce(F.lead(here).over(w), here))
+    lo, hi = F.floor(F.least("elevation", "_next.elevation") / every), F.ceil(F.greatest("elevation", "_next.elevation") / every)
+    between = rows.select("transect", here.alias("_here"), "_next", F.explode(F.sequence(lo, hi)).alias("k")).withColumn("level", F.col("k") * F.lit(every))
+    off = lambda p: F.struct(F.abs(p["elevation"] - F.col("level")).alias("off"), p["distance"].alias("distance"), p["elevation"].alias("elevation"))
     ends = rows.groupBy("transect").agg(F.min("elevation").alias("_min"), F.max("elevation").alias("_max"))
-    near = own.unionByName(after).withColumn("level", F.col("k") * F.lit(every)).join(ends, "transect").where("level between _min and _max")
-    best = near.groupBy("transect", "level").agg(F.min(F.struct(F.abs(F.col("elevation") - F.col("level")).alias("off"), "distance", "elevation")).alias("m"))
+    near = between.join(ends, "transect").where("level between _min and _max")
+    best = near.groupBy("transect", "level").agg(F.min(F.least(off(F.col("_here")), off(F.col("_next")))).alias("m"))
     return best.select("transect", "level", "m.distance", "m.elevation")
 
 

@@ -44,9 +44,9 @@ def confusion(df: DataFrame, key: str = "quantile") -> DataFrame:
 def resampled(fine: DataFrame, columns: DataFrame, rows: DataFrame) -> DataFrame:
     """(i, j, fraction, n): share of true fine cells in each coarse cell.
 
-    ``columns``: j and east, ``rows``: i and depth; the axes of one profile, numbered from 0. As in the
-    original, column j reaches from the position before it to its own, the first from an edge derived
-    from midpoints. A row reaches down to the next one.
+    ``columns``: j and east, ``rows``: i and depth; the axes of one profile, numbered from 0.
+    Column j reaches from the position before it to its own, the first from an edge derived from
+    midpoints. A row reaches down to the next one.
     """
     w = Window.orderBy("j")  # one profile's axis
     c = columns.withColumns({"_next": F.lead("east").over(w), "_next2": F.lead("east", 2).over(w), "_prev": F.lag("east").over(w)})

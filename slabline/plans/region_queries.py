@@ -90,6 +90,13 @@ def g1(v):
     return rg.within(v("thickness"), tri, "lon", "lat").select("track", "trace", "region")
 
 
+@query("g1_concave", "SELECT track, trace FROM thickness WHERE lat >= 64 AND lat < 70 AND lon >= -55 AND lon < CASE WHEN lat < 67 THEN -43 ELSE -49 END")
+def g1_concave(v):
+    corners = [(-55, 64), (-43, 64), (-43, 67), (-49, 67), (-49, 70), (-55, 70)]
+    ring = F.array(*[F.struct(F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y")) for x, y in corners])
+    return rg.within(v("thickness"), v.spark.range(1).select(F.lit(1).alias("id"), F.lit("bend").alias("region"), ring.alias("ring")), "lon", "lat").select("track", "trace")
+
+
 @query("g2_clipped", f"SELECT t.track, t.trace, min(a.id) AS id, arg_min(a.region, a.id) AS region FROM thickness AS t JOIN areas AS a ON {_IN} GROUP BY t.track, t.trace")
 def g2(v):
     return rg.clipped(v("thickness").select("track", "trace", "lon", "lat"), jobs.polygons(v("areas")), ["track", "trace"], "lon", "lat").select("track", "trace", "id", "region")

@@ -84,7 +84,7 @@ SELECT CAST(2000 + user_id % 20 AS INT) AS year, value - 50 AS temperature FROM
     # truth and prediction of each cell
     "truth": """
 SELECT doc_id AS cell, quality = 1 AS truth, toxic = 1 AS predicted FROM labels""",
-    # areas as polygons: rectangles, and one concave ring, in degrees
+    # areas as rectangles in degrees, some of which overlap
     "areas": """
 SELECT * FROM (VALUES
   (1, 'NO', CAST(-60 AS DOUBLE), CAST(76 AS DOUBLE), CAST(-30 AS DOUBLE), CAST(80 AS DOUBLE)),

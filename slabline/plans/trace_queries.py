@@ -288,23 +288,37 @@ def i2(v):
     return longs(identify.cleaned_cells(images, "SG1"), "depth_idx").select("track", "quantile", F.col("col").alias("trace"), "depth_idx")
 
 
-@query("i2_i3_components")
+def _labelled(cells: str) -> str:
+    """SQL of (track, quantile, id, label): every cell's least reachable cell number. Only cells without a
+    smaller neighbour are followed, as the least one of a component is among them."""
+    return f"""c AS (SELECT track, quantile, trace * 64 + depth_idx AS id FROM ({cells}) AS m),
+n AS (SELECT a.track, a.quantile, a.id AS a, b.id AS b FROM (SELECT *, unnest([id - 64, id + 64, CASE WHEN id % 64 > 0 THEN id - 1 END, CASE WHEN id % 64 < 63 THEN id + 1 END]) AS other FROM c) AS a JOIN c AS b ON b.track = a.track AND b.quantile = a.quantile AND b.id = a.other),
+r AS (SELECT track, quantile, id AS root, id FROM c WHERE NOT EXISTS (SELECT 1 FROM n WHERE n.track = c.track AND n.quantile = c.quantile AND n.a = c.id AND n.b < c.id)
+UNION SELECT r.track, r.quantile, r.root, n.b FROM r JOIN n ON n.track = r.track AND n.quantile = r.quantile AND n.a = r.id),
+l AS (SELECT track, quantile, id, min(root) AS label FROM r GROUP BY track, quantile, id), z AS (SELECT track, quantile, label, count(*) AS size FROM l GROUP BY track, quantile, label)"""
+
+
+_CLEAN = f"SELECT * FROM ({_shrunk(_grown(_grown(_shrunk(_ICE))))}) AS s WHERE m"
+
+
+@query("i2_i3_components", f"WITH RECURSIVE {_labelled(_CLEAN)} SELECT track, quantile, label, size FROM z")
 def i3(v):
     images = identify.below_cutoffs(identify.dense(v("traces")), _cutoffs(v)).withColumn("col", F.col("trace"))
     return identify.components(images, "SG1")
 
 
-@query("i3_labels")
+@query("i3_labels", f"WITH RECURSIVE {_labelled(f'SELECT track, 0.5 AS quantile, trace, depth_idx FROM ({_CELLS}) AS c WHERE depth_idx >= 2 AND value <= 0')} SELECT track, size, count(*) AS n FROM z GROUP BY track, size")
 def i3_labels(v):
     one = v.spark.createDataFrame([(0.5, 0.0)], "quantile double, cutoff double")
     images = identify.below_cutoffs(v("traces"), one).withColumn("col", F.col("trace"))
     return identify.components(images, "orig").groupBy("track", "size").agg(F.count("*").alias("n"))
 
 
-@query("i4_i5_likelihood")
+@query("i4_i5_likelihood", f"""WITH RECURSIVE {_labelled(_CLEAN)}, k AS (SELECT l.track, id, count(*) AS n FROM l JOIN z ON z.track = l.track AND z.quantile = l.quantile AND z.label = l.label WHERE size >= 20 GROUP BY l.track, id)
+SELECT t.track, t.trace, t.depth_idx, coalesce(n, 0) / CAST(4 AS DOUBLE) AS likelihood FROM ({_CELLS}) AS t LEFT JOIN k ON k.track = t.track AND k.id = t.trace * 64 + t.depth_idx""")
 def i5(v):
     counts = identify.ice_counts(v("traces"), list(CUTS.values()), least=20)
-    return identify.likelihood(counts, len(CUTS)).select("track", "trace", F.posexplode("likelihood").alias("depth_idx", "likelihood"))
+    return longs(identify.likelihood(counts, len(CUTS)).select("track", "trace", F.posexplode("likelihood").alias("depth_idx", "likelihood")), "depth_idx")
 
 
 _LIKE = f"SELECT track, trace, depth_idx, count(CASE WHEN depth_idx >= 2 AND value <= cutoff THEN 1 END) / CAST(4 AS DOUBLE) AS likelihood FROM ({_CELLS}) AS c, ({_CUTS}) AS k GROUP BY track, trace, depth_idx"
@@ -406,11 +420,23 @@ def v5(v):
     return rounded(validate.resampled(fine, cols, rows), "fraction")
 
 
-@query("v6_error_grid")
+def _twice(step, of: str, n: int) -> str:
+    return of if n == 0 else step(_twice(step, of, n - 1))
+
+
+_VARIANTS = {"orig": _ICE, "S1": _shrunk(_ICE), "SG1": _shrunk(_grown(_grown(_shrunk(_ICE)))), "SG2": _twice(_shrunk, _twice(_grown, _twice(_shrunk, _ICE, 2), 4), 2)}
+_OF_ALL = " UNION ALL ".join(f"SELECT track, '{name}/' || CAST(quantile AS STRING) AS quantile, trace, depth_idx FROM ({of}) AS s WHERE m" for name, of in _VARIANTS.items())
+
+
+@query("v6_error_grid", f"""WITH RECURSIVE {_labelled(_OF_ALL)}, q AS ({_CELLS}), f AS (SELECT track, trace * 64 + depth_idx AS id FROM q WHERE value < -0.1),
+y AS (SELECT l.track, l.quantile, label, count(*) AS size, count(f.id) AS hit FROM l LEFT JOIN f ON f.track = l.track AND f.id = l.id GROUP BY l.track, l.quantile, label),
+g AS (SELECT algorithm, quantile, threshold FROM (SELECT unnest(['orig', 'S1', 'SG1', 'SG2']) AS algorithm) AS a, ({_CUTS}) AS k, (SELECT unnest([0, 10, 50, 350]) AS threshold) AS t),
+s AS (SELECT algorithm, g.quantile, threshold, coalesce(sum(size - hit), 0) AS fp, coalesce(sum(hit), 0) AS tp FROM g LEFT JOIN y ON y.quantile = algorithm || '/' || CAST(g.quantile AS STRING) AND size >= threshold GROUP BY algorithm, g.quantile, threshold),
+w AS (SELECT CAST(count(*) AS DOUBLE) AS cells, count(*) FILTER (WHERE value < -0.1) AS all_true FROM q) SELECT algorithm, quantile, threshold, round(fp / cells, 9) AS type_1, round((all_true - tp) / cells, 9) AS type_2 FROM s, w""")
 def v6(v):
     images = identify.below_cutoffs(v("traces"), _cutoffs(v)).withColumn("col", F.col("trace"))
     truth = v("traces").select("track", F.col("trace").alias("col"), F.transform("samples", lambda x: x < -0.1).alias("reference"))
-    return validate.error_grid(images, truth, ["orig", "S1", "SG1", "SG2"], [0, 10, 50, 350])
+    return rounded(validate.error_grid(images, truth, ["orig", "S1", "SG1", "SG2"], [0, 10, 50, 350]), "type_1", "type_2", digits=9)
 
 
 @query("v7_fractional_errors", "SELECT event_id % 5 AS quantile, round(coalesce(1 - avg(CASE WHEN user_id % 3 = 0 THEN value / 100 END), 0), 6) + 0 AS type_1, round(coalesce(avg(CASE WHEN user_id % 3 <> 0 THEN value / 100 END), 0), 6) + 0 AS type_2 FROM events GROUP BY 1")
