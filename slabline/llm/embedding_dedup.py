@@ -176,7 +176,10 @@ def vector_classes(rows: DataFrame, scratch: c.Scratch, id_col: str = "vec_id",
     at = classes.join(links, "cid", "left").join(roots, "cid", "left").withColumn("root", F.coalesce("root", "cid"))
     heads = at.groupBy("root").agg(F.min("least_id").alias("component"))
     at = at.join(heads, "root").select("_vec", "component", (F.coalesce("links", F.lit(0)) + F.col("w") - 1).alias("n"))
-    out = rows.join(at, "_vec", "left").withColumn("component", F.when(F.col("_vec").isNull(), F.col("_id")).otherwise(F.col("component")))
+    # rows without a vector match nothing: their second key deals them out by id
+    zero = F.lit(0).cast("long")
+    out = rows.withColumn("_spread", F.when(F.col("_vec").isNull(), F.xxhash64("_id")).otherwise(zero)).join(at.withColumn("_spread", zero), ["_vec", "_spread"], "left")
+    out = out.withColumn("component", F.when(F.col("_vec").isNull(), F.col("_id")).otherwise(F.col("component")))
     return out.select(F.col("_id").alias(id_col), F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), F.col("component").alias("component_id"), F.col("_id").eqNullSafe(F.col("component")).alias("kept"))
 
 

@@ -83,10 +83,15 @@ def targets(sizes: DataFrame, scratch: c.Scratch, weights: tuple[int, ...] = WEI
     the source's size; the level is raised for the others until the targets add up to all sizes. Each
     step is one aggregation; a source that is full stays full, so there are few.
     """
-    # one row per source: the numbering in code point order is over sources, not documents
-    rank = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
+    # sorted by ranges, numbered inside each, and the ranges' counts added up: no task sees all sources
+    part, here = F.shiftright("_id", 33), F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))
+    ordered = scratch.keep(sizes.orderBy(F.col("source").asc_nulls_last()).withColumn("_id", F.monotonically_increasing_id()), "ordered")
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = ordered.groupBy(part.alias("_part")).agg(F.count("*").alias("_n")).select("_part", before.alias("_before"))  # one row per range
+    sizes = ordered.withColumn("_part", part).join(F.broadcast(parts), "_part").withColumn("_rank", here + F.col("_before")).drop("_id", "_part", "_before")
+    rank = F.col("_rank")
     weight = F.element_at(F.array(*[F.lit(w) for w in weights]), (F.col("rank") % len(weights) + 1).cast("int"))
-    rows = sizes.withColumn("rank", rank).withColumn("weight", weight).withColumn("cap", most * F.col("source_size"))
+    rows = sizes.withColumn("rank", rank).drop("_rank").withColumn("weight", weight).withColumn("cap", most * F.col("source_size"))
     rows = scratch.keep(rows, "sources")
     level, full_before = 0.0, -1
     while True:

@@ -79,6 +79,19 @@ def slow_fingerprint(text):
     return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
 
 
+def test_fingerprint_of_a_long_text():
+    rng = np.random.default_rng(6)
+    text = " ".join(map(str, rng.integers(0, 5000, simhash.BLOCK * 2 + 77)))
+    assert simhash.fingerprint(text) % 2**64 == slow_fingerprint(text)
+
+
+def test_long_copies_take_several_digits(spark):
+    long = "".join(chr(97 + i % 26) for i in range(200_000))
+    rows = [(1, long), (2, long[:-1] + "!"), (3, long[:70_000] + " " + long[70_000:]), (4, "!" + long[1:]), (5, long[:100] + "!" + long[101:])]
+    got = exact_dedup.exact_classes(spark.createDataFrame(rows, "doc_id long, text string"), Scratch(spark)).collect()
+    assert {r.doc_id: (r.keep_id, r.group_size, r.kept) for r in got} == {1: (3, 2, False), 3: (3, 2, True), 2: (2, 1, True), 4: (4, 1, True), 5: (5, 1, True)}
+
+
 def test_simhash_classes(spark):
     rng = np.random.default_rng(5)
     base = [" ".join(rng.choice(WORDS, 300)) for _ in range(6)]

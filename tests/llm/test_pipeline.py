@@ -52,6 +52,15 @@ def test_stages(spark, tmp_path):
     assert got == sorted(i or -1 for i in seen["byte_bpe"])
 
 
+def test_results_of_two_calls_live_together(spark, tmp_path):
+    at = f"file://{tmp_path}"
+    rows, _ = planted(spark, at)
+    docs = spark.read.parquet(f"{at}/documents.parquet")
+    for stage in (p.drop_copies, p.drop_near_copies, p.mix_sources):
+        first, second = stage(spark, docs, at), stage(spark, docs, at)
+        assert second.count() == first.count() > 0
+
+
 def test_every_query_runs(spark, data):
     for name, f in queries.QUERIES.items():
         df = f(spark, data)

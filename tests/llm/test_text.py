@@ -77,6 +77,12 @@ def test_fit_with_swaps_spares_neutral_mentions(spark):
     assert caught[1] >= caught[0], caught
 
 
+def test_very_long_text_is_scored():
+    model = toxicity.Model(-2.0, {"awful": 4.0})
+    text = "plain words " * 300_000
+    assert model.score(text) == model.score("plain words") < 0.5 < model.score(text + "awful")
+
+
 def test_without_labels(spark):
     docs = spark.createDataFrame([(1, "a"), (2, "b")], "doc_id long, text string")
     for rows, want in (([], 0.5), ([(1, 1)], 2 / 3)):
