@@ -261,47 +261,59 @@ def regress_p(r: float, n: int) -> float:
     return beta_tail(df / (df + t2), df / 2, 0.5)
 
 
-def triangles(points: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def triangles(points: np.ndarray, sweep: int = 64) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Delaunay triangles (index triples) of distinct points, their circumcentres and circumradii.
 
     Points are inserted from left to right. A triangle whose circle ends left of the next point is
-    final, so a step only looks at those near the front.
+    final and is put aside every ``sweep`` points, so a step only looks at those near the front.
     """
     centre, reach = points.mean(axis=0), max(float(np.ptp(points, axis=0).max()), 1e-9)
     p = np.vstack([(points - centre) / reach, [[-400, -300], [400, -300], [0, 600]]])
     n = len(points)
 
     def circles(t: np.ndarray) -> np.ndarray:
-        b, c = p[t[:, 1]] - p[t[:, 0]], p[t[:, 2]] - p[t[:, 0]]
-        with np.errstate(divide="ignore", invalid="ignore"):
-            d = 2 * (b[:, 0] * c[:, 1] - b[:, 1] * c[:, 0])
-            bb, cc = (b * b).sum(axis=1), (c * c).sum(axis=1)
-            u = np.stack([c[:, 1] * bb - b[:, 1] * cc, b[:, 0] * cc - c[:, 0] * bb], axis=1) / d[:, None]
-        r = np.sqrt((u * u).sum(axis=1))
-        flat = ~np.isfinite(r)
-        u[flat], r[flat] = 0.0, np.inf
-        return np.column_stack([p[t[:, 0]] + u, r])
-
-    front = np.array([[n, n + 1, n + 2]])
-    around = circles(front)
-    final, final_around = [], []
-    for i in np.argsort(p[:n, 0], kind="stable"):
-        left = around[:, 0] + around[:, 2] < p[i, 0] - 1e-9
-        hit = np.hypot(p[i, 0] - around[:, 0], p[i, 1] - around[:, 1]) < around[:, 2] * (1 + 1e-12)
-        bad = front[hit & ~left]
-        edges = np.sort(np.concatenate([bad[:, [0, 1]], bad[:, [1, 2]], bad[:, [2, 0]]]), axis=1)
-        code = edges[:, 0] * (n + 3) + edges[:, 1]
-        _, first, count = np.unique(code, return_index=True, return_counts=True)
-        rim = edges[first[count == 1]]
-        fresh = np.column_stack([rim, np.full(len(rim), i)])
-        if left.any():
-            final.append(front[left])
-            final_around.append(around[left])
-        keep = ~(left | hit)
-        front, around = np.concatenate([front[keep], fresh]), np.concatenate([around[keep], circles(fresh)])
-    t, a = np.concatenate([*final, front]), np.concatenate([*final_around, around])
+        """Centre and squared radius; infinite for flat triangles."""
+        origin = p[t[:, 0]]
+        b, c = p[t[:, 1]] - origin, p[t[:, 2]] - origin
+        bb, cc = (b * b).sum(axis=1), (c * c).sum(axis=1)
+        d = 2 * (b[:, 0] * c[:, 1] - b[:, 1] * c[:, 0])
+        flat = d == 0
+        d[flat] = 1.0
+        ux, uy = (c[:, 1] * bb - b[:, 1] * cc) / d, (b[:, 0] * cc - c[:, 0] * bb) / d
+        return np.column_stack([origin[:, 0] + ux, origin[:, 1] + uy, np.where(flat, np.inf, ux * ux + uy * uy)])
+
+    front, around = np.zeros((256, 3), np.int64), np.zeros((256, 3))
+    front[0] = n, n + 1, n + 2
+    around[:1] = circles(front[:1])
+    used, final, final_around = 1, [], []
+    for step, i in enumerate(np.argsort(p[:n, 0], kind="stable").tolist()):
+        if step % sweep == 0:
+            live = around[:used, 2] >= 0
+            left = live & (around[:used, 0] + np.sqrt(np.maximum(around[:used, 2], 0)) < p[i, 0] - 1e-9)
+            final.append(front[:used][left])
+            final_around.append(around[:used][left])
+            keep = np.flatnonzero(live & ~left)
+            front[: len(keep)], around[: len(keep)] = front[keep], around[keep]
+            used = len(keep)
+        dx, dy = around[:used, 0] - p[i, 0], around[:used, 1] - p[i, 1]
+        hit = np.flatnonzero(dx * dx + dy * dy < around[:used, 2] * (1 + 1e-12))
+        rim: set[tuple[int, int]] = set()
+        for x, y, z in front[hit].tolist():
+            for edge in ((x, y), (y, z), (z, x)):
+                rim ^= {edge if edge[0] < edge[1] else edge[::-1]}  # edges of two triangles go
+        fresh = np.array([(x, y, i) for x, y in rim], np.int64).reshape(-1, 3)
+        # new triangles take the places of those that go, and further ones at the end
+        more = max(0, len(fresh) - len(hit))
+        if used + more > len(front):
+            front, around = np.concatenate([front, np.zeros_like(front)]), np.concatenate([around, np.zeros_like(around)])
+        at = np.concatenate([hit, np.arange(used, used + more)])
+        around[at, 2] = -1.0
+        front[at[: len(fresh)]], around[at[: len(fresh)]] = fresh, circles(fresh)
+        used += more
+    live = around[:used, 2] >= 0
+    t, a = np.concatenate([*final, front[:used][live]]), np.concatenate([*final_around, around[:used][live]])
     own = (t < n).all(axis=1) & np.isfinite(a[:, 2])
-    return t[own], a[own, :2] * reach + centre, a[own, 2] * reach
+    return t[own], a[own, :2] * reach + centre, np.sqrt(a[own, 2]) * reach
 
 
 def triangle_areas(corners: np.ndarray) -> np.ndarray:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo, kernels
@@ -15,6 +15,8 @@ PRIORITY = ("NO", "NE", "SE", "SW", "CW", "NW")
 NORTHING, EASTING = (-3000000.0, -1150000.0), (-600000.0, 650000.0)
 #: First and last year of each period.
 PERIODS = (("2002-2003", 2002, 2003), ("2010", 2010, 2010), ("2011-2012", 2011, 2012), ("2013-2014", 2013, 2014), ("2017-2018", 2017, 2018))
+#: Side of a hull's tile, in units of its halo.
+TILE = 6
 #: Corners that polygons may have together to travel as one broadcast row; beyond, they are joined by
 #: grid cell.
 MOST_CORNERS = 10_000
@@ -174,10 +176,10 @@ def group_limits(points: DataFrame, groups: DataFrame) -> DataFrame:
 def _tiled_areas(points: DataFrame, keys: list[str], alpha: float) -> DataFrame:
     """(keys, area): the Delaunay triangles with a circumradius under 1 / alpha, summed over tiles.
 
-    A tile of 2 / alpha has the points up to 1 / alpha around it, which hold every such circle around a
+    A tile of TILE / alpha has the points up to 1 / alpha around it, which hold every such circle around a
     centre in the tile whole; so its triangles are those of all points, and each has one tile.
     """
-    halo, tile = 1 / alpha, 2 / alpha
+    halo, tile = 1 / alpha, TILE / alpha
     of = lambda c: F.sequence(F.floor((F.col(c) - halo) / tile), F.floor((F.col(c) + halo) / tile))
     dealt = points.withColumn("_i", F.explode(of("x"))).withColumn("_j", F.explode(of("y")))
 
@@ -190,12 +192,31 @@ def _tiled_areas(points: DataFrame, keys: list[str], alpha: float) -> DataFrame:
     return dealt.groupBy(*keys, "_i", "_j").applyInPandas(run, f"{schema}, area double").groupBy(*keys).agg(F.sum("area").alias("area"))
 
 
+def _without_deep(points: DataFrame, keys: list[str], alpha: float) -> DataFrame:
+    """The points that matter for the area: deep inside, one per cell is enough.
+
+    With cells of a quarter of 1 / alpha, an empty circle that touches a cell whose neighbours up to two
+    cells away all have points is smaller than 1 / alpha, as a larger one would hold a whole cell. So such
+    cells are covered, whichever points they have, and triangles at their points end within three cells.
+    Cells with points in all of the 11 x 11 cells around are told by windows over rows, then columns.
+    """
+    cell = 0.25 / alpha
+    rows = points.withColumns({"_i": F.floor(F.col("x") / cell), "_j": F.floor(F.col("y") / cell)})
+    cells = rows.groupBy(*keys, "_i", "_j").agg(F.min(F.struct("x", "y")).alias("_one"))
+    across = Window.partitionBy(*keys, "_j").orderBy("_i").rangeBetween(-5, 5)
+    along = Window.partitionBy(*keys, "_i").orderBy("_j").rangeBetween(-5, 5)
+    wide = cells.withColumn("_n", F.count("*").over(across)).withColumn("_m", F.count_if(F.col("_n") == 11).over(along))
+    deep = wide.where("_n = 11 and _m = 11").select(*keys, "_i", "_j", "_one")
+    kept = rows.join(deep, [*keys, "_i", "_j"], "left").where("_one is null or (x = _one.x and y = _one.y)")
+    return kept.select(*keys, "x", "y")
+
+
 def hull_areas(points: DataFrame, alpha: float = 2e-5, by: tuple[str, ...] = (), thin: float | None = None, skip: tuple[str, ...] = ("SE", "Out")) -> DataFrame:
     """(region, period, area, n) of concave hulls; 2017-2018 also holds the points of 2011-2012.
 
     ``points``: region, period, x, y and columns ``by``, such as a mask's name: each of their values has
     a hull of its own, and a region's are added. Where no triangle is small enough, alpha is halved
-    until some are; three points are a triangle. With ``thin`` only the outermost points of each cell of
+    until some are; three points are a triangle. Points that can't change the area are left out first. With ``thin`` only the outermost points of each cell of
     that size are kept, in all four directions, which moves borders by less than a cell. n counts
     distinct points.
     """
@@ -208,8 +229,9 @@ def hull_areas(points: DataFrame, alpha: float = 2e-5, by: tuple[str, ...] = (),
         ends = [f(F.struct(a, b)) for f in (F.min, F.max) for a, b in (("x", "y"), ("y", "x"))]
         outer = rows.groupBy(*keys, *cell).agg(F.array(*[F.struct(e["x"].alias("x"), e["y"].alias("y")) for e in ends]).alias("p"))
         rows = outer.select(*keys, F.explode("p").alias("p")).select(*keys, "p.x", "p.y")
-    rows = blocks.held(rows.distinct())
-    sizes = rows.groupBy(*keys).agg(F.count("*").alias("n"))
+    every = rows.distinct()
+    sizes = blocks.held(every.groupBy(*keys).agg(F.count("*").alias("n")))
+    rows = blocks.held(_without_deep(every, keys, alpha))
     found, todo = None, sizes.where("n > 2")
     while True:
         areas = blocks.held(_tiled_areas(rows.join(todo.select(*keys), keys, "left_semi"), keys, alpha))

@@ -133,6 +133,19 @@ def test_outline_codes_and_edge(spark):
     assert got == sorted([(0, 2, 1), (1, 3, 0), (1, 249, 0), (2, 7, 2), (2, 251, 2), (3, 9, -1)], key=repr)
 
 
+def test_dense_hulls_keep_their_area(spark):
+    import numpy as np
+
+    from slabline.functions import kernels
+
+    rng = np.random.default_rng(2)
+    at = rng.random((16_000, 2)) * [500_000, 400_000]
+    at = at[np.hypot(at[:, 0] - 420_000, at[:, 1] - 60_000) > 130_000]  # with a bay
+    d = spark.createDataFrame([("SW", "2010", *map(float, x)) for x in at], "region string, period string, x double, y double")
+    assert rg._without_deep(d, ["region", "period"], 2e-5).count() < 0.9 * len(at)
+    assert rg.hull_areas(d).first().area == pytest.approx(kernels.alpha_area(at, 2e-5), rel=1e-9)
+
+
 def test_hulls_of_tiles(spark):
     import numpy as np
 
