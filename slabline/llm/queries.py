@@ -1,6 +1,6 @@
 """The registered queries of the corpus operators, and their SQL where SQL can express them."""
 
-from . import byte_bpe, embedding_dedup, exact_dedup, html_text, licenses, mixing, pii, secrets, simhash, toxicity
+from . import byte_bpe, embedding_dedup, exact_dedup, fill_middle, html_text, licenses, mixing, pii, secrets, simhash, toxicity
 
 QUERIES = {
     f.__name__: f
@@ -15,6 +15,7 @@ QUERIES = {
         exact_dedup.op8_exact_dedup,
         byte_bpe.op9_byte_bpe,
         secrets.op10_secrets,
+        fill_middle.op11_fill_middle,
     )
 }
 
@@ -23,4 +24,5 @@ SQL = {
     "op2_license": licenses.op2_sql(),
     "op8_exact_dedup": exact_dedup.OP8_SQL,
     "op10_secrets": secrets.op10_sql(),
+    "op11_fill_middle": fill_middle.OP11_SQL,
 }
