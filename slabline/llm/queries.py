@@ -1,6 +1,6 @@
 """The registered queries of the corpus operators, and their SQL where SQL can express them."""
 
-from . import byte_bpe, embedding_dedup, exact_dedup, fill_middle, html_text, licenses, mixing, pii, secrets, simhash, toxicity
+from . import byte_bpe, embedding_dedup, exact_dedup, fill_middle, html_text, lexical_search, licenses, mixing, pii, secrets, simhash, toxicity
 
 QUERIES = {
     f.__name__: f
@@ -16,6 +16,7 @@ QUERIES = {
         byte_bpe.op9_byte_bpe,
         secrets.op10_secrets,
         fill_middle.op11_fill_middle,
+        lexical_search.op12_lexical_search,
     )
 }
 
@@ -25,4 +26,5 @@ SQL = {
     "op8_exact_dedup": exact_dedup.OP8_SQL,
     "op10_secrets": secrets.op10_sql(),
     "op11_fill_middle": fill_middle.OP11_SQL,
+    "op12_lexical_search": lexical_search.OP12_SQL,
 }

@@ -9,7 +9,7 @@ from slabline.llm import queries
 @pytest.mark.parametrize("name", sorted(queries.SQL))
 def test_same_as_sql(spark, data, name):
     con = duckdb.connect()
-    for t in ("documents", "embeddings"):
+    for t in ("documents", "embeddings", "benchmark"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{data}/{t}.parquet'")
     rel = con.sql(queries.SQL[name])
     df = queries.QUERIES[name](spark, data)
