@@ -1,6 +1,6 @@
 """The registered queries of the corpus operators, and their SQL where SQL can express them."""
 
-from . import byte_bpe, embedding_dedup, exact_dedup, fill_middle, html_text, lexical_search, licenses, mixing, pii, secrets, simhash, toxicity
+from . import byte_bpe, embedding_dedup, exact_dedup, fill_middle, html_text, lexical_search, licenses, mixing, pii, secrets, simhash, toxicity, vector_search
 
 QUERIES = {
     f.__name__: f
@@ -17,6 +17,7 @@ QUERIES = {
         secrets.op10_secrets,
         fill_middle.op11_fill_middle,
         lexical_search.op12_lexical_search,
+        vector_search.op13_vector_search,
     )
 }
 
@@ -27,4 +28,5 @@ SQL = {
     "op10_secrets": secrets.op10_sql(),
     "op11_fill_middle": fill_middle.OP11_SQL,
     "op12_lexical_search": lexical_search.OP12_SQL,
+    "op13_vector_search": vector_search.OP13_SQL,
 }
