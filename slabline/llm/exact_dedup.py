@@ -10,9 +10,6 @@ from . import _common as c
 #: Code points of the first digit; each further digit is GROWTH times as long, up to WIDEST.
 FIRST, GROWTH, WIDEST = 64, 4, 1 << 16
 
-#: In a carried row, whether the text was null.
-_NULL = "_text_is_null"
-
 
 def normalised(text: str) -> Column:
     """The text without ASCII white space; null counts as empty."""
@@ -87,11 +84,12 @@ def exact_classes(docs: DataFrame, scratch: c.Scratch, id_col: str = "doc_id", t
 
 
 def exact_keep_first(docs: DataFrame, scratch: c.Scratch, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with one row of each set of equal texts left, as ``exact_classes`` says; all columns stay."""
-    rest = F.struct(*[F.col(f"`{x}`") for x in docs.columns if x != text], F.col(text).isNull().alias(_NULL))
-    rows, found = _classes(docs, scratch, id_col, text, {"_doc": rest})
+    """docs with one row of each set of equal texts left, as ``exact_classes`` says; all columns stay,
+    whatever their names."""
+    rest = F.struct(*[F.col(f"`{x}`") for x in docs.columns if x != text])
+    rows, found = _classes(docs, scratch, id_col, text, {"_doc": rest, "_none": F.col(text).isNull()})
     gone = scratch.keep(found.where("_row <> _keep_row").select("_row"), "gone")
-    original = F.when(~F.col("_doc")[_NULL], F.col("_text")).alias(text)
+    original = F.when(~F.col("_none"), F.col("_text")).alias(text)
     return c.without(rows, gone, "_row").select(*[original if x == text else F.col("_doc")[x].alias(x) for x in docs.columns])
 
 

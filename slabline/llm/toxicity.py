@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -14,13 +14,11 @@ from pyspark.sql import types as T
 
 from . import _common as c
 
-#: Labelled rows that the classifier is fitted on at most, by the order of a hash of their id.
+#: Labelled rows that the classifier is fitted on at most, by the order of a hash of id and text.
 MAX_TRAIN = 20_000
-#: Size of the model, which bounds the driver's work: features, besides the terms of groups.
-FEATURES = 512
 #: Documents of the fitted sample that a feature needs, and log-likelihood ratio of its dependence on the
-#: label: 8 happens to one in 16,000 features by chance.
-LEAST, GAIN = 4, 8.0
+#: label: 4 is what two documents tell if both are of the rarer kind, one row in nine.
+LEAST, GAIN = 2, 4.0
 #: Weights of the squared weights, and of squared score changes under swaps.
 RIDGE, SWAP = 0.1, 5.0
 #: Texts whose features are made at once.
@@ -85,25 +83,68 @@ class Model:
         return self.__dict__["heads"]
 
 
-def newton(x: np.ndarray, y: np.ndarray, change: np.ndarray, ridge: float = RIDGE, swap: float = SWAP, rounds: int = 30) -> np.ndarray:
+@dataclass(frozen=True)
+class Sparse:
+    """A matrix of rows with few cells: row i has vals in the columns cols[at[i]:at[i+1]]."""
+
+    at: np.ndarray
+    cols: np.ndarray
+    vals: np.ndarray
+    width: int
+
+    def times(self, w: np.ndarray) -> np.ndarray:
+        sums = np.concatenate([[0.0], np.cumsum(self.vals * w[self.cols])])
+        return sums[self.at[1:]] - sums[self.at[:-1]]
+
+    def back(self, v: np.ndarray) -> np.ndarray:
+        """The transpose times v."""
+        return np.bincount(self.cols, self.vals * np.repeat(v, np.diff(self.at)), self.width)
+
+
+def solved(apply: Callable[[np.ndarray], np.ndarray], b: np.ndarray, scale: np.ndarray, exact: float = 1e-8) -> np.ndarray:
+    """x with apply(x) = b by conjugate gradients, for a positive definite matrix with the diagonal scale."""
+    x, r = np.zeros_like(b), b.copy()
+    p = r / scale
+    now = r @ p
+    enough = exact**2 * now
+    for _ in range(4 * len(b)):
+        if now <= enough:
+            break
+        q = apply(p)
+        step = now / (p @ q)
+        x, r = x + step * p, r - step * q
+        z = r / scale
+        now, then = r @ z, now
+        p = z + now / then * p
+    return x
+
+
+def newton(x: Sparse, y: np.ndarray, change: Sparse, ridge: float = RIDGE, swap: float = SWAP, rounds: int = 30) -> np.ndarray:
     """Weights (bias last) with the least logistic loss + ridge * squares + swap * squared changes of
-    the score under counterfactual swaps, by damped Newton steps."""
-    x = np.hstack([x, np.ones((len(x), 1), x.dtype)])
-    fixed = 2 * ridge * np.eye(x.shape[1])
-    fixed[-1, -1] = 1e-6
-    if len(change):
-        d = np.hstack([change, np.zeros((len(change), 1), change.dtype)]).astype(float)
-        fixed += 2 * swap * d.T @ d
+    the score under counterfactual swaps, by damped Newton steps. No matrix but those of few cells is made."""
+    ridges = np.append(np.full(x.width, 2 * ridge), 1e-6)
+
+    def fixed(w: np.ndarray) -> np.ndarray:
+        return ridges * w + 2 * swap * np.append(change.back(change.times(w[:-1])), 0.0)
+
+    def scores(w: np.ndarray) -> np.ndarray:
+        return x.times(w[:-1]) + w[-1]
 
     def loss(w: np.ndarray) -> float:
-        z = x @ w
-        return float(np.logaddexp(0, z).sum() - y @ z + 0.5 * w @ fixed @ w)
+        z = scores(w)
+        return float(np.logaddexp(0, z).sum() - y @ z + 0.5 * w @ fixed(w))
+
+    def back(v: np.ndarray) -> np.ndarray:
+        return np.append(x.back(v), v.sum())
 
-    w = np.zeros(x.shape[1])
+    squares = Sparse(change.at, change.cols, change.vals**2, change.width).back(np.ones(len(change.at) - 1))
+    w = np.zeros(x.width + 1)
     now = loss(w)
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -500, 500)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None].astype(x.dtype)).T @ x + fixed, x.T @ (p - y) + fixed @ w)
+        p = 1 / (1 + np.exp(-np.clip(scores(w), -500, 500)))
+        v = p * (1 - p)
+        scale = back(v) + ridges + 2 * swap * np.append(squares, 0.0)  # cells are 0 and 1, so squares are cells
+        step = solved(lambda d, v=v: back(v * scores(d)) + fixed(d), back(p - y) + fixed(w), scale)
         size = 1.0
         while (then := loss(w - size * step)) > now and size > 1e-4:
             size /= 2
@@ -119,27 +160,53 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 5 == 0, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, scratch: c.Scratch, id_col: str = "doc_id", text: str = "text", toxic: str = "toxic", most: int = MAX_TRAIN, n_features: int = FEATURES, ridge: float = RIDGE, swap: float = SWAP) -> Model:
+def _cells(names: dict[str, int]):
+    """What a task does with featured rows: y, the numbers of the own features, and the cells by which
+    their counterfactuals differ, numbers of features gained and, as -1 less the number, lost."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            own = [sorted(names[f] for f in fs if f in names) for fs in batch["own"]]
+            moved = []
+            for mine, fs in zip(own, batch["swapped"], strict=True):
+                other = None if fs is None else {names[f] for f in fs if f in names}
+                moved.append(None if other is None else sorted(other - set(mine)) + [-1 - i for i in sorted(set(mine) - other)])
+            yield pd.DataFrame({"y": batch["_y"].to_numpy(), "own": own, "moved": pd.Series(moved, dtype=object)})
+
+    return run
+
+
+def _sample(docs: DataFrame, labels: DataFrame, scratch: c.Scratch, id_col: str, text: str, toxic: str, most: int) -> DataFrame:
+    """(_y, _text) of at most ``most`` labelled rows outside ``held_out``: of so many ids at most, and of
+    their rows, which may be more, again so many at most."""
+    known = labels.select(F.col(id_col).alias("_id"), F.col(toxic).alias("_toxic")).where("_toxic in (0, 1) and _id is not null").where(~held_out("_id"))
+    known = known.groupBy("_id").agg(F.max("_toxic").cast("int").alias("_y"))
+    known = scratch.keep(known.orderBy(F.xxhash64("_id"), "_id").limit(most), "labels")
+    rows = docs.select(F.col(id_col).alias("_id"), c.text_or_empty(text).alias("_text"))
+    rows = c.numbered(rows.join(F.broadcast(known), "_id").withColumn("_hash", F.xxhash64("_id", "_text")), scratch)
+    some = scratch.keep(rows.select("_row", "_hash").orderBy("_hash", "_row").limit(most).select("_row"), "some")
+    return c.matching(rows, some, "_row").select("_y", "_text")
+
+
+def fit(docs: DataFrame, labels: DataFrame, scratch: c.Scratch, id_col: str = "doc_id", text: str = "text", toxic: str = "toxic", most: int = MAX_TRAIN, ridge: float = RIDGE, swap: float = SWAP) -> Model:
     """A model learnt from labelled rows outside ``held_out``.
 
-    At most ``most`` labelled ids are used, which bounds what is broadcast and what the driver fits;
-    an id with several labels counts as toxic if any says so, null labels are left out. The features
-    are the ``n_features`` whose presence tells most about the label, and at least GAIN, one of each set
-    with the same documents, and the terms of groups.
-    Without both kinds of labels, every text gets the share of toxic ones (half without any).
+    At most ``most`` rows are used, of at most as many ids; that bounds what is broadcast and what the
+    driver fits, ids that are repeated included. An id with several labels counts as toxic if any says
+    so; null labels and null ids are left out, and null texts count as empty. Rows whose hashes tie go by
+    their place. Other columns are ignored, whatever their names.
+    The features are all whose presence tells GAIN or more about the label, and the terms of groups. Without both kinds of labels, as in empty tables, every text
+    gets the share of toxic ones (half without any).
     """
     mark = len(scratch.tables)
-    known = labels.where(f"{toxic} in (0, 1) and {id_col} is not null").where(~held_out(id_col))
-    known = known.groupBy(F.col(id_col).alias("_id")).agg(F.max(toxic).cast("int").alias("_y"))
-    known = scratch.keep(known.orderBy(F.xxhash64("_id"), "_id").limit(most), "labels")
-    sample = docs.join(F.broadcast(known), F.col(id_col) == F.col("_id")).select("_y", c.text_or_empty(text).alias("_text"))
+    sample = _sample(docs, labels, scratch, id_col, text, toxic, most)
     sample = c.numbered(sample.mapInPandas(_featured, "_y int, own array<string>, swapped array<string>"), scratch)
     n, pos = sample.agg(F.count("*"), F.coalesce(F.sum("_y"), F.lit(0))).first()
     if not 0 < pos < n:
+        scratch.drop_since(mark)
         share = (pos + 1) / (n + 2)
         return Model(float(np.log(share / (1 - share))))
-    marks = [F.bit_xor(F.xxhash64("_row", F.lit(i))).alias(x) for i, x in enumerate("xy")]
-    counts = sample.select("_row", "_y", F.explode("own").alias("f")).groupBy("f").agg(F.count("*").alias("n"), F.sum("_y").alias("pos"), *marks).where(F.col("n") >= LEAST)
+    counts = sample.select("_y", F.explode("own").alias("f")).groupBy("f").agg(F.count("*").alias("n"), F.sum("_y").alias("pos")).where(F.col("n") >= LEAST)
     # log-likelihood ratio of the feature's and the label's dependence
     a, b = F.col("pos").cast("double"), (F.col("n") - F.col("pos")).cast("double")
 
@@ -148,30 +215,24 @@ def fit(docs: DataFrame, labels: DataFrame, scratch: c.Scratch, id_col: str = "d
 
     share, m = pos / n, F.col("n").cast("double")
     told = term(a, m * share) + term(b, m * (1 - share)) + term(pos - a, (n - m) * share) + term(n - pos - b, (n - m) * (1 - share))
-    some = counts.where(F.col("n") < n).withColumn("told", F.round(told, 9)).where(F.col("told") >= GAIN)
-    name = F.min(F.struct(F.col("f").endswith("*").alias("stem"), F.length("f").alias("size"), "f")).alias("best")
-    best = some.groupBy("n", "pos", "told", "x", "y").agg(name).orderBy(F.desc("told"), "best").limit(n_features)
-    names = sorted({r.f for r in best.select("best.f").collect()} | {f for f in features(set(NEXT)) if not f.endswith("*")})  # at most n_features and the terms
-    array = F.array(*[F.lit(f) for f in names])
-    chosen = sample.select("_y", F.array_intersect("own", array).alias("own"), F.array_intersect("swapped", array).alias("swapped"))
-    rows = chosen.toPandas()  # at most `most` rows of a few names
+    some = counts.where(F.col("n") < n).where(told >= GAIN)
+    best = some.select("f").toPandas()["f"]  # of the words of ``most`` rows
+    names = sorted({*best} | {f for f in features(set(NEXT)) if not f.endswith("*")})
+    rows = sample.mapInPandas(_cells({f: i for i, f in enumerate(names)}), "y int, own array<int>, moved array<int>").toArrow()  # at most ``most`` rows
     scratch.drop_since(mark)
-    at = {f: i for i, f in enumerate(names)}
-
-    def matrix(lists: pd.Series) -> np.ndarray:
-        out = np.zeros((len(lists), len(names)), np.float32)
-        for i, fs in enumerate(lists):
-            out[i, [at[f] for f in fs]] = 1
-        return out
-
-    named = rows["swapped"].notna()
-    change = matrix(rows["own"][named]) - matrix(rows["swapped"][named])
-    w = newton(matrix(rows["own"]), rows["_y"].to_numpy(float), change, ridge, swap)
-    return Model(float(w[-1]), {f: float(v) for f, v in zip(names, w, strict=False) if v}, int(named.sum()))
+    named = rows["moved"].is_valid()
+    own, moved = (x.combine_chunks() for x in (rows["own"], rows["moved"].filter(named)))
+    at = own.value_lengths().to_numpy(), moved.value_lengths().to_numpy()
+    cells = own.flatten().to_numpy(), moved.flatten().to_numpy()
+    x = Sparse(np.append(0, np.cumsum(at[0])), cells[0], np.ones(len(cells[0])), len(names))
+    change = Sparse(np.append(0, np.cumsum(at[1])), np.where(cells[1] < 0, -1 - cells[1], cells[1]), np.where(cells[1] < 0, 1.0, -1.0), len(names))
+    w = newton(x, rows["y"].to_numpy().astype(float), change, ridge, swap)
+    return Model(float(w[-1]), {f: float(v) for f, v in zip(names, w, strict=False) if v}, len(at[1]))
 
 
 def score(model: Model, text: str | Column) -> Column:
-    """The toxicity score of a text column, 0 to 1; null counts as empty."""
+    """The toxicity score of a text column, 0 to 1; null counts as empty, and empty and very long texts are
+    scored whole. Equal texts, repeated rows among them, score the same to the last digit."""
 
     @F.pandas_udf(T.DoubleType())
     def scores(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -182,8 +243,9 @@ def score(model: Model, text: str | Column) -> Column:
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, scratch: c.Scratch, threshold: float = 0.5) -> DataFrame:
-    """docs without those that score ``threshold`` or more, ties included; all their columns stay. Null
-    texts count as empty; repeated rows and null ids are rows like any others."""
+    """docs without those that score ``threshold`` or more, ties included; all their columns stay, whatever
+    their names. Null texts count as empty; repeated rows and null ids are rows like any others. An empty
+    table stays one."""
     model = fit(docs, labels, scratch)
     rows = docs.select(F.struct("*").alias("_doc"), score(model, "text").alias("_score"))
     return rows.where(F.col("_score") < threshold).select("_doc.*")

@@ -175,3 +175,10 @@ def test_embedding_edges(spark):
     odd = spark.createDataFrame([(None, [1.0, 0.0]), (4, [1.0, 0.0]), (4, [1.0, 0.0]), (None, None)], "vec_id long, embedding array<float>")
     got = sorted((r.vec_id or -1, r.n_links, r.component_id or -1) for r in emb.vector_classes(odd, Scratch(spark)).collect())
     assert got == [(-1, 0, -1), (-1, 2, 4), (4, 2, 4), (4, 2, 4)]
+
+
+def test_exact_keep_first_with_any_column_names(spark):
+    rows = [(1, "a b", 1, "p", True, 5, "u"), (2, "ab", 2, "q", False, 6, "v"), (3, None, 3, "r", True, 7, "w"), (4, "", 4, "s", None, 8, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _text_is_null int, _doc string, _none boolean, _row int, _norm string")
+    got = exact_dedup.exact_keep_first(docs, Scratch(spark))
+    assert got.columns == docs.columns and sorted(map(tuple, got.collect())) == [rows[0], rows[2]]

@@ -43,16 +43,48 @@ def test_held_out_accuracy(spark, data):
     assert clean.columns == ["doc_id", "text", "_score", "_doc"] and 950 <= clean.count() <= 1010
 
 
+def sparse(x):
+    return toxicity.Sparse(np.append(0, np.cumsum((x != 0).sum(axis=1))), np.nonzero(x)[1], x[x != 0].astype(float), x.shape[1])
+
+
 def test_swaps_are_penalised():
     rng = np.random.default_rng(1)
-    x = rng.integers(0, 2, (400, 3)).astype(np.float32)  # bad word, group A, group B
+    x = rng.integers(0, 2, (400, 3))  # bad word, group A, group B
     y = ((x[:, 0] == 1) | ((x[:, 1] == 1) & (rng.random(400) < 0.4))).astype(float)
-    change = np.zeros((400, 3), np.float32)
+    change = np.zeros((400, 3))
     change[:, 1], change[:, 2] = x[:, 1] - x[:, 2], x[:, 2] - x[:, 1]
-    free, fair = toxicity.newton(x, y, change, swap=0.0), toxicity.newton(x, y, change, swap=50.0)
+    free, fair = (toxicity.newton(sparse(x), y, sparse(change), swap=s) for s in (0.0, 50.0))
     assert abs(fair[1] - fair[2]) < 0.2 * abs(free[1] - free[2]) and fair[0] > 2
 
 
+def test_newton_ends_where_the_slope_is_zero():
+    """More features than rows, some without a row, equal ones: the dense gradient at the result is nothing."""
+    rng = np.random.default_rng(8)
+    x = (rng.random((300, 400)) < 0.05).astype(float)
+    x[:, 7] = x[:, 8]
+    x[:, 9] = 0
+    y = (x[:, :5].sum(axis=1) + 0.3 * rng.standard_normal(300) > 0.2).astype(float)
+    change = np.roll(x[:50], 1, axis=1) - x[:50]
+    w = toxicity.newton(sparse(x), y, sparse(change), ridge=0.1, swap=2.0)
+    p = 1 / (1 + np.exp(-(x @ w[:-1] + w[-1])))
+    slope = x.T @ (p - y) + 0.2 * w[:-1] + 4.0 * change.T @ (change @ w[:-1])
+    assert np.abs(slope).max() < 1e-3 and abs((p - y).sum()) < 1e-3
+    a = rng.standard_normal((30, 30))
+    a = a @ a.T + np.eye(30)
+    assert np.allclose(toxicity.solved(lambda v: a @ v, np.ones(30), np.diag(a)), np.linalg.solve(a, np.ones(30)))
+
+
+def test_rows_are_bounded_not_ids(spark):
+    """Each id 20 times, and columns named like those used inside."""
+    docs = spark.createDataFrame([(i, f"plain words number {'awful' if i % 4 == 0 else 'nice'}", 7, 8, "z") for i in range(60)] * 20, "doc_id long, text string, _id int, _y int, _row string")
+    lab = spark.createDataFrame([(i, int(i % 4 == 0), 3) for i in range(60)] * 2, "doc_id long, toxic int, _id int")
+    seen = toxicity._sample(docs, lab, Scratch(spark), "doc_id", "text", "toxic", 20)
+    assert seen.count() == 20 and seen.columns == ["_y", "_text"]
+    assert all(r._y == ("awful" in r._text) for r in seen.collect())
+    clean = toxicity.keep_clean(docs, lab, Scratch(spark))
+    assert clean.columns == docs.columns and clean.count() == 900 and clean.where("text like '%awful%' or _id <> 7 or _row <> 'z'").count() == 0
+
+
 def test_fit_with_swaps_spares_neutral_mentions(spark):
     """One group is named in most toxic rows, another in clean ones: without swaps the name itself tells."""
     rng = np.random.default_rng(5)
