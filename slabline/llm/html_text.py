@@ -28,12 +28,20 @@ PLAIN = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl blockquote pre table figure".spl
 #: A start tag that ends an open element of these names, up to the nearest of the others.
 ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "tr": ({"tr"}, {"table"}), "option": ({"option"}, {"select"})}
 ENDS_P = BLOCK - {"html", "body", "caption", "td", "th", "tr", "tbody", "thead", "tfoot"}
-#: Words in an element's class or id. Reader comments always go; furniture goes unless the element's
-#: other words say content; loose furniture also stays where one word says both, as in post-header.
+#: Words in an element's class or id, which are told apart at signs and digits. Reader comments always go;
+#: furniture goes unless another of the element's words says content; loose furniture also stays where
+#: one word says both, as in post-header.
 COMMENT = re.compile(r"(?:^|[_-])(?:comments?|disqus|replies|respond)(?:$|[_-]|\d)", re.I)
 FIRM = re.compile(r"(?:^|[_-])(?:ads?|advert\w*|breadcrumbs?|consent|cookies?|footer|gdpr|menu|modal|nav\w*|newsletter|pagination|popup|related|sidebar|sponsor\w*|subscribe|toolbar)(?:$|[_-]|\d)", re.I)
 LOOSE = re.compile(r"(?:^|[_-])(?:alert|banner|form|header|masthead|notices?|promo\w*|share|sharing|social)(?:$|[_-]|\d)", re.I)
 CONTENT = re.compile(r"(?:^|[_-])(?:article|body|content|entry|main|page|post|story|text)(?:$|[_-]|\d)", re.I)
+#: What may stand beside furniture in one word without naming a subject, as it does in related-work.
+PLACE = frozenset("area articles bar block bottom box button buttons col container fixed global group icons inner item items js left links list mobile outer overlay panel posts right row section site slot sticky stories top unit widget wrap wrapper".split())
+PARTS = re.compile(r"[^\W\d_]+")
+#: Furniture that names a subject goes if half of its text is links, or if it has less text than this and
+#: is no paragraph, heading or the like.
+SHORT = 100
+HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert form menu menubar toolbar".split())
 #: End tags that close elements outside the table or cell they stand in.
 THROUGH = frozenset("table tr tbody div article body".split())
@@ -42,7 +50,9 @@ NAME = re.compile(r"<(/?)([A-Za-z][^\s/<>]*)")
 #: A tag as most are. It holds no other <, so that trying it everywhere takes linear time.
 PLAIN_TAG = re.compile(r"<(/?)([A-Za-z][^\s/<>]*)([^<>\"']*+(?:(?:\"[^\"<]*\"|'[^'<]*')[^<>\"']*+)*+)>")
 SPECIAL = re.compile(r"[>\"']")
-ATTRIBUTE = re.compile(r"(?<![\w-])(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?(?=[\s/]|$)", re.I)
+#: One attribute with its value, so that nothing is looked for inside values.
+ATTRIBUTE = re.compile(r"([^\s=/<>\"']+)(?:\s*+=\s*+(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+TOLD = frozenset("class id role hidden aria-hidden".split())
 SPACES = re.compile(r"\s+")
 
 
@@ -56,7 +66,8 @@ class Node:
         self.score, self.size, self.links = 0.0, 0, 0
         self.furniture = parent is not None and self._furniture(nested)
 
-    def _furniture(self, nested: bool) -> bool:
+    def _furniture(self, nested: bool) -> bool | None:
+        """None: by what its words say it may be, and its text must tell."""
         a, name = self.attrs, self.name
         if name in DROPPED and not (name == "header" and nested):
             return True
@@ -72,12 +83,24 @@ class Node:
         content = [w for w in words if CONTENT.search(w)]
         if any(not FIRM.search(w) and not LOOSE.search(w) for w in content):
             return False
-        return any(FIRM.search(w) or (LOOSE.search(w) and w not in content) for w in words)
+        if name in HEADING:  # its id names what it is about
+            words = a.get("class", "").split()
+        odd = [w for w in words if FIRM.search(w) or (LOOSE.search(w) and w not in content)]
+        if any(not _names_subject(w) for w in odd):
+            return True
+        return None if odd else False
 
     def words(self) -> list[str]:
         return f"{self.attrs.get('class', '')} {self.attrs.get('id', '')}".split()
 
 
+def _names_subject(word: str) -> bool:
+    """Whether a word of furniture says something besides, or is form or header alone, which articles have too."""
+    parts = PARTS.findall(word.lower())
+    other = [x for x in parts if not FIRM.search(x) and not LOOSE.search(x)]
+    return parts in (["form"], ["header"]) or any(x not in PLACE and not CONTENT.search(x) for x in other)
+
+
 class TagEnds:
     """Finds the ends of tags in one page in time linear in its length, whatever stands in it.
 
@@ -194,7 +217,7 @@ def parsed(html: str) -> Node:
             open_.end(name)
             continue
         open_.begin(name)
-        attrs = {k.lower(): x or y or z for k, x, y, z in ATTRIBUTE.findall(inside)} if len(inside) > 4 else {}
+        attrs = {n: x or y or z for k, x, y, z in ATTRIBUTE.findall(inside) if (n := k.lower()) in TOLD} if len(inside) > 4 else {}
         around = open_.stack[-1]
         node = Node(name, attrs, around, name == "header" and open_.deepest(("article", "main")) > 0)
         around.children.append(node)
@@ -220,13 +243,8 @@ def _nodes(root: Node) -> list[Node]:
     return out
 
 
-def scored(root: Node) -> list[Node]:
-    """Sets size (code points of text), links (those in links) and score of all nodes outside furniture.
-
-    A text element passes 1 point, 1 for each comma and 1 for each 100 code points, 3 at most, whole
-    to its parent, half to its parent's parent and a third of that per further level; each element's
-    sum is discounted by its link density.
-    """
+def _measured(root: Node) -> list[Node]:
+    """All nodes outside furniture with their size (code points of text) and links (those in links)."""
     nodes = _nodes(root)
     for node in nodes:
         own = sum(len(SPACES.sub(" ", x).strip()) for x in node.children if not isinstance(x, Node))
@@ -237,6 +255,22 @@ def scored(root: Node) -> list[Node]:
         if (up := node.parent) is not None:
             up.size += node.size
             up.links += node.links
+    return nodes
+
+
+def scored(root: Node) -> list[Node]:
+    """Sets size, links and score of all nodes outside furniture.
+
+    A text element passes 1 point, 1 for each comma and 1 for each 100 code points, 3 at most, whole
+    to its parent, half to its parent's parent and a third of that per further level; each element's
+    sum is discounted by its link density.
+    """
+    nodes = _measured(root)
+    if doubtful := [x for x in nodes if x.furniture is None]:
+        for x in doubtful:
+            x.furniture = 2 * x.links >= max(x.size, 1) or (x.size < SHORT and x.name not in PLAIN and x.name not in SCORED)
+        if any(x.furniture for x in doubtful):
+            nodes = _measured(root)
     for node in nodes:
         if node.name in ("article", "main"):
             node.score += 10
@@ -309,11 +343,13 @@ def _main_texts(pages: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 def with_main_text(pages: DataFrame, html: str = "html", name: str = "text") -> DataFrame:
     """pages with the column ``name``: the main text; null and empty pages have an empty one. A column
-    of that name is replaced."""
+    of that name is replaced, all others stay, whatever their names. Whole pages are read, in time linear
+    in their length. Equal pages, repeated rows among them, have equal texts; of containers that tie the
+    first in the page is the best. An empty table stays one."""
     return pages.withColumn(name, _main_texts(c.text_or_empty(html)))
 
 
 def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The main text of every page."""
+    """The main text of every row of pages, repeated ones each; null and empty pages have an empty one."""
     pages = c.read_columns(spark, sf_dir, "pages", "page_id", "url", "html")
     return with_main_text(pages).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))

@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import time
+from html import unescape
 
 import numpy as np
 import public_tokenizers
@@ -238,6 +239,53 @@ def test_what_stays(html, text):
     assert html_text.main_text(html) == text
 
 
+LONG = "Sentences of an article, with commas, and more words than furniture has, so that they count, as they should, for the whole."
+
+
+@pytest.mark.parametrize(
+    "inside, kept",
+    [
+        ('<p title="a hidden gem">x, y</p>', True), ('<p title="see class=sidebar x">x, y</p>', True), ("<p data-note='id=comments'>x, y</p>", True), ('<p title=hidden>x, y</p>', True),
+        ('<p hidden>x, y</p>', False), ('<p title="a" hidden>x, y</p>', False), ("<p class = 'sidebar'>x, y</p>", False), ('<p title="a>b" class="ad">x, y</p>', False), ('<p CLASS=ad>x, y</p>', False),
+        ('<h2 id="related-work">x, y</h2>', True), ('<h2 class="related">x, y</h2>', False), ('<p class="share-price">x, y</p>', True), ('<p class="related-links"><a href="/">x, y</a></p>', False),
+        (f'<section class="notice-period"><p>x, y</p><p>{LONG}</p></section>', True), (f'<div class="form"><p>x, y</p><p>{LONG}</p></div>', True), ('<div class="form">x, y</div>', False),
+        (f'<div class="cookie-notice"><p>x, y</p><p>{LONG}</p></div>', False), (f'<div class="sidebar-box left"><p>x, y</p><p>{LONG}</p></div>', False), (f'<div class="related-work"><a href="/">x, y {LONG}</a> and</div>', False), ('<div class="banner">x, y</div>', False),
+    ],
+)
+def test_furniture_by_name_and_content(inside, kept):
+    text = html_text.main_text(f"<body><article><p>{LONG}</p>{inside}<p>{LONG}</p></article></body>")
+    assert text.startswith(LONG) and text.endswith(LONG) and ("x, y" in text) == kept
+
+
+def test_articles_of_generated_pages():
+    """Pages whose article is known: its blocks come back, all of them, in order, and nothing else."""
+    rng = np.random.default_rng(3)
+    word = lambda: "".join(rng.choice(list("abcdefg"), int(rng.integers(2, 8))))
+    line = lambda n: " ".join(word() + ("," if rng.random() < 0.15 else "") for _ in range(n))
+    odd = ["", ' title="a hidden menu"', ' id="related-work"', ' data-x="class=ad"', ' class="lead"', ' style="display:block"']
+    for _ in range(60):
+        blocks, html = [], []
+        for _ in range(int(rng.integers(3, 12))):
+            kind, text, attr = str(rng.choice(["p", "h2", "li", "blockquote", "pre"])), line(int(rng.integers(8, 60))), str(rng.choice(odd))
+            blocks.append(text.strip())
+            html.append(f"<ul><li{attr}>{text}</li></ul>" if kind == "li" else f"<{kind}{attr}>{text.replace(' ', ' <b>', 1)}</b></{kind}>")
+            if rng.random() < 0.3:
+                html.append(f'<div class="{rng.choice(["ad", "sidebar", "share-buttons", "newsletter", "comments"])}"><p>{line(12)}</p></div>')
+        around = f'<nav><a href="/">{line(4)}</a></nav><header>{line(5)}</header>', f'<div id="sidebar">{line(30)}</div><form>{line(3)}</form><footer>{line(9)}</footer>'
+        page = f"<html><body>{around[0]}<article>{''.join(html)}</article>{around[1]}</body></html>"
+        assert html_text.main_text(page).split("\n") == [" ".join(b.split()) for b in blocks]
+
+
+def test_pages_have_their_articles(spark, data):
+    """Brute force on the given table: the text of each page's article element, without white space."""
+    bare = lambda s: re.sub(r"\s", "", s)
+    rows = html_text.op7_html_text(spark, data).join(spark.read.parquet(f"{data}/pages.parquet").select("page_id", "html"), "page_id").collect()
+    for r in rows:
+        article = re.search(r"<article[^>]*>(.*)</article>", r.html, re.S)
+        if article and 'class="ad"' not in article[1]:
+            assert bare(r.text) == bare(unescape(re.sub(r"<[^>]*>", "", article[1])))
+
+
 @pytest.mark.parametrize("html, text", [(None, ""), ("", ""), ("   ", ""), ("plain &lt; text", "plain < text"), ("<p>a<p>b", "a\nb"), ("<!-- open", ""), ("<script>x", ""), ("<div>" * 5000 + "deep" + "</div>" * 5000, "deep"), ("a < b and c > d", "a < b and c > d")])
 def test_odd_pages(html, text):
     assert html_text.main_text(html) == text
