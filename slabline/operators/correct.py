@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import kernels
 from . import pooled
@@ -100,17 +101,40 @@ def roll_summary(traces: DataFrame, fitted: DataFrame, shallow: int) -> DataFram
     )
 
 
-def roll_curvature(df: DataFrame, cutoffs: list[float]) -> DataFrame:
-    """Regression of curvature on absolute roll: overall (cutoff null), and below and from each cutoff.
+@F.pandas_udf(T.DoubleType())
+def _p_values(r: pd.Series, n: pd.Series) -> pd.Series:
+    return pd.Series([kernels.regress_p(x, int(k)) for x, k in zip(r.astype(float), n, strict=True)])
 
-    A row goes to its side of every cutoff, so the fan-out is the fixed list's length and sums combine
-    before the shuffle.
+
+def roll_curvature(df: DataFrame, step: float = 0.5) -> DataFrame:
+    """Regression of curvature on absolute roll, both in degrees: overall (cutoff null), and below and
+    from each cutoff 0, step, 2 step, ... under the largest roll.
+
+    ``df``: roll and curvature_per_m in radians; rows with a null or NaN in either are left out. Returns
+    cutoff, side, slope, intercept, r, p (two-sided, of Student's t with n - 2 degrees), n; sides without
+    rows are absent, and what too few or equal rows don't define is null. ``step`` should be a power of
+    two, so that bins end exactly at cutoffs.
+
+    Rows are summed once per bin of one step; a side's sums are those of all bins below or from the cutoff.
     """
-    rows = df.select(F.abs("roll").alias("r"), F.col("curvature_per_m").alias("k")).where("r is not null and k is not null")
-    sides = [F.struct(F.lit(None).cast("double").alias("cutoff"), F.lit("all").alias("side"))]
-    sides += [F.struct(F.lit(float(x)).alias("cutoff"), F.when(F.col("r") < x, "below").otherwise("above").alias("side")) for x in cutoffs]
-    fanned = rows.select("r", "k", F.explode(F.array(*sides)).alias("s")).select("r", "k", "s.*")
-    return fanned.groupBy("cutoff", "side").agg(F.regr_slope("k", "r").alias("slope"), F.regr_intercept("k", "r").alias("intercept"), F.corr("k", "r").alias("r"), F.count("*").alias("n"))
+    x, y = F.degrees(F.abs(F.col("roll").cast("double"))), F.degrees(F.col("curvature_per_m").cast("double"))
+    rows = df.select(x.alias("x"), y.alias("y")).where("x is not null and y is not null and not isnan(x) and not isnan(y)")
+    sums = {"n": F.lit(1.0), "sx": F.col("x"), "sy": F.col("y"), "xx": F.col("x") * F.col("x"), "xy": F.col("x") * F.col("y"), "yy": F.col("y") * F.col("y")}
+    bins = rows.groupBy(F.floor(F.col("x") / step).alias("bin")).agg(F.max("x").alias("most"), *[F.sum(e).alias(k) for k, e in sums.items()])
+    # from here on there is one row per step of roll, or per cutoff
+    last = bins.agg(F.max("most").alias("most"))
+    cutoffs = last.where("most > 0").select(F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("most") / step) - 1)).alias("k"))
+    total = F.struct(*[F.sum(k).alias(k) for k in sums]).alias("s")
+    sided = cutoffs.crossJoin(bins).groupBy((F.col("k") * step).alias("cutoff"), F.when(F.col("bin") < F.col("k"), "below").otherwise("above").alias("side")).agg(total)
+    every = bins.agg(total).where("s.n > 0").select(F.lit(None).cast("double").alias("cutoff"), F.lit("all").alias("side"), "s")
+    g = every.unionByName(sided).select("cutoff", "side", "s.*")
+    vx, vy, cov = (F.col(a) - F.col(b) * F.col(c) / F.col("n") for a, b, c in (("xx", "sx", "sx"), ("yy", "sy", "sy"), ("xy", "sx", "sy")))
+    some = F.col("n") > 1
+    flat = lambda v, of: v <= 1e-12 * F.col(of)  # noqa: E731  what rounding leaves of equal values
+    slope = F.when(some & ~flat(vx, "xx"), cov / vx)
+    g = g.withColumns({"slope": slope, "r": F.when(some & ~flat(vx, "xx") & ~flat(vy, "yy"), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cov / F.sqrt(vx * vy))))})
+    p = F.when(F.col("r").isNotNull() & (F.col("n") > 2), _p_values(F.coalesce("r", F.lit(0.0)), F.col("n").cast("long")))
+    return g.select("cutoff", "side", "slope", ((F.col("sy") - F.col("slope") * F.col("sx")) / F.col("n")).alias("intercept"), "r", p.alias("p"), F.col("n").cast("long").alias("n"))
 
 
 def minus_surface(traces: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Beyond any trace number.
@@ -25,20 +25,31 @@ def intervals(tokens: DataFrame, token: str = "token", single: bool = True) -> D
     return out if single else out.where(~t.rlike(r"^\d+$"))
 
 
-def excluded(traces: DataFrame, spans: DataFrame) -> DataFrame:
-    """Rows of traces that lie in an interval of their track, both ends included.
+def united(spans: DataFrame, *by: str) -> DataFrame:
+    """Intervals of whole numbers as few as can be: those of one track (and one value of ``by``) that
+    overlap or touch are one, both ends included, so that a trace lies in at most one. One with its ends
+    swapped holds nothing and is left out."""
+    keys = ["track", *by]
+    before = F.max("hi").over(Window.partitionBy(*keys).orderBy("lo", "hi").rowsBetween(Window.unboundedPreceding, -1))
+    rows = spans.where("lo <= hi").select(*keys, "lo", "hi").withColumn("_new", F.when(before + 1 >= F.col("lo"), 0).otherwise(1))
+    rows = rows.withColumn("_island", F.sum("_new").over(Window.partitionBy(*keys).orderBy("lo", "hi").rowsBetween(Window.unboundedPreceding, 0)))
+    return rows.groupBy(*keys, "_island").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).drop("_island")
 
-    The intervals are per track, so the join is an equi-join with a range condition; a semi join emits
-    each trace at most once, however many intervals hold it.
-    """
-    s = spans.select(F.col("track").alias("_t"), "lo", "hi")
-    return traces.join(s, (F.col("track") == F.col("_t")) & F.col("trace").between(F.col("lo"), F.col("hi")), "left_semi")
+
+def _meeting(traces: DataFrame, spans: DataFrame, how: str) -> DataFrame:
+    s = united(spans).select(F.col("track").alias("_t"), "lo", "hi")
+    return traces.join(s, (F.col("track") == F.col("_t")) & F.col("trace").between(F.col("lo"), F.col("hi")), how)
+
+
+def excluded(traces: DataFrame, spans: DataFrame) -> DataFrame:
+    """Rows of traces that lie in an interval of their track, both ends included. Intervals are united
+    first; the join is an equi-join by track with a range condition."""
+    return _meeting(traces, spans, "left_semi")
 
 
 def masked_out(traces: DataFrame, spans: DataFrame) -> DataFrame:
     """Rows of traces outside all intervals, both ends of an interval being excluded."""
-    s = spans.select(F.col("track").alias("_t"), "lo", "hi")
-    return traces.join(s, (F.col("track") == F.col("_t")) & F.col("trace").between(F.col("lo"), F.col("hi")), "left_anti")
+    return _meeting(traces, spans, "left_anti")
 
 
 def _with_spans(traces: DataFrame, spans: DataFrame) -> DataFrame:
@@ -67,10 +78,11 @@ def restored(kept: DataFrame, every: DataFrame) -> DataFrame:
 
 
 def exclusion_shares(traces: DataFrame, spans: DataFrame, name: str = "list") -> DataFrame:
-    """Per list of intervals, the number and percentage of traces that it excludes."""
-    s = spans.select(F.col("track").alias("_t"), "lo", "hi", name)
-    hit = traces.join(s, (F.col("track") == F.col("_t")) & F.col("trace").between(F.col("lo"), F.col("hi")))
-    n = hit.select(name, "track", "trace").distinct().groupBy(name).agg(F.count("*").alias("n_excluded"))
+    """Per list of intervals, the number and percentage of traces that it excludes. A list's intervals
+    are united first, so a trace meets a list once and is counted where it is joined."""
+    s = united(spans, name).select(F.col("track").alias("_t"), "lo", "hi", name)
+    hit = traces.select("track", "trace").join(s, (F.col("track") == F.col("_t")) & F.col("trace").between(F.col("lo"), F.col("hi")))
+    n = hit.groupBy(name).agg(F.count("*").alias("n_excluded"))
     total = traces.agg(F.count("*").alias("_all"))
     return n.crossJoin(F.broadcast(total)).select(name, "n_excluded", (100 * F.col("n_excluded") / F.col("_all")).alias("percent"))  # one row is broadcast
 

@@ -78,12 +78,14 @@ def error_grid(images: DataFrame, truth: DataFrame, algorithms: list[str], thres
 
     parts = blocks.with_roots(blocks.labelled(both, cleaned, by=("quantile",)))
     whole = parts.groupBy(*blocks.KEYS, "root").agg(F.sum("size").alias("size"), F.sum("true").alias("true"))
-    each = F.explode(F.array(*[F.lit(t) for t in thresholds])).alias("threshold")
-    kept = whole.select(F.col("name").alias("algorithm"), "quantile", "size", "true", each).where("size >= threshold")
-    kept = kept.groupBy("algorithm", "quantile", "threshold").agg(F.sum(F.col("size") - F.col("true")).alias("fp"), F.sum("true").alias("tp"))
+    # a component counts under the largest threshold that it reaches; smaller ones have the sums from there
+    reached = F.array_max(F.filter(F.array(*[F.lit(t) for t in thresholds]), lambda t: F.col("size") >= t)).alias("threshold")
+    kept = whole.select(F.col("name").alias("algorithm"), "quantile", "size", "true", reached).where("threshold is not null")
+    kept = kept.groupBy("algorithm", "quantile", "threshold").agg(F.sum(F.col("size") - F.col("true")).alias("_fp"), F.sum("true").alias("_tp"))
     cells = both.groupBy("quantile").agg(F.sum(F.size("reference")).alias("cells"), F.sum(size("reference")).alias("all_true"))
-    every = cells.withColumn("algorithm", F.explode(F.array(*[F.lit(x) for x in algorithms]))).withColumn("threshold", F.explode(F.array(*[F.lit(t) for t in thresholds])))
-    g = every.join(kept, ["algorithm", "quantile", "threshold"], "left").na.fill(0.0, ["fp", "tp"])
+    every = cells.withColumn("algorithm", F.explode(F.array(*[F.lit(x) for x in algorithms]))).withColumn("threshold", F.explode(F.array(*[F.lit(t) for t in sorted(set(thresholds))])))
+    larger = Window.partitionBy("algorithm", "quantile").orderBy(F.desc("threshold")).rowsBetween(Window.unboundedPreceding, 0)
+    g = every.join(kept, ["algorithm", "quantile", "threshold"], "left").withColumns({"fp": F.sum(F.coalesce("_fp", F.lit(0.0))).over(larger), "tp": F.sum(F.coalesce("_tp", F.lit(0.0))).over(larger)})
     return g.select("algorithm", "quantile", "threshold", (F.col("fp") / F.col("cells")).alias("type_1"), ((F.col("all_true") - F.col("tp")) / F.col("cells")).alias("type_2"))
 
 

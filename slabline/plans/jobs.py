@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import blocks, correct, identify, masks, pooled, track
@@ -36,27 +36,30 @@ def elevation_limits(points: DataFrame, shapes: DataFrame) -> DataFrame:
     return rg.region_summary(rg.own_slice_limits(slab_points(points, shapes)))
 
 
-def roll_levelled(traces: DataFrame, positions: DataFrame, depths: Column) -> DataFrame:
+def roll_levelled(traces: DataFrame, positions: DataFrame, step: float) -> DataFrame:
     """Traces corrected for aircraft roll: fits per depth, smoothed over depth, and applied with a roll
-    without gaps. ``positions``: track, trace, lon, lat, roll in radians; ``depths``: the array of depths."""
+    without gaps. ``positions``: track, trace, lon, lat, roll in radians; ``step``: metres between samples.
+    Ends and gaps of the roll are those of the given traces, so that masked ones have no part in it."""
     at = track.with_curvature(track.with_polar(positions.select("track", "trace", "lon", "lat", "roll")))
+    at = at.join(traces.select("track", "trace"), ["track", "trace"])
     rolls = correct.filled_roll(at).select("track", "trace", "roll_seen", "roll_filled")
     rows = traces.join(rolls, ["track", "trace"])
     cells = rows.select("track", F.col("roll_seen").alias("roll"), F.posexplode("samples").alias("depth_idx", "value"))
     fit = correct.roll_fit(cells)
-    axis = fit.select("track", "depth_idx", F.get(depths, F.col("depth_idx")).alias("depth"))
-    curves = correct.roll_curves(correct.roll_decay(fit, axis), depths)
+    decay = correct.roll_decay(fit, fit.select("track", "depth_idx", (F.col("depth_idx") * F.lit(step)).alias("depth")))
+    deepest = fit.groupBy("track").agg(F.max("depth_idx").alias("_deepest"))
+    curves = correct.roll_curves(decay.join(deepest, "track"), F.transform(F.sequence(F.lit(0), F.col("_deepest")), lambda i: i * F.lit(step)))
     return correct.roll_corrected(rows, curves).drop("roll_seen", "roll_filled")
 
 
-def corrected_traces(kept: DataFrame, depths: Column, flagged: DataFrame | None = None) -> DataFrame:
+def corrected_traces(kept: DataFrame, step: float, flagged: DataFrame | None = None) -> DataFrame:
     """Traces less their track's surface value, freed from their decay with depth; flagged tracks are
     rescaled to the range of the others. ``flagged``: track."""
     flat = correct.minus_surface(kept)
     sums = correct.depth_sums(flat)
     # one row per track, used by the quantiles and by the images: kept, so that it is fitted once
-    fit = blocks.held(correct.depth_fit(sums, sums.select("track", "depth_idx", F.get(depths, F.col("depth_idx")).alias("depth"))))
-    out = correct.depth_corrected(flat, fit, F.slice(depths, 1, F.size("samples")))
+    fit = blocks.held(correct.depth_fit(sums, sums.select("track", "depth_idx", (F.col("depth_idx") * F.lit(step)).alias("depth"))))
+    out = correct.depth_corrected(flat, fit, F.transform("samples", lambda _, i: i * F.lit(step)))
     if flagged is None:
         return out
     scaled = correct.rescaled(out, flagged)
@@ -76,10 +79,6 @@ def ice_thickness(flat: DataFrame, exclusions: DataFrame, positions: DataFrame,
     return identify.thickness(content, where, None, None).withColumnRenamed("mean_likelihood", "likelihood")
 
 
-def _depths(step: float, n: int = 4096) -> Column:
-    return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: i * F.lit(step))
-
-
 def traces_to_thickness(traces: DataFrame, exclusions: DataFrame, positions: DataFrame, step: float = 0.5, continuity: int = 20, shallow: int = 41) -> DataFrame:
     """(track, trace, content, likelihood, lon, lat, distance) from traces that are cut at the surface and
     levelled for roll.
@@ -89,7 +88,7 @@ def traces_to_thickness(traces: DataFrame, exclusions: DataFrame, positions: Dat
     the quantiles; blocks of neighbouring traces are the unit of the image work.
     """
     spans = masks.intervals(exclusions.where("list = '1'"))
-    flat = tr.shallow(corrected_traces(masks.masked_out(traces, spans), _depths(step)), shallow)
+    flat = tr.shallow(corrected_traces(masks.masked_out(traces, spans), step), shallow)
     return ice_thickness(flat, exclusions, positions, step, continuity)
 
 
@@ -107,10 +106,9 @@ def radar_to_thickness(
     cut = tr.cut_at_surface(traces.join(surface, ["track", "trace"]), 0, samples).drop("surface")
     kept = masks.masked_out(cut, spans)
     kept = kept.withColumn("samples", tr.log10_samples()) if logarithm else kept
-    depths = _depths(step, samples)
     # read by several fits: the surface is followed once
-    level = blocks.held(roll_levelled(kept, positions, depths))
-    return ice_thickness(tr.shallow(corrected_traces(level, depths, flagged), shallow), exclusions, positions, step, continuity)
+    level = blocks.held(roll_levelled(kept, positions, step))
+    return ice_thickness(tr.shallow(corrected_traces(level, step, flagged), shallow), exclusions, positions, step, continuity)
 
 
 def transect_profiles(points: DataFrame, listed: DataFrame, width: float = 300.0) -> DataFrame:

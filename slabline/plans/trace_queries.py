@@ -194,13 +194,22 @@ def r5(v):
     return rounded(correct.roll_summary(t, _fits(v), 40), "max_roll", "mean_a", "mean_c", "mean_below_5", "mean_above_5")
 
 
-@query("r6_roll_curvature", """WITH c AS (SELECT abs(roll) AS x, lat / 10 AS y FROM coordinates WHERE roll IS NOT NULL), s AS (SELECT CAST(NULL AS DOUBLE) AS cutoff, 'all' AS side, x, y FROM c
-UNION ALL SELECT k.cutoff, CASE WHEN x < k.cutoff THEN 'below' ELSE 'above' END, x, y FROM c, (SELECT unnest([5.0, 10.0, 15.0]::DOUBLE[]) AS cutoff) AS k)
-SELECT cutoff, side, round(regr_slope(y, x), 7) + 0 AS slope, round(regr_intercept(y, x), 6) + 0 AS intercept, round(corr(y, x), 6) + 0 AS r, count(*) AS n FROM s GROUP BY cutoff, side""")
+def _roll_curvature(v: Inputs):
+    c = v("coordinates").select((F.col("roll") * 0.01).alias("roll"), (F.col("lat") / 1000).alias("curvature_per_m"))
+    return correct.roll_curvature(c)
+
+
+@query("r6_roll_curvature", """WITH c AS (SELECT degrees(abs(roll * 0.01)) AS x, degrees(lat / 1000) AS y FROM coordinates WHERE roll IS NOT NULL), k AS (SELECT unnest(range(0, CAST(ceil(m / 0.5) AS BIGINT))) * CAST(0.5 AS DOUBLE) AS cutoff FROM (SELECT max(x) AS m FROM c) AS m),
+s AS (SELECT CAST(NULL AS DOUBLE) AS cutoff, 'all' AS side, x, y FROM c UNION ALL SELECT cutoff, CASE WHEN x < cutoff THEN 'below' ELSE 'above' END, x, y FROM c, k)
+SELECT cutoff, side, round(CASE WHEN count(*) > 1 THEN regr_slope(y, x) END, 6) + 0 AS slope, round(CASE WHEN count(*) > 1 THEN regr_intercept(y, x) END, 5) + 0 AS intercept, round(CASE WHEN count(*) > 1 THEN corr(y, x) END, 6) + 0 AS r, count(*) AS n FROM s GROUP BY cutoff, side""")
 def r6(v):
-    c = v("coordinates").select("roll", (F.col("lat") / 10).alias("curvature_per_m"))
-    g = correct.roll_curvature(c, [5.0, 10.0, 15.0])
-    return g.select("cutoff", "side", r("slope", 7).alias("slope"), r("intercept").alias("intercept"), r("r").alias("r"), "n")
+    return rounded(rounded(_roll_curvature(v), "slope", "r"), "intercept", digits=5).drop("p")
+
+
+@query("r6_roll_p_values")
+def r6_p(v):
+    """The p-values of the same regressions, which SQL lacks the distribution for."""
+    return _roll_curvature(v).select("cutoff", "side", "n", "p")
 
 
 @query("r7_minus_surface", f"WITH m AS (SELECT track, avg(samples[1]) AS m FROM traces GROUP BY track) SELECT c.track, trace, depth_idx, round(value - m, 6) + 0 AS value FROM ({_CELLS}) AS c JOIN m ON m.track = c.track")

@@ -105,3 +105,58 @@ def test_smoothed_roll_curves(spark):
     got = correct.roll_corrected(t, correct.roll_curves(decay, F.array(*[F.lit(float(x)) for x in d]))).first().samples
     a, c = -0.02 * np.exp(-0.2 * d), 0.5 * np.exp(-0.1 * d) - 3
     assert got == pytest.approx(list(-3 * c / (a * 36 + c)), rel=1e-3)
+
+
+def test_roll_ends_are_those_of_the_kept_traces(spark):
+    """A masked track's ends are copied within what is left, not from masked neighbours."""
+    rolls = [None, 0.01, None, 0.05, None, 0.02, 0.03, None]
+    positions = spark.createDataFrame([("t", i, -50 + i / 100, 68.0, r) for i, r in enumerate(rolls)], "track string, trace long, lon double, lat double, roll double")
+    at = positions.withColumn("curvature", F.lit(0.0)).where("trace between 2 and 6")
+    got = {r.trace: r.roll_filled for r in correct.filled_roll(at).collect()}
+    assert got[2] == pytest.approx(np.degrees(0.05)) and got[4] == pytest.approx(np.degrees(0.035))
+    traces = spark.createDataFrame([("t", i, [float(-5 - (i * 7 + k) % 3) for k in range(6)]) for i in range(2, 7)], "track string, trace long, samples array<double>")
+    rows = jobs.roll_levelled(traces, positions, 0.5).collect()
+    assert sorted(r.trace for r in rows) == [2, 3, 4, 5, 6] and all(len(r.samples) == 6 and None not in r.samples for r in rows)
+
+
+def test_flows_take_any_number_of_samples(spark):
+    """Beyond 4,096 samples none is lost."""
+    rng = np.random.default_rng(0)
+    rows = [("t", i, (-2 * np.exp(-0.0004 * np.arange(5000)) - 1 + 0.01 * rng.standard_normal(5000)).tolist()) for i in range(4)]
+    traces = spark.createDataFrame(rows, "track string, trace long, samples array<double>")
+    for r in jobs.corrected_traces(traces, 0.5).collect():
+        assert len(r.samples) == 5000 and None not in r.samples
+    positions = spark.createDataFrame([("t", i, -50 + i / 100, 68.0, 0.01 * i) for i in range(4)], "track string, trace long, lon double, lat double, roll double")
+    for r in jobs.roll_levelled(traces, positions, 0.5).collect():
+        assert len(r.samples) == 5000 and None not in r.samples
+
+
+def test_regressions_of_curvature_on_roll(spark):
+    """Against a fit by hand per cutoff, with p from the integral of Student's density."""
+    rng = np.random.default_rng(4)
+    x = np.abs(rng.normal(0, 0.03, 400))
+    y = 0.01 * x + rng.normal(0, 0.0008, 400)
+    rows = [(float(a) * (-1) ** i, float(b)) for i, (a, b) in enumerate(zip(x, y, strict=True))] + [(None, 1.0), (0.1, None), (float("nan"), 0.0)]
+    got = {(r.cutoff, r.side): r for r in correct.roll_curvature(spark.createDataFrame(rows, "roll double, curvature_per_m double")).collect()}
+    x, y = np.degrees(x), np.degrees(y)
+    want = {(None, "all"): np.ones(400, bool)}
+    for cutoff in np.arange(0, x.max(), 0.5):
+        want |= {(cutoff, "below"): x < cutoff, (cutoff, "above"): x >= cutoff}
+    assert set(got) == {k for k, m in want.items() if m.any()} and len(want) > 10
+
+    def tail(t, df):
+        u = np.linspace(0, np.pi / 2, 200_001)[:-1]  # t = sqrt(df) tan u
+        d = np.cos(u) ** (df - 1)
+        return d[u > np.arctan(t / np.sqrt(df))].sum() / d.sum()
+
+    for k, m in want.items():
+        if m.sum() > 2:
+            slope, intercept = np.polyfit(x[m], y[m], 1)
+            r = np.corrcoef(x[m], y[m])[0, 1]
+            g = got[k]
+            assert (g.slope, g.intercept, g.r, g.n) == (pytest.approx(slope, rel=1e-6), pytest.approx(intercept, rel=1e-6, abs=1e-9), pytest.approx(r, rel=1e-6), m.sum())
+            df = int(m.sum()) - 2
+            assert g.p == pytest.approx(tail(abs(r) * np.sqrt(df / (1 - r * r)), df), rel=2e-3, abs=1e-4)
+    few = correct.roll_curvature(spark.createDataFrame([(0.1, 1.0)], "roll double, curvature_per_m double")).collect()
+    assert all(r.n == 1 and r.slope is None and r.p is None for r in few)
+    assert correct.roll_curvature(spark.createDataFrame([], "roll double, curvature_per_m double")).count() == 0

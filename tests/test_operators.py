@@ -1,5 +1,7 @@
 """Hand-worked edge cases."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -163,3 +165,24 @@ def test_hulls_of_tiles(spark):
     assert got["NE", "2010"] == (0.0, 2) and got["NO", "2010"][0] == pytest.approx(kernels.convex_area(np.array(few)), rel=0.01) and len(got) == 4
     thin = {(r.region, r.period): r.area for r in rg.hull_areas(d, thin=5_000.0).collect()}
     assert thin["SW", "2017-2018"] == pytest.approx(got["SW", "2017-2018"][0], rel=0.02)
+
+
+def test_united_intervals(spark):
+    """Overlapping, touching, contained, repeated and swapped intervals, by list; against every trace."""
+    rng = random.Random(2)
+    spans = [(str(rng.randrange(3)), str(rng.randrange(2)), a := rng.randrange(200), a + rng.randrange(-2, 15)) for _ in range(60)] + [("0", "1", 5, masks.OPEN_END), ("9", "0", 0, 3)]
+    df = spark.createDataFrame(spans, "track string, list string, lo long, hi long")
+    one = [tuple(r) for r in masks.united(df, "list").select("track", "list", "lo", "hi").collect()]
+    for k in {s[:2] for s in spans}:
+        mine = sorted(s[2:] for s in one if s[:2] == k)
+        assert all(a[1] + 1 < b[0] for a, b in zip(mine, mine[1:], strict=False))
+        for t in range(230):
+            assert any(lo <= t <= hi for lo, hi in mine) == any(s[:2] == k and s[2] <= t <= s[3] for s in spans)
+    traces = spark.createDataFrame([(str(k), t) for k in range(4) for t in range(230)], "track string, trace long")
+    share = masks.exclusion_shares(traces, df)
+    got = {r.list: (r.n_excluded, r.percent) for r in share.collect()}
+    for name in "01":
+        n = sum(any(s[:2] == (str(k), name) and s[2] <= t <= s[3] for s in spans) for k in range(4) for t in range(230))
+        assert got[name] == (n, pytest.approx(100 * n / 920))
+    kept = masks.masked_out(traces, df).count()
+    assert kept + masks.excluded(traces, df).count() == 920 and kept == sum(not any(s[0] == str(k) and s[2] <= t <= s[3] for s in spans) for k in range(4) for t in range(230))
