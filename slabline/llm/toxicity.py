@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
@@ -93,12 +94,17 @@ class Sparse:
     width: int
 
     def times(self, w: np.ndarray) -> np.ndarray:
-        sums = np.concatenate([[0.0], np.cumsum(self.vals * w[self.cols])])
-        return sums[self.at[1:]] - sums[self.at[:-1]]
+        return np.bincount(self._rows(), self.vals * w[self.cols], len(self.at) - 1)
 
     def back(self, v: np.ndarray) -> np.ndarray:
         """The transpose times v."""
-        return np.bincount(self.cols, self.vals * np.repeat(v, np.diff(self.at)), self.width)
+        return np.bincount(self.cols, self.vals * v[self._rows()], self.width)
+
+    def _rows(self) -> np.ndarray:
+        """The row of each cell."""
+        if "rows" not in self.__dict__:
+            self.__dict__["rows"] = np.repeat(np.arange(len(self.at) - 1), np.diff(self.at))
+        return self.__dict__["rows"]
 
 
 def solved(apply: Callable[[np.ndarray], np.ndarray], b: np.ndarray, scale: np.ndarray, exact: float = 1e-8) -> np.ndarray:
@@ -119,9 +125,10 @@ def solved(apply: Callable[[np.ndarray], np.ndarray], b: np.ndarray, scale: np.n
     return x
 
 
-def newton(x: Sparse, y: np.ndarray, change: Sparse, ridge: float = RIDGE, swap: float = SWAP, rounds: int = 30) -> np.ndarray:
+def newton(x: Sparse, y: np.ndarray, change: Sparse, ridge: float = RIDGE, swap: float = SWAP, rounds: int = 60) -> np.ndarray:
     """Weights (bias last) with the least logistic loss + ridge * squares + swap * squared changes of
-    the score under counterfactual swaps, by damped Newton steps. No matrix but those of few cells is made."""
+    the score under counterfactual swaps, by damped Newton steps. No matrix but those of few cells is
+    made. A step is solved the more exactly, the smaller the slope has become."""
     ridges = np.append(np.full(x.width, 2 * ridge), 1e-6)
 
     def fixed(w: np.ndarray) -> np.ndarray:
@@ -139,19 +146,23 @@ def newton(x: Sparse, y: np.ndarray, change: Sparse, ridge: float = RIDGE, swap:
 
     squares = Sparse(change.at, change.cols, change.vals**2, change.width).back(np.ones(len(change.at) - 1))
     w = np.zeros(x.width + 1)
-    now = loss(w)
+    now, first = loss(w), None
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(scores(w), -500, 500)))
         v = p * (1 - p)
         scale = back(v) + ridges + 2 * swap * np.append(squares, 0.0)  # cells are 0 and 1, so squares are cells
-        step = solved(lambda d, v=v: back(v * scores(d)) + fixed(d), back(p - y) + fixed(w), scale)
+        slope = back(p - y) + fixed(w)
+        left = math.sqrt(slope @ (slope / scale))
+        first = first or left
+        if left <= 1e-5 * first:
+            break
+        step = solved(lambda d, v=v: back(v * scores(d)) + fixed(d), slope, scale, min(0.1, left / first))
         size = 1.0
         while (then := loss(w - size * step)) > now and size > 1e-4:
             size /= 2
-        w = w - size * step
-        if now - then < 1e-6 * max(1.0, now):
+        w, now = w - size * step, then
+        if size <= 1e-4:
             break
-        now = then
     return w
 
 
