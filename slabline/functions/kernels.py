@@ -282,36 +282,50 @@ def triangles(points: np.ndarray, sweep: int = 64) -> tuple[np.ndarray, np.ndarr
         ux, uy = (c[:, 1] * bb - b[:, 1] * cc) / d, (b[:, 0] * cc - c[:, 0] * bb) / d
         return np.column_stack([origin[:, 0] + ux, origin[:, 1] + uy, np.where(flat, np.inf, ux * ux + uy * uy)])
 
-    front, around = np.zeros((256, 3), np.int64), np.zeros((256, 3))
+    px, py = p[:, 0].tolist(), p[:, 1].tolist()
+
+    def circle(x: int, y: int, i: int) -> tuple[float, float, float]:
+        """As circles, for one triangle: a step makes too few for arrays to pay."""
+        ox, oy = px[x], py[x]
+        bx, by, cx, cy = px[y] - ox, py[y] - oy, px[i] - ox, py[i] - oy
+        bb, cc, d = bx * bx + by * by, cx * cx + cy * cy, 2 * (bx * cy - by * cx)
+        if d == 0:
+            return ox, oy, math.inf
+        ux, uy = (cy * bb - by * cc) / d, (bx * cc - cx * bb) / d
+        return ox + ux, oy + uy, ux * ux + uy * uy
+
+    front, around = np.zeros((256, 3), np.int64), np.zeros((3, 256))
     front[0] = n, n + 1, n + 2
-    around[:1] = circles(front[:1])
+    around[:, :1] = circles(front[:1]).T
     used, final, final_around = 1, [], []
     for step, i in enumerate(np.argsort(p[:n, 0], kind="stable").tolist()):
         if step % sweep == 0:
-            live = around[:used, 2] >= 0
-            left = live & (around[:used, 0] + np.sqrt(np.maximum(around[:used, 2], 0)) < p[i, 0] - 1e-9)
+            live = around[2, :used] >= 0
+            left = live & (around[0, :used] + np.sqrt(np.maximum(around[2, :used], 0)) < px[i] - 1e-9)
             final.append(front[:used][left])
-            final_around.append(around[:used][left])
+            final_around.append(around[:, :used][:, left].T)
             keep = np.flatnonzero(live & ~left)
-            front[: len(keep)], around[: len(keep)] = front[keep], around[keep]
+            front[: len(keep)], around[:, : len(keep)] = front[keep], around[:, keep]
             used = len(keep)
-        dx, dy = around[:used, 0] - p[i, 0], around[:used, 1] - p[i, 1]
-        hit = np.flatnonzero(dx * dx + dy * dy < around[:used, 2] * (1 + 1e-12))
+        dx, dy = around[0, :used] - px[i], around[1, :used] - py[i]
+        hit = (dx * dx + dy * dy < around[2, :used] * (1 + 1e-12)).nonzero()[0]
         rim: set[tuple[int, int]] = set()
         for x, y, z in front[hit].tolist():
             for edge in ((x, y), (y, z), (z, x)):
                 rim ^= {edge if edge[0] < edge[1] else edge[::-1]}  # edges of two triangles go
-        fresh = np.array([(x, y, i) for x, y in rim], np.int64).reshape(-1, 3)
         # new triangles take the places of those that go, and further ones at the end
-        more = max(0, len(fresh) - len(hit))
-        if used + more > len(front):
-            front, around = np.concatenate([front, np.zeros_like(front)]), np.concatenate([around, np.zeros_like(around)])
-        at = np.concatenate([hit, np.arange(used, used + more)])
-        around[at, 2] = -1.0
-        front[at[: len(fresh)]], around[at[: len(fresh)]] = fresh, circles(fresh)
-        used += more
-    live = around[:used, 2] >= 0
-    t, a = np.concatenate([*final, front[:used][live]]), np.concatenate([*final_around, around[:used][live]])
+        at = hit.tolist()
+        while used + max(0, len(rim) - len(at)) > len(front):
+            front, around = np.concatenate([front, np.zeros_like(front)]), np.concatenate([around, np.zeros_like(around)], axis=1)
+        at += range(used, used + max(0, len(rim) - len(at)))
+        used = max(used, at[-1] + 1) if at else used
+        if rim:
+            front[at[: len(rim)]] = [(x, y, i) for x, y in rim]
+            around[:, at[: len(rim)]] = np.array([circle(x, y, i) for x, y in rim]).T
+        if len(at) > len(rim):
+            around[2, at[len(rim) :]] = -1.0
+    live = around[2, :used] >= 0
+    t, a = np.concatenate([*final, front[:used][live]]), np.concatenate([*final_around, around[:, :used][:, live].T])
     own = (t < n).all(axis=1) & np.isfinite(a[:, 2])
     return t[own], a[own, :2] * reach + centre, np.sqrt(a[own, 2]) * reach
 

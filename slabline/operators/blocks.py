@@ -30,6 +30,12 @@ def held(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def spread(rows: DataFrame, *keys: str) -> DataFrame:
+    """rows dealt out by keys over as many partitions as shuffles have. Groups of few bytes can be much
+    work; adaptive execution, which goes by bytes, would put them all into one task."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def numbered(traces: DataFrame, name: str = "col") -> DataFrame:
     """Numbers a track's traces from 0 without gaps, in their order. Stretches of trace numbers are
     counted first, so that a long track is not one task's work."""
@@ -106,7 +112,7 @@ def labelled(rows: DataFrame, images: Callable[[pd.DataFrame], list[tuple[str, f
                 out.append(pd.DataFrame({"track": pdf["track"].iloc[0], "name": name, "quantile": quantile, "_block": pdf["_block"].iloc[0], **of}))
         return pd.concat(out) if out else pd.DataFrame(columns=[x.split()[0] for x in _PARTS.split(", ")])
 
-    return held(dealt(rows).groupBy("track", *by, "_block").applyInPandas(run, _PARTS))
+    return held(spread(dealt(rows), "track", *by, "_block").groupBy("track", *by, "_block").applyInPandas(run, _PARTS))
 
 
 def roots(found: DataFrame) -> DataFrame | None:

@@ -189,6 +189,7 @@ def _tiled_areas(points: DataFrame, keys: list[str], alpha: float) -> DataFrame:
         return pd.DataFrame([(*key[:-2], area)], columns=[*keys, "area"])
 
     schema = ", ".join(f"{k} {points.schema[k].dataType.simpleString()}" for k in keys)
+    dealt = blocks.spread(dealt, *keys, "_i", "_j")
     return dealt.groupBy(*keys, "_i", "_j").applyInPandas(run, f"{schema}, area double").groupBy(*keys).agg(F.sum("area").alias("area"))
 
 
@@ -244,6 +245,13 @@ def hull_areas(points: DataFrame, alpha: float = 2e-5, by: tuple[str, ...] = (),
     return out.agg(F.sum(F.coalesce("area", F.lit(0.0))).alias("area"), F.sum("n").alias("n"))
 
 
+def in_masks(points: DataFrame, masks: DataFrame) -> DataFrame:
+    """Points with each mask of their own region that holds them. ``masks``: mask, region, ring; a mask may
+    have several rings. Points: region, x, y, ..."""
+    rings = masks.select("mask", F.col("region").alias("_of"), "ring")
+    return within(points, rings).where("region = _of").drop("_of")
+
+
 def polygon_areas(polygons: DataFrame, without: tuple[int, ...] = ()) -> DataFrame:
     """Area by region and period, without some ids; shoelace sums."""
     return polygons.where(~F.col("id").isin(list(without)) if without else F.lit(True)).withColumn("_a", geo.ring_area(F.col("ring"))).groupBy("region", "period").agg(F.sum("_a").alias("area"))

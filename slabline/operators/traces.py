@@ -95,13 +95,40 @@ def image(pdf: pd.DataFrame, column: str = "samples") -> np.ndarray:
     return np.array([np.asarray(x, float) for x in pdf[column]]).T
 
 
+def entered(maps: DataFrame, starts: DataFrame, most: int) -> DataFrame:
+    """(track, _block, entry): where each block is entered, from the maps of the blocks before it.
+
+    ``maps``: track, _block (from 0 without gaps), ends (for each sample at which the block is entered,
+    that at which it is left), of all of a track's blocks but the last; ``starts``: track, start; ``most``:
+    the largest number of maps of a track. Maps of neighbours are put together in pairs, these again,
+    and so on; then entries are handed down, the left half's being the whole's, the right half's what
+    the left one's map makes of it. Twice the logarithm of ``most`` rounds, each over half as many maps.
+    """
+    levels = [maps]
+    while 2 ** len(levels) <= most:
+        below = levels[-1]
+        right = below.where("_block % 2 = 1").select("track", (F.col("_block") - 1).alias("_block"), F.col("ends").alias("_then"))
+        both = below.where("_block % 2 = 0").join(right, ["track", "_block"])
+        put = F.transform("ends", lambda x: F.get("_then", x))
+        levels.append(blocks.held(both.select("track", F.floor(F.col("_block") / 2).alias("_block"), put.alias("ends"))))
+    at = starts.select("track", F.lit(0).cast("long").alias("_block"), F.col("start").cast("int").alias("entry"))
+    for maps_ in reversed(levels):
+        halves = at.select("track", (2 * F.col("_block")).alias("_block"), "entry")
+        out = F.get("ends", F.greatest(F.lit(0), F.least("entry", F.size("ends") - 1)))
+        child = lambda block, entry: F.struct(block.alias("_block"), entry.alias("entry"))
+        both = F.array_compact(F.array(child(F.col("_block"), F.col("entry")), F.when(F.col("ends").isNotNull(), child(F.col("_block") + 1, out))))
+        at = halves.join(maps_, ["track", "_block"], "left").select("track", F.explode(both).alias("_of")).select("track", "_of.*")
+    return at
+
+
 def followed_surface(traces: DataFrame, starts: DataFrame, radius: int = 50, search: int = 150, smooth: bool = True) -> DataFrame:
     """(track, trace, surface): the surface followed from each track's start. ``starts``: track, start.
 
-    Each pick depends on the one before, so a block of traces is first followed from every sample where
-    it could be entered; these maps, one small row per block, are put together along each track, and
-    then every block is followed from where it is entered. Samples are never gathered by track; false
-    jumps are removed from the line of a track, one number per trace.
+    Each pick depends on the one before, so a block of traces that another follows is first followed from
+    every sample where it could be entered. These maps, one small row per block, are put together in
+    pairs (``entered``), and then every block is followed from where it is entered; tracks of one block
+    need no map. Samples are never gathered by track; false jumps are removed from the line of a track,
+    one number per trace.
     """
 
     def ends(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -110,14 +137,6 @@ def followed_surface(traces: DataFrame, starts: DataFrame, radius: int = 50, sea
             at = step[at]
         return pd.DataFrame({"track": [pdf["track"].iloc[0]], "_block": [pdf["_block"].iloc[0]], "ends": [at.astype(np.int32)]})
 
-    def entries(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_block")
-        at, out = int(pdf["start"].iloc[0]), []
-        for of in pdf["ends"]:
-            out.append(at)
-            at = int(of[min(max(at, 0), len(of) - 1)])
-        return pd.DataFrame({"track": pdf["track"], "_block": pdf["_block"], "entry": out})
-
     def follow(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("col")
         line = kernels.follow_surface(image(pdf), int(pdf["entry"].iloc[0]), radius, search)
@@ -127,11 +146,19 @@ def followed_surface(traces: DataFrame, starts: DataFrame, radius: int = 50, sea
         pdf = pdf.sort_values("trace")
         return pd.DataFrame({"track": pdf["track"], "trace": pdf["trace"], "surface": kernels.without_jumps(pdf["surface"].to_numpy())})
 
+    starts = starts.select("track", "start")
     rows = blocks.numbered(traces.join(starts.select("track"), "track", "left_semi").select("track", "trace", "samples"))
     rows = blocks.dealt(rows, halo=0).drop("_inner")
-    maps = rows.groupBy("track", "_block").applyInPandas(ends, "track string, _block long, ends array<int>")
-    at = maps.join(starts, "track").groupBy("track").applyInPandas(entries, "track string, _block long, entry int")
-    out = rows.join(at, ["track", "_block"]).groupBy("track", "_block").applyInPandas(follow, "track string, trace long, surface int")
+    last = blocks.held(traces.select("track", "trace").groupBy("track").agg(F.floor((F.count("*") - 1) / blocks.BLOCK).alias("_last")))
+    most = last.agg(F.max("_last")).first()[0] or 0
+    if most:
+        followed = blocks.spread(rows.join(last.where("_last > 0"), "track").where("_block < _last").drop("_last"), "track", "_block")
+        maps = blocks.held(followed.groupBy("track", "_block").applyInPandas(ends, "track string, _block long, ends array<int>"))
+        at = entered(maps, starts, most)
+    else:
+        at = starts.select("track", F.lit(0).cast("long").alias("_block"), F.col("start").cast("int").alias("entry"))
+    out = blocks.spread(rows.join(at, ["track", "_block"]), "track", "_block")
+    out = out.groupBy("track", "_block").applyInPandas(follow, "track string, trace long, surface int")
     return out.groupBy("track").applyInPandas(even, "track string, trace long, surface int") if smooth else out
 
 

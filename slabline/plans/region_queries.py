@@ -188,6 +188,23 @@ def g13_change(v):
     return rg.area_change(_hulls(v), "2011-2012", "2017-2018")
 
 
+def _masks(v: Inputs):
+    """Rectangles of several sizes, five of which make a region's mask of one name; some overlap."""
+    k = F.col("n_nationkey")
+    of = lambda *values: F.element_at(F.array(*[F.lit(z) for z in values]), (k % 5 + 1).cast("int"))
+    region, n = of("NO", "NE", "SW", "CW", "NW"), F.floor(k / 5)
+    x, y = of(-390_000, 80_000, -790_000, -680_000, -530_000) + n * 100_000, of(-1_520_000, -2_180_000, -3_090_000, -2_690_000, -2_070_000) + n * 60_000
+    ring = rg.rectangle(x, y, x + 250_000 + k * 9000, y + 200_000 + k * 11_000)
+    return v.table("nation").select(F.concat(F.lit("m"), (k % 3).cast("string")).alias("mask"), region.alias("region"), ring.alias("ring"))
+
+
+@query("g13_mask_areas")
+def g13_masks(v):
+    """Hulls of the points in each mask of their region, added by region and period."""
+    points = rg.in_masks(jobs.slab_points(v("thickness"), jobs.polygons(v("areas"))), _masks(v))
+    return rg.hull_areas(points, by=("mask",))
+
+
 _SHAPES = "SELECT CAST(p_partkey AS INT) AS id, 'R' || CAST(p_size % 6 AS STRING) AS region, CASE WHEN p_partkey % 2 = 0 THEN 'a' ELSE 'b' END AS period, CAST(p_size AS DOUBLE) AS w, p_retailprice / 100 AS h FROM part"
 
 
