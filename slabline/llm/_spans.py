@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 from . import _common as c
 
-#: Code points next to a match in which its neighbouring words are looked for.
-CONTEXT = 96
+#: What counts as context: the two words before a match, read from its end, and the word behind it, whole
+#: however long, with the white space between.
+BEFORE, AFTER = r"^\s*+\S*+(?:\s++\S++)?", r"^\s*+\S*+"
 NO_HITS = "array<struct<gap:int,found:string>>"
 NO_HITS_IN_CONTEXT = "array<struct<gap:int,found:string,before:string,after:string>>"
 #: The mark: no character, so that texts rarely have it; those that do are cut in another way.
@@ -31,7 +32,7 @@ def _cut(text: Column, regex: str, guard: Column | None) -> Column:
 def with_hits(rows: DataFrame, text: str, finds: dict[str, str], guards: dict[str, Column] | None = None, context: bool = False, when: dict[str, Column] | None = None) -> DataFrame:
     """Adds a column per regex of ``finds``: the array of (gap, found) of all matches in the column
     ``text``, leftmost and non-overlapping. gap: code points since the last match. With ``context``
-    also the text just before and after the match. The column ``text`` must have no nulls.
+    also the words just before and after the match. The column ``text`` must have no nulls.
 
     No regex may match the empty string or have capturing groups. ``guards``: cheaper tests that hold
     for every text with a match; ``when``: where a regex is looked for at all. The texts are cut in a
@@ -44,7 +45,8 @@ def with_hits(rows: DataFrame, text: str, finds: dict[str, str], guards: dict[st
         parts = F.col(_CUT + k)
         at = lambda i: F.coalesce(F.get(parts, i), F.lit(""))
         own = lambda i: [F.length(F.get(parts, i - 1)).alias("gap"), F.get(parts, i).alias("found")]
-        near = lambda i: [F.substring(F.concat(at(i - 2), at(i - 1)), -CONTEXT, CONTEXT).alias("before"), F.substring(F.concat(at(i + 1), at(i + 2)), 1, CONTEXT).alias("after")]
+        back = lambda x: F.reverse(F.regexp_extract(F.reverse(x), BEFORE, 0))
+        near = lambda i: [back(F.concat(at(i - 2), at(i - 1))).alias("before"), F.regexp_extract(F.concat(at(i + 1), at(i + 2)), AFTER, 0).alias("after")]
         each = F.transform(F.sequence(F.lit(1), F.size(parts) - 1, F.lit(2)), lambda i: F.struct(*own(i), *(near(i) if context else [])))
         return F.when(F.size(parts) > 1, each).otherwise(F.array().cast(NO_HITS_IN_CONTEXT if context else NO_HITS))
 

@@ -58,35 +58,57 @@ def scanned(docs: DataFrame, scratch: c.Scratch, id_col: str, text: str) -> Data
 
 
 def trimmed(spans: DataFrame) -> DataFrame:
-    """Candidates without the punctuation around them, which becomes context; other spans as they are."""
-    lead, trail = F.regexp_extract("found", r"^[._%)-]*", 0), F.regexp_extract("found", r"[._%+(-]*$", 0)
-    inner = F.when(F.col("kind") == "candidate", F.length(lead)).otherwise(0), F.when(F.col("kind") == "candidate", F.length(trail)).otherwise(0)
-    cut = spans.withColumns({"_a": inner[0], "_b": inner[1]})
+    """Candidates without the punctuation and blanks around them, which become context."""
+    lead, trail = F.regexp_extract("found", r"^[\x20._%)-]*", 0), F.regexp_extract("found", r"[\x20._%+(-]*$", 0)
+    cut = spans.withColumns({"_a": F.length(lead), "_b": F.length(trail)})
     core = F.expr("substring(found, _a + 1, length(found) - _a - _b)")
     cut = cut.withColumns({"before": F.concat("before", F.expr("substring(found, 1, _a)")), "after": F.concat(F.expr("right(found, _b)"), F.col("after")), "found": core, "start": F.col("start") + F.col("_a"), "end": F.col("end") - F.col("_b")})
     return cut.where("start < end").drop("_a", "_b")
 
 
 def apart(spans: DataFrame) -> DataFrame:
-    """The candidates that overlap no other span of their row."""
-    known = F.col("kind") != "candidate"
-    row = Window.partitionBy("_row").orderBy("start", "end", "kind")
-    before = F.max(F.when(known, F.col("end"))).over(row.rowsBetween(Window.unboundedPreceding, -1))
-    after = F.min(F.when(known, F.col("start"))).over(row.rowsBetween(1, Window.unboundedFollowing))
-    near = spans.withColumns({"_before": before, "_after": after})
-    return near.where(~known & (F.coalesce("_before", F.lit(0)) <= F.col("start")) & (F.coalesce(F.col("_after"), F.col("end")) >= F.col("end"))).drop("_before", "_after")
+    """What the base spans of a row leave of its candidates, each piece with its context.
+
+    Candidates don't overlap each other, and base spans that do are united, so each union that starts
+    in a candidate has one to which it belongs; one that reaches into a candidate moves its start.
+    Both are told by windows over a row's spans, and a candidate meets its own unions only.
+    """
+    row = Window.partitionBy("_row").orderBy("start", "end")
+    upto = row.rowsBetween(Window.unboundedPreceding, -1)
+    base = spans.where("kind <> 'candidate'").select("_row", "start", "end")
+    base = base.withColumn("_new", F.when(F.max("end").over(upto) >= F.col("start"), 0).otherwise(1))
+    base = base.withColumn("_n", F.sum("_new").over(row.rowsBetween(Window.unboundedPreceding, 0))).groupBy("_row", "_n").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    candidates = spans.where("kind = 'candidate'").drop("kind")
+    # at the same place a candidate comes before the union that belongs to it
+    events = candidates.select("_row", "start", "end", F.lit(0).alias("_base")).unionByName(base.select("_row", "start", "end", F.lit(1).alias("_base")))
+    before = Window.partitionBy("_row").orderBy("start", "_base").rowsBetween(Window.unboundedPreceding, -1)
+    is_base = F.col("_base") == 1
+    events = events.withColumns({"_host": F.last(F.when(~is_base, F.struct("start", "end")), True).over(before), "_from": F.max(F.when(is_base, F.col("end"))).over(before)})
+    cuts = events.where(is_base & (F.col("_host.end") > F.col("start"))).groupBy("_row", F.col("_host.start").alias("start")).agg(F.array_sort(F.collect_list(F.struct(F.col("start").alias("s"), F.col("end").alias("e")))).alias("_cuts"))
+    begins = events.where(~is_base).select("_row", "start", "_from")
+    rows = candidates.join(begins, ["_row", "start"]).join(cuts, ["_row", "start"], "left")
+    begin = F.greatest("start", F.coalesce("_from", "start"))
+    none = F.array().cast("array<struct<s:bigint,e:bigint>>")
+    held = F.coalesce("_cuts", none)
+    starts, ends = F.concat(F.array(begin), F.transform(held, lambda x: x["e"])), F.concat(F.transform(held, lambda x: x["s"]), F.array("end"))
+    pieces = rows.select("_row", "start", "found", "before", "after", F.explode(F.arrays_zip(starts.alias("s"), ends.alias("e"))).alias("_p")).where("_p.s < _p.e")
+    part = pieces.withColumns({"_a": (F.col("_p.s") - F.col("start")).cast("int"), "_b": (F.col("_p.e") - F.col("start")).cast("int")})
+    return part.select(
+        "_row", F.lit("candidate").alias("kind"), F.col("_p.s").alias("start"), F.col("_p.e").alias("end"),
+        F.expr("substring(found, _a + 1, _b - _a)").alias("found"), F.expr("concat(before, substring(found, 1, _a))").alias("before"), F.expr("concat(substring(found, _b + 1), after)").alias("after"),
+    )
 
 
 def _patterns() -> Column:
     """The lexical patterns of a span, from one word beside it to its shape alone.
 
     A shape keeps punctuation and writes runs of letters, of digits and of nine or more digits as one
-    sign each. A class says how the word beside is written, or that the line ends there.
+    sign each; a long one is told by its digest. A class says how the word beside is written, or that the line ends there.
     """
     shape = F.col("found")
     for of, sign in ((r"\p{L}+", "a"), (r"[0-9]{9,}", "N"), (r"[0-9]+", "9")):
         shape = F.regexp_replace(shape, of, sign)
-    shape = F.substring(shape, 1, 40)
+    shape = F.when(F.length(shape) > 40, F.concat(F.lit("~"), F.sha2(shape, 256))).otherwise(shape)
     left, right = F.lower(F.regexp_extract("before", r"(\S+)\s*$", 1)), F.lower(F.regexp_extract("after", r"^\s*(\S+)", 1))
     two = F.lower(F.regexp_extract("before", r"(\S+\s+\S+)\s*$", 1))
 
@@ -156,13 +178,13 @@ def bootstrapped(seeds: DataFrame, unknown: DataFrame, scratch: c.Scratch, suppo
 
 
 def spans_of(rows: DataFrame, scratch: c.Scratch) -> tuple[DataFrame, DataFrame]:
-    """Written tables of the base spans and of the candidates apart from them, of rows of ``scanned``:
+    """Written tables of the base spans and of what they leave of the candidates, of rows of ``scanned``:
     _row, kind, start, end, found, before, after."""
     kinds = [*FIND, "candidate"]
     some = rows.where(" or ".join(f"size({k}) > 0" for k in kinds))
     spans = _spans.placed(some, ["_row"], kinds, context=True).where(valid(F.col("kind"), F.col("found")))
-    spans = scratch.keep(trimmed(spans), "spans")
-    return spans.where("kind <> 'candidate'"), scratch.keep(apart(spans), "unknown")
+    spans = scratch.keep(spans, "spans")
+    return spans.where("kind <> 'candidate'"), scratch.keep(trimmed(apart(spans)), "unknown")
 
 
 def pii_spans(docs: DataFrame, scratch: c.Scratch, id_col: str = "doc_id", text: str = "text", support: int = SUPPORT, confident: float = CONFIDENT, reported: float = REPORTED) -> DataFrame:

@@ -213,3 +213,37 @@ def test_queries_have_the_contract_columns(spark, data):
     sha = lambda x: hashlib.sha256(",".join(x).encode()).hexdigest()
     assert {r.doc_id: r.base_sha256 for r in p.collect()} == {i: sha(base_pii(t)) for i, t in texts.items()}
     assert {r.doc_id: r.base_sha256 for r in s.collect()} == {i: sha(base_secrets(t)) for i, t in texts.items()}
+
+
+def test_identifiers_beside_base_spans(spark):
+    """A phone that runs into an address is what the base span leaves of the candidate; so in front of
+    it, behind it, and between two."""
+    rng = random.Random(3)
+    phone = lambda: f"+1 ({rng.randrange(200, 999)}) 555-{rng.randrange(1000, 9999)}"
+    texts = [f"some words and {phone()} here again" for _ in range(60)]
+    planted = {}
+    for i in range(20):
+        p = phone()
+        texts.append(f"more words {p} 10.0.{i}.{i} and so on")
+        planted[60 + i] = p
+    p, q = phone(), phone()
+    texts.append(f"words 10.1.2.3 {p[1:]} 10.9.9.9 more {q} 10.2.2.2")
+    got = {r.doc_id: r.spans for r in pii.pii_spans(table(spark, texts), Scratch(spark)).collect()}
+    for i, want in planted.items():
+        assert [(s.kind, s.found) for s in got[i] if s.kind != "ip"] == [("ctx_phone", want)], got[i]
+        assert all(texts[i][s.start : s.end] == s.found for s in got[i])
+    last = got[80]
+    assert [s.found for s in last if s.kind == "ip"] == ["10.1.2.3", "10.9.9.9", "10.2.2.2"] and q in [s.found for s in last if s.kind == "ctx_phone"]
+    spans = sorted((s.start, s.end) for s in last)
+    assert all(a[1] <= b[0] for a, b in zip(spans, spans[1:], strict=False))
+
+
+def test_long_words_and_shapes_stay_whole(spark):
+    """Words over 96 code points beside a match, and shapes over 40 that begin alike."""
+    word = "w" * 300
+    rows = spark.createDataFrame([(1, f"one two {word} a@b.cd {word}x end")], "doc_id long, text string")
+    hit = _spans.placed(_spans.with_hits(rows, "text", {"email": pii.FIND["email"]}, context=True), ["doc_id"], ["email"], context=True).first()
+    assert (hit.before, hit.after, hit.found) == (f"two {word} ", f" {word}x", "a@b.cd")
+    shapes = spark.createDataFrame([("1-" * 30 + x, "a ", " b") for x in ("1", "x")], "found string, before string, after string")
+    one, two = (set(r[0]) for r in shapes.select(F.array_compact(pii._patterns())).collect())
+    assert len(one) == len(two) == 7 and len(one & two) == 2  # the words alone
