@@ -66,3 +66,15 @@ def at_ranks(rows: DataFrame, key: str, ranks: DataFrame, ranges: int = 64) -> D
     held = held.withColumn("_to", F.sum("_n").over(Window.partitionBy(key, "_range").orderBy("_v")))
     hit = wanted.join(held, [key, "_range"]).where((F.col("_offset") < F.col("_to")) & (F.col("_offset") >= F.col("_to") - F.col("_n")))
     return hit.drop("_range", "_offset", "_to", "_n")
+
+
+def keyed_percentiles(df: DataFrame, keys: list[str], value: str, quantiles: dict[str, float]) -> DataFrame:
+    """_key (a struct of keys) and a column per quantile: interpolated percentiles like ``F.percentile`` of
+    each key's values, null ones left out; keys without values are absent. A key may have most of the rows."""
+    rows = df.where(F.col(value).isNotNull()).select(F.struct(*keys).alias("_key"), F.col(value).cast("double").alias("_v"))
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("name"), F.lit(float(q)).alias("q")) for k, q in quantiles.items()])).alias("_of")
+    at = rows.groupBy("_key").agg(F.count("*").alias("_n")).select("_key", "_n", each).select("_key", F.col("_of.name").alias("_name"), ((F.col("_n") - 1) * F.col("_of.q")).alias("_at"))
+    low, high = F.floor("_at"), F.ceil("_at")
+    hit = at_ranks(rows, "_key", at.withColumn("_rank", F.explode(F.array_distinct(F.array(low, high)))))
+    share = F.when(low == high, 1.0).when(F.col("_rank") == low, high - F.col("_at")).otherwise(F.col("_at") - low)
+    return hit.groupBy("_key").agg(*[F.sum(F.when(F.col("_name") == k, F.col("_v") * share)).alias(k) for k in quantiles])

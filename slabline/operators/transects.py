@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import pooled
 from . import track as tk
 
 
@@ -94,9 +95,10 @@ def change(df: DataFrame, keys: list[str], first: int, last: int, value: str = "
 
 def summary(df: DataFrame, keys: list[str], value: str = "content") -> DataFrame:
     """Count, mean, sample deviation, least, quartiles and largest value per key."""
-    p = F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("_p")
-    g = df.groupBy(*keys).agg(F.count(value).alias("n"), F.avg(value).alias("mean_value"), F.stddev_samp(value).alias("sd_value"), F.min(value).alias("low"), p, F.max(value).alias("high"))
-    return g.withColumns({"q25": F.get("_p", F.lit(0)), "q50": F.get("_p", F.lit(1)), "q75": F.get("_p", F.lit(2))}).drop("_p")
+    of = F.struct(*keys).alias("_key")
+    g = df.groupBy(of).agg(F.count(value).alias("n"), F.avg(value).alias("mean_value"), F.stddev_samp(value).alias("sd_value"), F.min(value).alias("low"), F.max(value).alias("high"))
+    quartiles = pooled.keyed_percentiles(df, keys, value, {"q25": 0.25, "q50": 0.5, "q75": 0.75})
+    return g.join(quartiles, "_key", "left").select("_key.*", "n", "mean_value", "sd_value", "low", "high", "q25", "q50", "q75")
 
 
 def bin_difference(bins: DataFrame, first: int, last: int, low: float, high: float, width: float = 300.0, value: str = "median_value", by: str = "year") -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import geo
-from ..operators import catalog, masks, track
+from ..operators import catalog, masks, pooled, track
 from ..operators import regions as rg
 from ..sources import files
 from .registry import Inputs, longs, query, r, rounded
@@ -50,8 +50,8 @@ def s3(v):
 def s4(v):
     at = v.folder("cutoffs")
     qs = [0.65, 0.7, 0.75, 0.79]
-    line = v("thickness").agg(F.percentile("likelihood", F.array(*map(F.lit, qs))).alias("p"))
-    text = line.select(F.concat(F.lit(" ".join(map(str, qs)) + "\n"), F.concat_ws(" ", F.transform("p", lambda x: F.round(x, 9).cast("string")))).alias("value"))
+    cut = pooled.percentiles(v("thickness"), "likelihood", qs) or []
+    text = v.spark.createDataFrame([(" ".join(map(str, qs)) + "\n" + " ".join(str(round(x, 9)) for x in cut),)], "value string")
     files.write_lines(text.coalesce(1), at)  # one row
     return files.read_cutoffs(v.spark, at)
 

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from slabline.operators import correct, pooled, validate
+from slabline.operators import correct, pooled, transects, validate
 
 
 @pytest.mark.parametrize("n", [1, 2, 7, 20000])
@@ -30,3 +30,16 @@ def test_users_dont_gather(spark, monkeypatch):
     traces = spark.createDataFrame(rows, "track string, trace long, samples array<double>")
     lo, hi = np.quantile(x, [0.05, 0.95])
     assert correct.rescaled(traces, spark.createDataFrame([("b",)], "track string")).first()["samples"] == pytest.approx([lo, hi, (lo + hi) / 2])
+
+
+def test_quartiles_by_keys(spark):
+    """Keys with nulls among them, of one value, of none, and one with most of the rows."""
+    rng = np.random.default_rng(7)
+    of = {("a", 1): rng.normal(size=9000).round(2), ("a", None): rng.normal(size=7), (None, 1): np.array([3.0]), ("b", 2): np.array([])}
+    rows = [(*k, float(v)) for k, x in of.items() for v in x] + [("b", 2, None), ("a", 1, None)]
+    df = spark.createDataFrame(rows, "k string, j int, content double")
+    got = {(r.k, r.j): r for r in transects.summary(df, ["k", "j"]).collect()}
+    assert got.keys() == of.keys() and got["b", 2].n == 0 and got["b", 2].q50 is None
+    for k, x in of.items():
+        if len(x):
+            assert (got[k].q25, got[k].q50, got[k].q75) == pytest.approx(tuple(np.quantile(x, [0.25, 0.5, 0.75])), rel=1e-12) and got[k].n == len(x)
