@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from ..functions import kernels
 
-#: Columns of a block, and columns on both sides that cleaning may look at.
-BLOCK, HALO = 4096, 8
+#: Columns of a block, and columns on both sides that cleaning may look at: a step looks one further.
+BLOCK, HALO = 4096, max(sum(n for _, n in steps) for steps in kernels.VARIANTS.values())
 #: What identifies an image: its track, how it was cleaned, and its cutoff.
 KEYS = ["track", "name", "quantile"]
 _PARTS = "track string, name string, quantile double, _block long, node long, size long, true double, border long, depth int, right boolean"

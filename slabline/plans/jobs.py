@@ -1,11 +1,11 @@
-"""The survey's three flows as whole jobs."""
+"""The survey's four flows as whole jobs."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import blocks, correct, identify, masks, pooled, track
+from ..operators import blocks, correct, gpsmatch, identify, masks, pooled, track
 from ..operators import regions as rg
 from ..operators import traces as tr
 from ..operators import transects as ts
@@ -36,6 +36,20 @@ def elevation_limits(points: DataFrame, shapes: DataFrame) -> DataFrame:
     return rg.region_summary(rg.own_slice_limits(slab_points(points, shapes)))
 
 
+def lens_points(radar: DataFrame, gps: DataFrame, names: DataFrame, limits: DataFrame, outlines: DataFrame, width: int, shapes: DataFrame) -> DataFrame:
+    """(track, outline, trace, lat, lon, region) of the confident ice of 2002-2003.
+
+    Radargrams on the candidate list, damaged ones cut, get positions by whole seconds; digitised
+    outlines meet them by trace. ``radar``: radargram, second, index_vector; ``gps``: second, index_gps,
+    lat, lon (degrees west); ``names``: radargram; ``limits``: radargram, n; ``outlines``: track (a
+    radargram), outline, xcoord, colour. Traces without a position stay, with nulls and region Out.
+    """
+    located = gpsmatch.matched(gpsmatch.limited(gpsmatch.candidates(radar, names), limits), gps)
+    at = track.clean_gps(located).select(F.col("radargram").alias("track"), F.col("index_vector").alias("trace"), "lat", "lon")
+    seen = gpsmatch.confident(gpsmatch.outline_traces(outlines, width)).select("track", "outline", "trace")
+    return rg.with_region(seen.join(at, ["track", "trace"]), shapes, ["track", "outline", "trace"], "lon", "lat")
+
+
 def roll_levelled(traces: DataFrame, positions: DataFrame, step: float) -> DataFrame:
     """Traces corrected for aircraft roll: fits per depth, smoothed over depth, and applied with a roll
     without gaps. ``positions``: track, trace, lon, lat, roll in radians; ``step``: metres between samples.

@@ -113,6 +113,22 @@ def g4(v):
     return rg.with_elevation(t.withColumns({"x": (60 + F.col("lon")) * 10, "y": (80 - F.col("lat")) * -10}), d, 0.0, 0.0, 1.0).select("track", "trace", "dem")
 
 
+_LENSES = f"""WITH t AS (SELECT r.* FROM radar_times AS r JOIN part AS p ON CAST(p.p_partkey AS STRING) = r.radargram WHERE p.p_size > 25 AND (p.p_size % 4 <> 0 OR index_vector < p.p_size * 5)), {_MATCH.replace("FROM radar_times", "FROM t")},
+o AS ({_OUTLINES}), q AS (SELECT o.track, outline, o.trace, nullif(lat, 0) AS lat, nullif(lon, 0) AS lon FROM o JOIN m ON m.radargram = o.track AND m.index_vector = o.trace WHERE code = 1)"""
+
+
+@query("flow_lens_points", f"""{_LENSES} SELECT t.track, outline, t.trace, round(lat, 9) AS lat, round(lon, 9) AS lon, coalesce((SELECT {_BEST} FROM areas AS a WHERE {_IN}), 'Out') AS region, d.elevation AS dem
+FROM q AS t LEFT JOIN dem AS d ON d.row = CAST(floor((80 - t.lat) * 10) AS BIGINT) AND d.col = CAST(floor((60 + t.lon) * 10) AS BIGINT)""")
+def flow_lenses(v):
+    """The 2002-2003 flow: times to positions, outlines to traces, confident ice with region and elevation."""
+    part, name = v.table("part"), F.col("p_partkey").cast("string").alias("radargram")
+    limits = part.where("p_size % 4 = 0").select(name, (F.col("p_size") * 5).alias("n"))
+    gps = v("gps_master").withColumn("lon", -F.col("lon"))
+    at = jobs.lens_points(v("radar_times"), gps, part.where("p_size > 25").select(name), limits, v("outlines"), 250, jobs.polygons(v("areas")))
+    grid = rg.with_elevation(at.withColumns({"x": (60 + F.col("lon")) * 10, "y": (80 - F.col("lat")) * -10}), v("dem"), 0.0, 0.0, 1.0)
+    return grid.select("track", "outline", "trace", F.round("lat", 9).alias("lat"), F.round("lon", 9).alias("lon"), "region", "dem")
+
+
 @query("g5_year_and_period", f"WITH n AS (SELECT track, CAST(substr(track, 1, 4) AS INT) AS year FROM tracks UNION ALL SELECT 'may' || lpad(CAST(p_size AS STRING), 2, '0') || '_0' || CAST(p_partkey % 2 + 2 AS STRING) || '_' || CAST(p_partkey AS STRING), CAST(2002 + p_partkey % 2 AS INT) FROM part) SELECT track, year, {_PERIOD} AS period FROM n")
 def g5(v):
     old = F.concat(F.lit("may"), F.lpad(F.col("p_size").cast("string"), 2, "0"), F.lit("_0"), (F.col("p_partkey") % 2 + 2).cast("string"), F.lit("_"), F.col("p_partkey").cast("string"))
