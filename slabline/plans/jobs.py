@@ -36,6 +36,19 @@ def elevation_limits(points: DataFrame, shapes: DataFrame) -> DataFrame:
     return rg.region_summary(rg.own_slice_limits(slab_points(points, shapes)))
 
 
+def gridded_limits(points: DataFrame, sheet: DataFrame, shapes: DataFrame, dem: DataFrame, x0: float, y0: float, size: float) -> DataFrame:
+    """Summary of the slabs' highest elevations by region and period, of points within the ice sheet's
+    polygons (``sheet``: id, region, ring), with elevations from a grid in place of their own.
+
+    ``points``: track, trace, lon, lat, content, year; the grid's cells are ``size`` degrees wide, rows
+    count down from latitude y0, columns right from longitude x0. Points without a cell have no elevation.
+    """
+    ice = points.where(F.col("content").between(1, 16)).drop("elevation")
+    inside = rg.clipped(ice, sheet, ["track", "trace"], "lon", "lat").drop("id", "region")
+    at = rg.with_elevation(named_points(inside, shapes), dem, x0, y0, size, "lon", "lat").withColumnRenamed("dem", "elevation")
+    return rg.region_summary(rg.own_slice_limits(track.with_polar(rg.by_period(at))))
+
+
 def lens_points(radar: DataFrame, gps: DataFrame, names: DataFrame, limits: DataFrame, outlines: DataFrame, width: int, shapes: DataFrame) -> DataFrame:
     """(track, outline, trace, lat, lon, region) of the confident ice of 2002-2003.
 

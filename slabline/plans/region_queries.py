@@ -178,6 +178,19 @@ def g10(v):
     return rounded(jobs.elevation_limits(v("thickness"), jobs.polygons(v("areas"))), "mean_high", "median_high", "sd_high", digits=4)
 
 
+_GRIDDED = f"""SELECT g.track, g.trace, g.lat, g.lon, g.content, g.year, g.region, d.elevation FROM ({_REGION}) AS g LEFT JOIN dem AS d ON d.row = CAST(floor((80 - g.lat) / 0.125) AS BIGINT) AND d.col = CAST(floor((g.lon + 60) / 0.125) AS BIGINT)
+WHERE (g.lon >= -58 AND g.lon < -40 AND g.lat >= 63 AND g.lat < 79) OR (g.lon >= -45 AND g.lon < -32 AND g.lat >= 64 AND g.lat < 78)"""
+
+
+@query("flow_points_to_summary", f"SELECT region, period, round(mean_high, 4) AS mean_high, round(median_high, 4) AS median_high, round(sd_high, 4) + 0 AS sd_high, max_high FROM ({_SUMMARY.replace(f'({_REGION})', f'({_GRIDDED})')}) AS q")
+def flow_points(v):
+    """The second flow whole: clipped to the ice sheet, named, with elevations from the grid, by slices."""
+    corners = [(1, -58.0, 63.0, -40.0, 79.0), (2, -45.0, 64.0, -32.0, 78.0)]
+    sheet = v.spark.createDataFrame(corners, "id int, x0 double, y0 double, x1 double, y1 double").withColumn("region", F.lit("sheet"))
+    got = jobs.gridded_limits(v("thickness"), jobs.polygons(sheet), jobs.polygons(v("areas")), v("dem"), -60.0, 80.0, 0.125)
+    return rounded(got, "mean_high", "median_high", "sd_high", digits=4)
+
+
 @query("g11_period_change", f"WITH q AS ({_SUMMARY}), w AS (SELECT region, max(CASE WHEN period = '2011-2012' THEN median_high END) AS first, max(CASE WHEN period = '2017-2018' THEN median_high END) AS last FROM q GROUP BY region) SELECT region, first, last, last - first AS change FROM w")
 def g11(v):
     return rg.period_change(jobs.elevation_limits(v("thickness"), jobs.polygons(v("areas"))), "2011-2012", "2017-2018")
