@@ -391,12 +391,29 @@ def p14(v):
     return t.select("track", "trace", ts.accretion(t, -48.1, -46.5).alias("accretion"))
 
 
-@query("flow_transect_profiles")
+def _rolled(c: str) -> str:
+    """The median of three neighbouring bins where all three have a value."""
+    three = f"lag({c}) OVER w", c, f"lead({c}) OVER w"
+    return f"CASE WHEN {' AND '.join(f'{x} IS NOT NULL' for x in three)} THEN {' + '.join(three)} - greatest({', '.join(three)}) - least({', '.join(three)}) END AS roll_{c}"
+
+
+_VALUES = ("mean_value", "median_value", "q25", "q75", "sd_value", "roll_median_value", "roll_q25", "roll_q75", "edge")
+_PROFILES = f"""WITH p AS (SELECT transect, year, track, trace, least(content, 16) AS content, {POLAR} FROM ({_TR}) AS t), o AS (SELECT *, CASE WHEN year = 2011 THEN y ELSE x END AS k FROM p),
+d AS (SELECT *, sqrt(pow(x - lag(x) OVER w, 2) + pow(y - lag(y) OVER w, 2)) AS d, first_value(x) OVER w AS fx, first_value(y) OVER w AS fy FROM o WINDOW w AS (PARTITION BY transect, year ORDER BY k, track, trace)),
+s AS (SELECT transect, min(x) AS sx FROM p GROUP BY transect), s2 AS (SELECT p.transect, sx, min(y) AS sy FROM p JOIN s ON s.transect = p.transect AND p.x = s.sx GROUP BY p.transect, sx),
+l AS (SELECT d.transect, year, content, sum(coalesce(d, 0)) OVER (PARTITION BY d.transect, year ORDER BY k, track, trace) + sqrt(pow(fx - sx, 2) + pow(fy - sy, 2)) AS distance FROM d JOIN s2 ON s2.transect = d.transect),
+{_FULL.replace(f"({_LINE})", "l").replace("distance / 37", "distance / 300000").replace("FROM l AS l", "FROM l")},
+r AS (SELECT *, {', '.join(map(_rolled, ('median_value', 'q25', 'q75')))} FROM f WINDOW w AS (PARTITION BY transect, year ORDER BY bin)),
+x AS (SELECT *, row_number() OVER w AS k, count(*) OVER (PARTITION BY transect, year) AS many, lag(roll_median_value) OVER w AS b, lead(roll_median_value) OVER w AS a FROM r WINDOW w AS (PARTITION BY transect, year ORDER BY bin)),
+z AS (SELECT *, CASE WHEN roll_median_value IS NULL THEN median_value WHEN (k > 1 AND b IS NULL) OR (k < many AND a IS NULL) THEN roll_median_value END AS edge FROM x)"""
+
+
+@query("flow_transect_profiles", f"{_PROFILES} SELECT transect, year, bin, n, {', '.join(f'round({c}, 6) + 0 AS {c}' for c in _VALUES)} FROM z")
 def flow_transects(v):
     """Repeat transects to binned and smoothed thickness, by year."""
     k = F.col("s_suppkey")
     listed = v.table("supplier").select(F.concat(F.lit("T"), (k % 4).cast("string")).alias("transect"), k.cast("string").alias("track"), (-58 + k % 4).cast("double").alias("lon0"), F.lit(-40.0).alias("lon1"), F.lit(None).cast("double").alias("lat0"), F.when(k % 4 != 1, 75.0).alias("lat1"))
-    return jobs.transect_profiles(v("thickness"), listed, 300_000.0)
+    return rounded(jobs.transect_profiles(v("thickness"), listed, 300_000.0), *_VALUES).select("transect", "year", "bin", "n", *_VALUES)
 
 
 @query("flow_traces_to_thickness")
