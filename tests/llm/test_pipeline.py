@@ -41,7 +41,7 @@ def test_stages(spark, tmp_path):
     exact = seen["exact_dedup"]
     assert exact.count(3002) == 1 and not {i for i in range(10) if i not in toxic} & set(exact)
     assert len({3000, 3001} & set(exact)) == 1 and None in exact
-    near = seen["simhash_dedup"]
+    near = seen["near_dedup"]
     fps = {r[0]: simhash.fingerprint(r[1]) for r in rows}
     assert len(near) <= len(exact) and all(2000 + i in near for i in range(5))
     close = [i for i in range(5) if (fps[2000 + i] ^ fps[2100 + i]).bit_count() <= 2]
