@@ -118,19 +118,24 @@ def variability(points: DataFrame, lon_low: float, lon_high: float, first: int,
 
 def level_distances(profile: DataFrame, every: float = 50.0) -> DataFrame:
     """(transect, level, distance, elevation): where a profile comes nearest to each whole level within
-    its range; of ties the first place."""
-    rows = profile.where("elevation is not null")
-    # a sample can be nearest only to the levels around it, or between it and its neighbour
+    its range; of ties the first place. Samples without a finite elevation, or without a transect, are left
+    out.
+
+    Samples are put into the bands between levels. Of a band only the place nearest to its lower level and
+    that nearest to its upper one matter; the levels from one band to the next are nearest to a place of
+    either. So what is shuffled is at most one narrow row per elevation, whatever the profile's steps.
+    """
+    finite = profile.where((F.abs("elevation") < F.lit(float("inf"))) & F.col("transect").isNotNull())
+    # the least of a plain column: unlike that of a struct, it is found without sorting the samples
+    rows = finite.groupBy("transect", "elevation").agg(F.min("distance").alias("distance")).withColumn("k", F.floor(F.col("elevation") / every))
+    off = lambda p, k: F.struct(F.abs(p["elevation"] - k * F.lit(every)).alias("off"), p["distance"].alias("distance"), p["elevation"].alias("elevation"))
     here = F.struct("distance", "elevation")
-    w = Window.partitionBy("transect").orderBy("distance")
-    rows = rows.withColumn("_next", F.coalesce(F.lead(here).over(w), here))
-    lo, hi = F.floor(F.least("elevation", "_next.elevation") / every), F.ceil(F.greatest("elevation", "_next.elevation") / every)
-    between = rows.select("transect", here.alias("_here"), "_next", F.explode(F.sequence(lo, hi)).alias("k")).withColumn("level", F.col("k") * F.lit(every))
-    off = lambda p: F.struct(F.abs(p["elevation"] - F.col("level")).alias("off"), p["distance"].alias("distance"), p["elevation"].alias("elevation"))
-    ends = rows.groupBy("transect").agg(F.min("elevation").alias("_min"), F.max("elevation").alias("_max"))
-    near = between.join(ends, "transect").where("level between _min and _max")
-    best = near.groupBy("transect", "level").agg(F.min(F.least(off(F.col("_here")), off(F.col("_next")))).alias("m"))
-    return best.select("transect", "level", "m.distance", "m.elevation")
+    bands = rows.groupBy("transect", "k").agg(F.min(off(here, F.col("k"))).alias("_low"), F.min(off(here, F.col("k") + 1)).alias("_high"), F.min(F.ceil(F.col("elevation") / every)).alias("_first"))
+    w = Window.partitionBy("transect").orderBy("k")  # one row per band
+    bands = bands.withColumns({"_below": F.lag("_high").over(w), "_from": F.coalesce(F.lag("k").over(w) + 1, F.col("_first"))}).where("_from <= k")
+    each = bands.select("transect", "_low", "_below", F.explode(F.sequence("_from", "k")).alias("k"))
+    best = F.least(off(F.col("_low"), F.col("k")), F.when(F.col("_below").isNotNull(), off(F.col("_below"), F.col("k"))))
+    return each.select("transect", (F.col("k") * F.lit(every)).alias("level"), best.alias("m")).select("transect", "level", "m.distance", "m.elevation")
 
 
 def every_distance(profile: DataFrame, every: float = 5000.0) -> DataFrame:
