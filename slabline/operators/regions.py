@@ -17,6 +17,10 @@ NORTHING, EASTING = (-3000000.0, -1150000.0), (-600000.0, 650000.0)
 PERIODS = (("2002-2003", 2002, 2003), ("2010", 2010, 2010), ("2011-2012", 2011, 2012), ("2013-2014", 2013, 2014), ("2017-2018", 2017, 2018))
 #: Side of a hull's tile, in units of its halo.
 TILE = 6
+#: Cells that surround one, by their distance from it in both directions.
+AROUND = ((3, 0), (-3, 0), (0, 3), (0, -3), (2, 2), (2, -2), (-2, 2), (-2, -2))
+#: Points that are few enough to take as they are.
+LEAST_THINNED = 10_000
 #: Corners that polygons may have together to travel as one broadcast row; beyond, they are joined by
 #: grid cell.
 MOST_CORNERS = 10_000
@@ -193,23 +197,35 @@ def _tiled_areas(points: DataFrame, keys: list[str], alpha: float) -> DataFrame:
     return dealt.groupBy(*keys, "_i", "_j").applyInPandas(run, f"{schema}, area double").groupBy(*keys).agg(F.sum("area").alias("area"))
 
 
-def _without_deep(points: DataFrame, keys: list[str], alpha: float) -> DataFrame:
-    """The points that matter for the area: deep inside, one per cell is enough.
+def _thinned(rows: DataFrame, keys: list[str], cell: float) -> DataFrame:
+    """rows (keys, x, y) with one point in place of all of a cell that is surrounded."""
+    at = rows.withColumns({"_i": F.floor(F.col("x") / cell), "_j": F.floor(F.col("y") / cell)})
+    cells = at.groupBy(*keys, "_i", "_j").agg(F.min("x").alias("x"), F.min("y").alias("y"))
+    seen = F.explode(F.array(*[F.struct((F.col("_i") + i).alias("_i"), (F.col("_j") + j).alias("_j")) for i, j in AROUND])).alias("_of")
+    inside = cells.select(*keys, seen).groupBy(*keys, "_of._i", "_of._j").count().where(F.col("count") == len(AROUND)).drop("count")
+    inside = blocks.held(cells.join(inside, [*keys, "_i", "_j"], "left_semi"))
+    return at.join(inside, [*keys, "_i", "_j"], "left_anti").unionByName(inside).select(*keys, "x", "y")
+
 
-    With cells of a quarter of 1 / alpha, an empty circle that touches a cell whose neighbours up to two
-    cells away all have points is smaller than 1 / alpha, as a larger one would hold a whole cell. So such
-    cells are covered, whichever points they have, and triangles at their points end within three cells.
-    Cells with points in all of the 11 x 11 cells around are told by windows over rows, then columns.
+def _without_deep(points: DataFrame, keys: list[str], alpha: float) -> DataFrame:
+    """Points with the same area, few of which are inside. ``points`` is kept, as it is read twice.
+
+    A cell is surrounded if each of eight cells around it, three away by sides or two diagonally, has
+    points. Whatever way a circle of 1 / alpha or more that reaches such a cell lies, it holds one of the
+    eight whole, as cells are a fifth of 1 / alpha or less. So no empty circle of that size reaches the
+    cell, whichever points it and the eight have; the empty ones, hence the triangles around a centre with
+    1 / alpha or more, and the convex hull are those without its points, and so is what they leave of the
+    hull, the area. Surrounded cells keep one place, (least x, least y), so that they still have a point.
+    Cells are halved as long as they hold several points each: of dense areas a narrow seam stays, whose
+    width follows the distance of the points.
     """
-    cell = 0.25 / alpha
-    rows = points.withColumns({"_i": F.floor(F.col("x") / cell), "_j": F.floor(F.col("y") / cell)})
-    cells = rows.groupBy(*keys, "_i", "_j").agg(F.min(F.struct("x", "y")).alias("_one"))
-    across = Window.partitionBy(*keys, "_j").orderBy("_i").rangeBetween(-5, 5)
-    along = Window.partitionBy(*keys, "_i").orderBy("_j").rangeBetween(-5, 5)
-    wide = cells.withColumn("_n", F.count("*").over(across)).withColumn("_m", F.count_if(F.col("_n") == 11).over(along))
-    deep = wide.where("_n = 11 and _m = 11").select(*keys, "_i", "_j", "_one")
-    kept = rows.join(deep, [*keys, "_i", "_j"], "left").where("_one is null or (x = _one.x and y = _one.y)")
-    return kept.select(*keys, "x", "y")
+    cell, rows = 1 / (5 * alpha), points
+    while True:
+        n = rows.count()
+        rows = blocks.held(_thinned(rows, keys, cell))
+        left, cell = rows.count(), cell / 2
+        if left > 0.8 * n or left < LEAST_THINNED:
+            return rows
 
 
 def hull_areas(points: DataFrame, alpha: float = 2e-5, by: tuple[str, ...] = (), thin: float | None = None, skip: tuple[str, ...] = ("SE", "Out")) -> DataFrame:
@@ -230,9 +246,9 @@ def hull_areas(points: DataFrame, alpha: float = 2e-5, by: tuple[str, ...] = (),
         ends = [f(F.struct(a, b)) for f in (F.min, F.max) for a, b in (("x", "y"), ("y", "x"))]
         outer = rows.groupBy(*keys, *cell).agg(F.array(*[F.struct(e["x"].alias("x"), e["y"].alias("y")) for e in ends]).alias("p"))
         rows = outer.select(*keys, F.explode("p").alias("p")).select(*keys, "p.x", "p.y")
-    every = rows.distinct()
+    every = blocks.held(rows.distinct())
     sizes = blocks.held(every.groupBy(*keys).agg(F.count("*").alias("n")))
-    rows = blocks.held(_without_deep(every, keys, alpha))
+    rows = _without_deep(every, keys, alpha)
     found, todo = None, sizes.where("n > 2")
     while True:
         areas = blocks.held(_tiled_areas(rows.join(todo.select(*keys), keys, "left_semi"), keys, alpha))

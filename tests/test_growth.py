@@ -25,3 +25,21 @@ def test_level_distances_by_bands(spark):
     assert sorted(map(tuple, got.collect())) == sorted(want)
     plan = got._jdf.queryExecution().sparkPlan().toString()
     assert plan.index("Generate") < plan.index("Aggregate")  # later steps are printed first
+
+
+def test_border_is_a_narrow_seam(spark):
+    """Of a dense area with a bay, a hole and islands few points go into the hull, and its area stays."""
+    import numpy as np
+
+    from slabline.functions import kernels
+    from slabline.operators import regions as rg
+
+    rng = np.random.default_rng(5)
+    at = rng.random((14_000, 2)) * [500_000, 400_000] - [250_000, 0]
+    bay = (np.abs(at[:, 0]) < 60_000) & (at[:, 1] > 150_000)
+    hole = np.hypot(at[:, 0] + 160_000, at[:, 1] - 200_000) < 55_000
+    at = np.concatenate([at[~bay & ~hole], rng.normal([0, 300_000], 500, (30, 2))])
+    d = spark.createDataFrame([("SW", "2010", *map(float, x)) for x in at], "region string, period string, x double, y double")
+    assert rg._without_deep(d, ["region", "period"], 2e-5).count() < 0.6 * len(at)
+    got = rg.hull_areas(d).first()
+    assert got.n == len(at) and got.area == pytest.approx(kernels.alpha_area(at, 2e-5), rel=1e-9)
