@@ -35,7 +35,10 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str, scratch: Scra
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str, scratch: Scratch | None = None) -> DataFrame:
     """Keeps one of each component of texts whose five-word shingles have a similarity of 0.8 or more:
     the one with the smallest id, nulls last. Texts of fewer than five words are similar to equal ones
-    only, null and empty ones being equal. Repeated rows are near copies."""
+    only, null and empty ones being equal. Repeated rows are near copies.
+
+    Candidates are what operator 3's ball hashing of SimHash fingerprints links, then, as its two bits reach
+    few pairs of just 0.8, those of MinHash bands; both are verified on the sets of shingles."""
     return near_copies.near_keep_first(docs, scratch or Scratch(spark))
 
 
@@ -54,12 +57,12 @@ def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str, scratch: Scratch
 STAGES = [
     ("toxicity", drop_toxic),
     ("exact_dedup", drop_copies),
-    ("near_dedup", drop_near_copies),  # by MinHash bands; sign fingerprints miss nearly all pairs of 0.8
+    ("near_dedup", drop_near_copies),  # SimHash by ball hashing, then MinHash for what is beyond two bits
     ("mixing", mix_sources),
     ("byte_bpe", tokenize),
 ]
 
-#: A learnt classifier, MinHash and balanced sampling are beyond SQL; the tests use brute force.
+#: A learnt classifier, SimHash and balanced sampling are beyond SQL; the tests use brute force.
 ORACLE_SQL = None
 
 

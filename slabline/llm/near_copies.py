@@ -1,4 +1,5 @@
-"""Near copies by the Jaccard similarity of five-word shingles: MinHash bands, verified on the sets."""
+"""Near copies by the Jaccard similarity of five-word shingles: candidates by ball hashing of SimHash
+fingerprints, and by MinHash bands for pairs beyond its radius, verified on the sets."""
 
 from __future__ import annotations
 
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import _common as c
+from . import simhash
 
 SHINGLE = 5
 SEED = 42
@@ -63,6 +65,16 @@ def _buckets(texts: pd.Series) -> pd.Series:
     return pd.Series([buckets(shingles(x)) for x in texts], dtype=object)
 
 
+def _balls(prints: DataFrame, scratch: c.Scratch) -> DataFrame:
+    """Pairs (a, b) of rows by operator 3's ball hashing: each row and the least one with its fingerprint,
+    and the least rows of fingerprints that ``simhash.linked`` links. ``prints``: _row, _fp, a written table."""
+    heads = scratch.keep(prints.groupBy("_fp").agg(F.min("_row").alias("_head")), "heads")
+    same = c.join_split(prints, heads, ["_fp"]).where("_row <> _head").select(F.col("_row").alias("a"), F.col("_head").alias("b"))
+    a, b = (heads.select(F.col("_fp").alias(x), F.col("_head").alias(f"_{x}")) for x in "ab")
+    near = simhash.linked(heads.select("_fp")).join(a, "a").join(b, "b")
+    return same.unionByName(near.select(F.greatest("_a", "_b").alias("a"), F.least("_a", "_b").alias("b")))
+
+
 def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """_row and _set, of few rows at once: a set is larger than its text."""
     for batch in batches:
@@ -77,9 +89,9 @@ def similar(common: Column | np.ndarray, sizes: Column | np.ndarray):
 
 
 def _starred(keys: DataFrame) -> DataFrame:
-    """Distinct (a, b) of every member and the least one of its bucket."""
+    """(a, b) of every member and the least one of its bucket."""
     heads = keys.groupBy("_key").agg(F.min("_row").alias("b"), F.count("*").alias("_n")).where("_n > 1")
-    return c.join_split(keys, heads, ["_key"]).where("_row <> b").select(F.col("_row").alias("a"), "b").distinct()
+    return c.join_split(keys, heads, ["_key"]).where("_row <> b").select(F.col("_row").alias("a"), "b")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -148,12 +160,13 @@ def _compared(left: DataFrame, sets: DataFrame) -> DataFrame:
 def near_components(rows: DataFrame, scratch: c.Scratch) -> DataFrame:
     """(node, root) of the rows that are similar to another one, root being the least row linked.
 
-    ``rows``: _row, _text, a written table. Every two rows of a bucket are compared, first with the
-    bucket's least row, then, where that leaves several components, with each other.
+    ``rows``: _row, _text, a written table. What ball hashing links is compared, and every two rows of a
+    bucket, first with the bucket's least row, then, where that leaves several components, with each other.
     """
+    prints = scratch.keep(simhash.with_fingerprint(rows, "_text").select("_row", "_fp"), "fingerprints")
     keys = rows.select("_row", F.explode(_buckets(c.text_or_empty("_text"))).alias("_key"))
     keys = scratch.keep(keys, "buckets")
-    pairs = scratch.keep(_starred(keys), "pairs")
+    pairs = scratch.keep(_starred(keys).unionByName(scratch.keep(_balls(prints, scratch), "balls")).distinct(), "pairs")
     ends = pairs.select(F.col("a").alias("_row")).union(pairs.select(F.col("b").alias("_row"))).distinct()
     texts = c.matching(rows, scratch.keep(ends, "ends"), "_row", "left_semi").select("_row", c.text_or_empty("_text").alias("_text"))
     sets = scratch.keep(texts.mapInPandas(_sets, "_row long, _set array<long>"), "sets")

@@ -85,3 +85,19 @@ def test_merges_within_blocks():
     pdf = pd.DataFrame({"_row": [5, 6, 7, 8], "_label": [5, 6, 7, 8], "_main": False, "_set": [np.array(x) for x in of]})
     out = near_copies._merges(pdf)
     assert {frozenset(x) for x in out.to_numpy().tolist()} == {frozenset((5, 6)), frozenset((6, 7))}
+
+
+def test_ball_hashing_finds_its_share(spark, monkeypatch):
+    """Without candidates of MinHash bands, pairs within two bits are found; pairs of equal fingerprints that
+    share few different shingles are not near copies."""
+    rng = np.random.default_rng(6)
+    texts = [" ".join(rng.choice(WORDS, 400)) for _ in range(12)]
+    bits = lambda a, b: (simhash.fingerprint(a) ^ simhash.fingerprint(b)).bit_count()
+    near = [next(x for _ in range(999) if bits(t, x := changed(rng, t, 1)) <= 2) for t in texts]
+    refrain = " ".join(rng.choice(WORDS, 9)) + " "
+    alike = [refrain * 900 + " ".join(rng.choice(WORDS, 15)) for _ in range(2)]
+    assert bits(*alike) == 0
+    rows = [*enumerate(texts), *((100 + i, t) for i, t in enumerate(near)), *((200 + i, t) for i, t in enumerate(alike))]
+    monkeypatch.setattr(near_copies, "_starred", lambda keys: keys.select(keys["_row"].alias("a"), keys["_row"].alias("b")).limit(0))
+    got = near_copies.near_keep_first(spark.createDataFrame(rows, "doc_id long, text string"), Scratch(spark))
+    assert sorted(r.doc_id for r in got.collect()) == [*range(12), 200, 201]
