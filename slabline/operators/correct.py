@@ -182,8 +182,10 @@ def rescaled(traces: DataFrame, flagged: DataFrame, low: float = 0.05, high: flo
     bounds = pooled.percentiles(others, "value", [low, high]) or [None, None]
     rows = traces.join(flagged.select("track"), "track", "left_semi")
     lo, hi = (F.lit(x).cast("double") for x in bounds)
-    a, b = F.array_min("samples"), F.array_max("samples")
-    return rows.withColumn("samples", F.transform("samples", lambda v: lo + F.coalesce(F.try_divide(v - a, b - a), F.lit(0.0)) * (hi - lo)))
+    # bounds as columns: within the lambda they would be looked for again at every sample
+    rows = rows.withColumns({"_a": F.array_min("samples"), "_b": F.array_max("samples")})
+    scaled = F.transform("samples", lambda v: lo + F.coalesce(F.try_divide(v - F.col("_a"), F.col("_b") - F.col("_a")), F.lit(0.0)) * (hi - lo))
+    return rows.withColumn("samples", scaled).drop("_a", "_b")
 
 
 def midpoint_percentiles(df: DataFrame, key: str, value: str, quantiles: list[float]) -> DataFrame:

@@ -87,7 +87,7 @@ def ice_counts(traces: DataFrame, cutoffs: list[float], variant: str = "SG1", le
     parts = blocks.with_roots(blocks.labelled(rows, images))
     sizes = parts.groupBy(*blocks.KEYS, "root").agg(F.sum("size").alias("_all")).where(F.col("_all") >= least)
     large = parts.join(sizes, [*blocks.KEYS, "root"], "left_semi").select("track", "_block", "quantile", "node")
-    both = blocks.dealt(rows).groupBy("track", "_block").cogroup(large.groupBy("track", "_block"))
+    both = blocks.spread(blocks.dealt(rows), "track", "_block").groupBy("track", "_block").cogroup(blocks.spread(large, "track", "_block").groupBy("track", "_block"))
     return both.applyInPandas(count, "track string, trace long, counts array<int>")
 
 

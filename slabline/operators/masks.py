@@ -21,8 +21,10 @@ def intervals(tokens: DataFrame, token: str = "token", single: bool = True) -> D
     num = lambda regex: F.regexp_extract(t, regex, 1).try_cast("long")
     lo = F.when(t.rlike(r"^-\d+$"), F.lit(0).cast("long")).when(t.rlike(r"^\d+(-\d*)?$"), num(r"^(\d+)"))
     hi = F.when(t.rlike(r"^\d+-$"), F.lit(OPEN_END).cast("long")).when(t.rlike(r"^\d*-\d+$"), num(r"-(\d+)$")).when(t.rlike(r"^\d+$"), num(r"^(\d+)$"))
-    out = tokens.withColumns({"lo": lo, "hi": hi}).where("lo is not null and hi is not null")
-    return out if single else out.where(~t.rlike(r"^\d+$"))
+    lo = lo if single else F.when(~t.rlike(r"^\d+$"), lo)
+    # behind a generator, so that a token is parsed once, and after a distinct where the caller has one
+    rows = tokens.withColumn("_of", F.explode(F.array(F.struct(lo.alias("lo"), hi.alias("hi")))))
+    return rows.withColumns({"lo": F.col("_of.lo"), "hi": F.col("_of.hi")}).drop("_of").where("lo is not null and hi is not null")
 
 
 def united(spans: DataFrame, *by: str) -> DataFrame:
@@ -52,19 +54,19 @@ def masked_out(traces: DataFrame, spans: DataFrame) -> DataFrame:
     return _meeting(traces, spans, "left_anti")
 
 
-def _with_spans(traces: DataFrame, spans: DataFrame) -> DataFrame:
-    """Traces with _spans, all intervals of their track as one array: one join, and no trace twice.
-    A track has as many intervals as somebody noted down for it."""
-    per = spans.groupBy("track").agg(F.collect_list(F.struct("lo", "hi")).alias("_spans"))
-    return traces.join(per, "track", "left")
+def _with_hit(traces: DataFrame, spans: DataFrame) -> DataFrame:
+    """Traces with _hit, whether they lie in an interval of their track, both ends included. Intervals are
+    united first, so that no trace comes twice and none carries or tries a list of intervals."""
+    s = united(spans).select(F.col("track").alias("_t"), F.col("lo").alias("_lo"), F.col("hi").alias("_hi"))
+    rows = traces.join(s, (F.col("track") == F.col("_t")) & F.col("trace").between(F.col("_lo"), F.col("_hi")), "left")
+    return rows.withColumn("_hit", F.col("_t").isNotNull()).drop("_t", "_lo", "_hi")
 
 
 def with_porous_firn(traces: DataFrame, spans: DataFrame, *values: str) -> DataFrame:
     """Sets columns (likelihood without any named) to 0 in intervals of porous firn; their end is not
     included."""
-    hit = F.exists("_spans", lambda s: (F.col("trace") >= s["lo"]) & (F.col("trace") < s["hi"]))
-    rows = _with_spans(traces, spans)
-    return rows.withColumns({v: F.when(hit, F.lit(0.0)).otherwise(F.col(v)) for v in values or ("likelihood",)}).drop("_spans")
+    rows = _with_hit(traces, spans.withColumn("hi", F.col("hi") - 1))
+    return rows.withColumns({v: F.when(F.col("_hit"), F.lit(0.0)).otherwise(F.col(v)) for v in values or ("likelihood",)}).drop("_hit")
 
 
 def complete(samples: str = "samples") -> Column:
@@ -97,5 +99,4 @@ def with_rule(traces: DataFrame, rules: tuple[tuple[str, int, int], ...] = DISTR
 
 def nulled(traces: DataFrame, spans: DataFrame, *columns: str) -> DataFrame:
     """The variant in which excluded traces have null in the columns, not 0; both ends included."""
-    bad = F.coalesce(F.exists("_spans", lambda s: F.col("trace").between(s["lo"], s["hi"])), F.lit(False))
-    return _with_spans(traces, spans).withColumns({c: F.when(~bad, F.col(c)) for c in columns}).drop("_spans")
+    return _with_hit(traces, spans).withColumns({c: F.when(~F.col("_hit"), F.col(c)) for c in columns}).drop("_hit")

@@ -278,7 +278,7 @@ def m1(v):
 
 def _spans(v, which=None, single=True):
     e = v("exclusions")
-    return masks.intervals(e if which is None else e.where(F.col("list") == which), single=single)
+    return masks.intervals((e if which is None else e.where(F.col("list") == which)).distinct(), single=single)
 
 
 @query("m2_masked_out", f"WITH s AS ({_SPANS}) SELECT track, trace FROM thickness AS t WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.list = '2' AND s.track = t.track AND t.trace BETWEEN s.lo AND s.hi)")

@@ -63,6 +63,17 @@ def lens_points(radar: DataFrame, gps: DataFrame, names: DataFrame, limits: Data
     return rg.with_region(seen.join(at, ["track", "trace"]), shapes, ["track", "outline", "trace"], "lon", "lat")
 
 
+def listed(exclusions: DataFrame, name: str, single: bool = True) -> DataFrame:
+    """(track, token, lo, hi): the intervals of one list. Notes that repeat are one before any is parsed."""
+    return masks.intervals(exclusions.where(F.col("list") == name).select("track", "token").distinct(), single=single)
+
+
+def kept_apart(traces: DataFrame) -> DataFrame:
+    """Traces computed once, kept, and dealt over all partitions: a trace is few bytes and much work, and
+    several fits read it."""
+    return blocks.held(blocks.spread(traces, "track", "trace"))
+
+
 def roll_levelled(traces: DataFrame, positions: DataFrame, step: float) -> DataFrame:
     """Traces corrected for aircraft roll: fits per depth, smoothed over depth, and applied with a roll
     without gaps. ``positions``: track, trace, lon, lat, roll in radians; ``step``: metres between samples.
@@ -96,13 +107,16 @@ def corrected_traces(kept: DataFrame, step: float, flagged: DataFrame | None = N
 def ice_thickness(flat: DataFrame, exclusions: DataFrame, positions: DataFrame, step: float, continuity: int) -> DataFrame:
     """(track, trace, content, likelihood, lon, lat, distance) of corrected traces: cutoffs from all
     their samples, ice images, likelihood, porous firn, content, position."""
+    flat = kept_apart(flat.select("track", "trace", "samples"))
     values = tr.cells(flat).where("value is not null and not isnan(value)")
     cut = pooled.percentiles(values, "value", QUANTILES)
     like = identify.likelihood(identify.ice_counts(flat, cut or [], least=continuity), len(QUANTILES))
-    firn = masks.intervals(exclusions.where("list = '0'"), single=False)
+    firn = listed(exclusions, "0", single=False)
     content = like.withColumns({"content": identify.ice_content(F.col("likelihood"), step), "mean_likelihood": identify.mean_likelihood(F.col("likelihood"))})
     content = masks.with_porous_firn(content.drop("likelihood"), firn, "content", "mean_likelihood")
-    where = track.with_distance(track.with_polar(positions)).select("track", "trace", "lon", "lat", "distance")
+    # a track's distances need all its positions, but tracks without traces have no part in the result
+    flown = positions.join(flat.select("track").distinct(), "track", "left_semi")
+    where = track.with_distance(track.with_polar(flown)).select("track", "trace", "lon", "lat", "distance")
     return identify.thickness(content, where, None, None).withColumnRenamed("mean_likelihood", "likelihood")
 
 
@@ -114,8 +128,8 @@ def traces_to_thickness(traces: DataFrame, exclusions: DataFrame, positions: Dat
     images, likelihood, porous firn, content, position. Arrays stay whole but for the depth sums and
     the quantiles; blocks of neighbouring traces are the unit of the image work.
     """
-    spans = masks.intervals(exclusions.where("list = '1'"))
-    flat = tr.shallow(corrected_traces(masks.masked_out(traces, spans), step), shallow)
+    kept = kept_apart(masks.masked_out(traces, listed(exclusions, "1")))
+    flat = tr.shallow(corrected_traces(kept, step), shallow)
     return ice_thickness(flat, exclusions, positions, step, continuity)
 
 
@@ -128,13 +142,12 @@ def radar_to_thickness(
     ``starts``: track, start; ``positions``: track, trace, lon, lat, roll in radians. Without
     ``logarithm`` the signal is one already.
     """
-    spans = masks.intervals(exclusions.where("list = '1'"))
     surface = tr.followed_surface(traces, starts, radius, search)
     cut = tr.cut_at_surface(traces.join(surface, ["track", "trace"]), 0, samples).drop("surface")
-    kept = masks.masked_out(cut, spans)
-    kept = kept.withColumn("samples", tr.log10_samples()) if logarithm else kept
-    # read by several fits: the surface is followed once
-    level = blocks.held(roll_levelled(kept, positions, step))
+    kept = masks.masked_out(cut, listed(exclusions, "1"))
+    # the surface is followed once
+    kept = kept_apart(kept.withColumn("samples", tr.log10_samples()) if logarithm else kept)
+    level = kept_apart(roll_levelled(kept, positions, step))
     return ice_thickness(tr.shallow(corrected_traces(level, step, flagged), shallow), exclusions, positions, step, continuity)
 
 

@@ -2,8 +2,10 @@
 
 import math
 import random
+import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from slabline.operators import transects as ts
 
@@ -43,3 +45,58 @@ def test_border_is_a_narrow_seam(spark):
     assert rg._without_deep(d, ["region", "period"], 2e-5).count() < 0.6 * len(at)
     got = rg.hull_areas(d).first()
     assert got.n == len(at) and got.area == pytest.approx(kernels.alpha_area(at, 2e-5), rel=1e-9)
+
+
+def optimized(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_firn_by_united_intervals(spark):
+    """Repeated, overlapping, empty and touching intervals, a null track and trace, against every interval; no
+    trace carries or tries the list of its track's intervals."""
+    from slabline.operators import masks
+
+    rng = random.Random(9)
+    spans = [(str(rng.randrange(3)), a := rng.randrange(150), a + rng.randrange(-2, 9)) for _ in range(40)] * 5 + [("0", 140, masks.OPEN_END), (None, 0, 99), ("2", 0, 0)]
+    s = spark.createDataFrame(spans, "track string, lo long, hi long")
+    rows = [(str(k), i, 1.0, 2.0) for k in range(4) for i in range(160)] + [(None, 5, 1.0, 2.0), ("0", None, 1.0, 2.0), ("0", 150, None, 2.0)]
+    t = spark.createDataFrame(rows, "track string, trace long, content double, likelihood double")
+    hit = lambda r, end: None not in r[:2] and any(k == r[0] and lo <= r[1] < hi + end for k, lo, hi in spans)
+    firn, none = masks.with_porous_firn(t, s, "content", "likelihood"), masks.nulled(t, s, "content")
+    assert firn.columns == none.columns == t.columns
+    assert sorted(map(tuple, firn.collect()), key=repr) == sorted(((*r[:2], 0.0, 0.0) if hit(r, 0) else r for r in rows), key=repr)
+    assert sorted(map(tuple, none.collect()), key=repr) == sorted(((*r[:2], None, r[3]) if hit(r, 1) else r for r in rows), key=repr)
+    assert all("collect_list" not in optimized(df) for df in (firn, none))
+
+
+def test_notes_are_parsed_once(spark):
+    """Notes that repeat are one before regular expressions read them."""
+    from slabline.operators import masks
+    from slabline.plans import jobs
+
+    tokens = [("a", "-3", "0"), ("a", "5", "0"), ("a", "7-", "0"), ("b", "2-4", "0"), ("b", "x", "0"), ("b", "1-2", "1")] * 20
+    e = spark.createDataFrame(tokens, "track string, token string, list string")
+    of = lambda **k: sorted((r.track, r.lo, r.hi) for r in jobs.listed(e, "0", **k).collect())
+    assert of(single=False) == [("a", 0, 3), ("a", 7, masks.OPEN_END), ("b", 2, 4)]
+    assert of() == sorted([*of(single=False), ("a", 5, 5)])
+    for single in (True, False):
+        plan = optimized(jobs.listed(e, "0", single=single))
+        assert "RLIKE" in plan and plan.rindex("RLIKE") < plan.index("Aggregate")  # later steps are printed first
+
+
+def test_bounds_of_a_trace_are_found_once(spark):
+    from slabline.operators import correct
+
+    t = spark.createDataFrame([("a", 0, [1.0, 2.0, 5.0]), ("b", 0, [4.0, 3.0, 3.5])], "track string, trace long, samples array<double>")
+    df = correct.rescaled(t.withColumn("samples", F.transform("samples", lambda v: v + 1)), spark.createDataFrame([("b",)], "track string"), 0, 1)
+    assert df.first().samples == pytest.approx([6.0, 2.0, 4.0])
+    assert "array_min" in optimized(df) and not re.search(r"lambdafunction\(.*array_min", optimized(df))
+
+
+def test_few_traces_are_dealt_over_all_partitions(spark):
+    from slabline.plans import jobs
+
+    t = spark.createDataFrame([("a", i, [float(i)]) for i in range(500)], "track string, trace long, samples array<double>")
+    kept = jobs.kept_apart(t.repartition(1))
+    sizes = kept.rdd.glom().map(len).collect()
+    assert len(sizes) == int(spark.conf.get("spark.sql.shuffle.partitions")) and min(sizes) > 0 and sum(sizes) == 500
