@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable
 
 import numpy as np
@@ -19,14 +20,34 @@ KEYS = ["track", "name", "quantile"]
 _PARTS = "track string, name string, quantile double, _block long, node long, size long, true double, border long, depth int, right boolean"
 
 
-def held(df: DataFrame) -> DataFrame:
-    """df computed once and kept in the folder that driver and executors share (spark.checkpoint.dir)."""
+def _shared(df: DataFrame) -> str:
+    """The folder that driver and executors share (spark.checkpoint.dir), set for checkpoints."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
         at = sc.getConf().get("spark.checkpoint.dir", None)
         if at is None and not sc.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(at or tempfile.mkdtemp(prefix="slabline-"))
+    return sc.getCheckpointDir()
+
+
+def held(df: DataFrame) -> DataFrame:
+    """df computed once, written in the shared folder and read again.
+
+    A checkpoint would keep the planner's guess of its size. That of a join is the product of both
+    sides, so in a loop its digits double each round, or worse, until planning takes minutes; a
+    written table has the size of its files.
+    """
+    spark, at = df.sparkSession, f"{_shared(df)}/held-{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(at)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    df.write.parquet(at)
+    return spark.read.schema(df.schema).parquet(at)
+
+
+def held_apart(df: DataFrame) -> DataFrame:
+    """df computed once and kept in the shared folder in the partitions that it has. Not for loops (see held)."""
+    _shared(df)
     return df.checkpoint()
 
 

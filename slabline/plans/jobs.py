@@ -71,7 +71,7 @@ def listed(exclusions: DataFrame, name: str, single: bool = True) -> DataFrame:
 def kept_apart(traces: DataFrame) -> DataFrame:
     """Traces computed once, kept, and dealt over all partitions: a trace is few bytes and much work, and
     several fits read it."""
-    return blocks.held(blocks.spread(traces, "track", "trace"))
+    return blocks.held_apart(blocks.spread(traces, "track", "trace"))
 
 
 def roll_levelled(traces: DataFrame, positions: DataFrame, step: float) -> DataFrame:
@@ -100,6 +100,7 @@ def corrected_traces(kept: DataFrame, step: float, flagged: DataFrame | None = N
     out = correct.depth_corrected(flat, fit, F.transform("samples", lambda _, i: i * F.lit(step)))
     if flagged is None:
         return out
+    out = kept_apart(out)  # the others' percentiles read all of it
     scaled = correct.rescaled(out, flagged)
     return out.join(flagged.select("track"), "track", "left_anti").unionByName(scaled)
 

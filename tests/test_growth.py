@@ -100,3 +100,27 @@ def test_few_traces_are_dealt_over_all_partitions(spark):
     kept = jobs.kept_apart(t.repartition(1))
     sizes = kept.rdd.glom().map(len).collect()
     assert len(sizes) == int(spark.conf.get("spark.sql.shuffle.partitions")) and min(sizes) > 0 and sum(sizes) == 500
+
+
+def test_held_tables_are_as_large_as_their_files(spark):
+    """The guessed size of a self-join is the square of its input's; kept from round to round its digits double,
+    until planning takes minutes. Held tables must not hand it on."""
+    from slabline.operators import blocks
+
+    df = spark.range(100).withColumn("a", F.col("id") + 1)
+    for _ in range(4):
+        df = blocks.held(df.join(df.select("id", F.col("a").alias("b")), "id").select("id", "b").withColumnRenamed("b", "a"))
+    assert df.count() == 100 and df.columns == ["id", "a"]
+    assert int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < 100_000
+    none = blocks.held(df.where("id < 0"))
+    assert none.isEmpty() and none.columns == ["id", "a"]
+
+
+def test_corrected_traces_are_kept_before_they_are_rescaled(spark):
+    """The others' percentiles and both parts of the result read the corrected traces, which are fitted once."""
+    from slabline.plans import jobs
+
+    rows = [(t, i, [-1.0 - k / 8 - (i * 7 + k) % 3 for k in range(6)]) for t in "ab" for i in range(5)]
+    traces = spark.createDataFrame(rows, "track string, trace long, samples array<double>")
+    got = jobs.corrected_traces(traces, 0.5, spark.createDataFrame([("b",)], "track string"))
+    assert got.count() == 10 and "aggregate" not in optimized(got).lower()

@@ -203,3 +203,22 @@ def test_steps_from_everywhere(seed, depth, n):
             at = int(step[at])
             line.append(at)
         assert line == k.follow_surface(traces, start, radius=4, search=6).tolist()
+
+
+def test_labels_of_long_winding_components():
+    """Snakes whose ends meet only through every row, in both directions, and a comb."""
+    snake = np.zeros((61, 61), bool)
+    snake[::2] = True
+    snake[1::4, -1] = True
+    snake[3::4, 0] = True
+    for image in (snake, snake.T, snake[::-1], snake[:, ::-1]):
+        labels, sizes = k.label4(image)
+        assert sizes.tolist() == [61 * 61 - image.sum(), image.sum()] and (labels == image).all()
+    cut = snake.copy()
+    cut[30, 30] = False
+    labels, sizes = k.label4(cut)
+    assert len(sizes) == 3 and (labels[:30][cut[:30]] == 1).all() and (labels[31:][cut[31:]] == 2).all() and sizes[1:].sum() == cut.sum()
+    comb = np.zeros((40, 41), bool)
+    comb[:, ::2] = True
+    comb[-1] = True
+    assert k.label4(comb)[1].tolist() == [40 * 41 - comb.sum(), comb.sum()]
